@@ -108,3 +108,18 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
             c = c.cast("bigint")
         out.append(c.alias(f.name))
     return df.select(*out)
+
+
+def first_of(col: str) -> Column:
+    """Value of the earliest bar that has one (aggregate or window function)."""
+    return F.min_by(col, F.when(F.col(col).isNotNull(), F.col("slot")))
+
+
+def last_of(col: str) -> Column:
+    """Value of the latest bar that has one (aggregate or window function)."""
+    return F.max_by(col, F.when(F.col(col).isNotNull(), F.col("slot")))
+
+
+def total(array) -> Column:
+    """Sum of a double array."""
+    return F.aggregate(array, F.lit(0.0), lambda s, v: s + v)

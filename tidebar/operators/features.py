@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.core import (KEYS, ahead, at_least, before, by_clock, by_day, by_session,
-                                    log_ratio, prior, quantile, ratio, sgn, trailing, upto,
+                                    first_of, last_of, log_ratio, prior, quantile, ratio, sgn, total, trailing, upto,
                                     whole_session)
 
 def typical() -> Column:
@@ -22,8 +22,8 @@ def typical() -> Column:
 def daily_bars(bars: DataFrame) -> DataFrame:
     """First open, extremes, last close and total volume of the observed bars."""
     return bars.groupBy(*KEYS).agg(
-        F.min_by("open", "slot").alias("day_open"), F.max("high").alias("day_high"),
-        F.min("low").alias("day_low"), F.max_by("close", "slot").alias("day_close"),
+        first_of("open").alias("day_open"), F.max("high").alias("day_high"),
+        F.min("low").alias("day_low"), last_of("close").alias("day_close"),
         F.sum("volume").alias("day_volume"), F.count("open").alias("day_bars"))
 
 
@@ -389,9 +389,8 @@ def variance_ratio(df: DataFrame, n: int, q: int) -> DataFrame:
     w = by_session()
     df = df.withColumn("_x", F.when(F.count("ret").over(trailing(w, n)) >= n,
                                     F.collect_list("ret").over(trailing(w, n))))
-    df = df.withColumn("_m", F.aggregate("_x", F.lit(0.0), lambda s, v: s + v) / n)
+    df = df.withColumn("_m", total("_x") / n)
     df = df.withColumn("_x", F.transform("_x", lambda v: v - F.col("_m")))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     df = df.withColumn("_ss", total(F.transform("_x", lambda v: v * v)))
     num, den = F.lit(0.0), F.lit(0.0)
     for j in range(1, q):
@@ -450,7 +449,6 @@ def recency_mean(df: DataFrame, col: str, n: int) -> DataFrame:
     f = prior(by_clock(), n)
     df = df.withColumn("_h", F.when(F.count(col).over(f) >= n, F.collect_list(col).over(f)))
     raw = F.transform("_h", lambda v, i: F.exp(-2.0 + 2.0 * i / (n - 1)))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     df = df.withColumn("_w", raw).withColumn("_t", total("_w"))
     df = df.withColumn("_m", total(F.zip_with("_h", "_w", lambda v, w: v * w)) / F.col("_t"))
     dev = F.zip_with("_h", "_w", lambda v, w: w * (v - F.col("_m")) * (v - F.col("_m")))
@@ -526,7 +524,7 @@ def nested_acceptance(bars: DataFrame, short: int, long: int, tick: float) -> Da
 def jump_score(bars: DataFrame, daily: DataFrame, every: int) -> DataFrame:
     """Overnight-inclusive variance contrast of the previous session plus today's gap."""
     w = by_session()
-    first = F.min_by("open", "slot").over(whole_session())
+    first = first_of("open").over(whole_session())
     base = bars.withColumn("_o", first).filter(F.pmod(F.col("slot") + 1, F.lit(every)) == 0)
     r = log_ratio(F.col("close"), F.coalesce(F.lag("close").over(w), F.col("_o")))
     base = base.withColumn("_r", r)
