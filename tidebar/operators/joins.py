@@ -9,27 +9,21 @@ from pyspark.sql import functions as F
 from tidebar.functions.core import KEYS
 
 
-def asof_prev(left: DataFrame, left_date: str, series: DataFrame, obs_date: str, value: str, out: str) -> DataFrame:
-    """Strictly previous observation for every left date.
-
-    Observations turn into validity intervals by one ``lead`` over the series, which has one row
-    per day and so is bounded by the calendar; keys beside the date go to ``asof_prev_keyed``."""
-    w = W.orderBy(obs_date)
-    s = series.filter(F.col(value).isNotNull()).select(
-        F.col(obs_date).alias("_from"), F.col(value).alias(out), F.lead(obs_date).over(w).alias("_to"))
-    on = (F.col(left_date) > F.col("_from")) & (F.col("_to").isNull() | (F.col(left_date) <= F.col("_to")))
-    return left.join(s, on, "left").drop("_from", "_to")
-
-
-def asof_prev_keyed(left: DataFrame, series: DataFrame, key: str, left_date: str, obs_date: str,
-                    value: str, out: str) -> DataFrame:
-    """As-of per key by union and a running last value: one shuffle, no range join."""
-    a = left.select("*", F.col(left_date).alias("_d"), F.lit(0).alias("_o"), F.lit(None).cast("double").alias("_v"))
-    b = series.filter(F.col(value).isNotNull()).select(
-        key, F.col(obs_date).alias("_d"), F.lit(1).alias("_o"), F.col(value).cast("double").alias("_v"))
-    u = a.unionByName(b, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, -1)
-    return u.withColumn(out, F.last("_v", ignorenulls=True).over(w)).filter("_o = 0").drop("_d", "_o", "_v")
+def asof_prev(left: DataFrame, left_date: str, series: DataFrame, obs_date: str, value: str, out: str,
+              key: tuple = ()) -> DataFrame:
+    """Strictly previous observation for every left row, optionally per key.
+
+    Only the distinct (key, date) pairs meet the series, in one ordered window whose partitions
+    hold at most two rows per calendar day; the rows themselves, however skewed, take the answer
+    by an equi-join. Without a key that window is one small partition."""
+    d = left.select(*key, F.col(left_date).alias("_d")).distinct().select(
+        *key, "_d", F.lit(0).alias("_o"), F.lit(None).cast("double").alias("_v"))
+    obs = series.filter(F.col(value).isNotNull()).groupBy(*key, F.col(obs_date).alias("_d")).agg(
+        F.max(F.col(value).cast("double")).alias("_v")).select(*key, "_d", F.lit(1).alias("_o"), "_v")
+    part = W.partitionBy(*key) if key else W.partitionBy(F.lit(0))
+    w = part.orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, -1)
+    got = d.unionByName(obs).withColumn(out, F.last("_v", ignorenulls=True).over(w)).filter("_o = 0")
+    return left.join(got.select(*key, F.col("_d").alias(left_date), out), [*key, left_date], "left")
 
 
 def with_daily(bars: DataFrame, daily: DataFrame, cols: list[str]) -> DataFrame:
