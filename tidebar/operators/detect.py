@@ -56,17 +56,16 @@ def detect(df: DataFrame, family: str, last: int, **params) -> DataFrame:
     return events(df, up, down, last)
 
 
-def detect_grid(df: DataFrame, family: str, last: int, axes: dict[str, list]) -> DataFrame:
+def detect_grid(df: DataFrame, family: str, last: int, axes: dict[str, list], keep: tuple = ()) -> DataFrame:
     """Events of every setting of ``axes``: the grid is exploded per bar and filtered in the
     same stage, so only events, not bars x settings, are ever shuffled."""
     settings = [dict(zip(axes, v)) for v in product(*axes.values())]
     lits = [F.struct(F.lit(i).alias("signal_id"), *[F.lit(x).alias(k) for k, x in s.items()])
             for i, s in enumerate(settings)]
     up, down = RULES[family](Cols(), Cols("_p."))
-    # the rule may read parameters only through _p, present after the generator
     wide = df.withColumn("_p", F.explode(F.array(*lits)))
     wide = wide.withColumns({"signal_id": F.col("_p.signal_id"), **{k: F.col(f"_p.{k}") for k in axes}})
-    return events(wide, up, down, last, ("signal_id", *axes))
+    return events(wide, up, down, last, ("signal_id", *axes, *keep))
 
 
 def cancel_opposite(ev: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,6 +1,8 @@
 """Composed flows: events, outcomes, selected trades; with the matching SQL expressions."""
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,21 +17,15 @@ SIGNAL = {"lookback": [3, 5], "buffer_atr": [0.0], "vwap_filter": [0], "volume_z
 WINDOW = (5, 22)
 
 
-def breakouts(spark, sf, kind: str, with_cols: tuple = ("atr",)) -> DataFrame:
-    """Rolling breakouts of both lookbacks as events with a signal id."""
-    f = views.feat(spark, sf, kind)
-    grid = det.detect_grid(f.withColumnRenamed("atr", "atr"), "rolling_breakout", LAST[kind], SIGNAL)
-    return grid.select(*KEYS, "slot", "side", "signal_id")
-
-
 def events_with_atr(spark, sf, kind: str) -> DataFrame:
-    d = views.daily(spark, sf, kind).select(*KEYS, "atr")
-    return breakouts(spark, sf, kind).join(d, KEYS)
+    """Rolling breakouts of both lookbacks as events with a signal id and the session's ATR."""
+    f = views.feat(spark, sf, kind)
+    grid = det.detect_grid(f, "rolling_breakout", LAST[kind], SIGNAL, ("atr",))
+    return grid.select(*KEYS, "slot", "side", "signal_id", "atr")
 
 
 def exec_events(spark, sf, kind: str) -> DataFrame:
     """Events under every execution setting; ``exec_id`` numbers the settings."""
-    from itertools import product
     settings = [F.struct(F.lit(i).alias("exec_id"), F.lit(a).alias("stop_atr"), F.lit(t).alias("target_r"), F.lit(h).alias("hold"))
                 for i, (a, t, h) in enumerate(product(*EXEC.values()))]
     e = events_with_atr(spark, sf, kind)

@@ -209,14 +209,14 @@ def stat_first_passage(spark, sf):
 
 # ---- screens and rankings --------------------------------------------------------
 
-@register("screen_floors", sq(WCOLS, "SELECT * FROM wide WHERE trades >= 10 AND trades_validate >= 2 AND max_drawdown > -2500", WIDE))
+@register("screen_floors", sq(WCOLS, "SELECT * FROM wide WHERE trades >= 8 AND trades_validate >= 1 AND max_drawdown > -3500", WIDE))
 def screen_floors(spark, sf):
-    return st.screen(results(spark, sf), trades=10, trades_validate=2, max_drawdown=-2500.0)
+    return st.screen(results(spark, sf), trades=8, trades_validate=1, max_drawdown=-3500.0)
 
 
-@register("screen_promotion", sq(WCOLS, "SELECT * FROM wide WHERE net_validate > 0 AND net_test > 0 AND coalesce(pf_validate, 99) > 1 AND coalesce(pf_test, 99) > 1 AND max_drawdown > -4000 AND trades >= 5", WIDE))
+@register("screen_promotion", sq(WCOLS, "SELECT * FROM wide WHERE net_validate > 0 AND net_test > 0 AND coalesce(pf_validate, 99) > 1 AND coalesce(pf_test, 99) > 1 AND max_drawdown > -90000 AND trades >= 5", WIDE))
 def screen_promotion(spark, sf):
-    return st.promotion_filter(results(spark, sf), -4000.0, 5)
+    return st.promotion_filter(results(spark, sf), -90000.0, 5)
 
 
 @register("screen_credible", sq(WCOLS, "SELECT * FROM wide WHERE net >= 50 AND max_drawdown > -4000 AND trades >= 5 AND trades_train >= 1 AND trades_validate >= 1 AND trades_test >= 1 AND net_train > 0 AND net_validate > 0 AND net_test > 0 AND greatest(net_train, net_validate, net_test) / net <= 0.9", WIDE))
