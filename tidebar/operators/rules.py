@@ -124,8 +124,8 @@ def dedupe_masks(marked: DataFrame, event_key: list[str], order: DataFrame) -> D
     g = ["n", "_x", "_s"]
     events_in = marked.join(f, "predicate").select(*g, *event_key).distinct().groupBy(*g).agg(F.count(F.lit(1)).alias("_d"))
     f = f.join(events_in, g)
-    first = F.min("rank").over(W.partitionBy(*g))
-    return f.filter((F.col("rank") == first) | (F.col("_d") != F.col("n"))).select("predicate", "n")
+    f = f.withColumn("_first", F.min("rank").over(W.partitionBy(*g)))
+    return f.filter((F.col("rank") == F.col("_first")) | (F.col("_d") != F.col("n"))).select("predicate", "n")
 
 
 def pair_rules(marked: DataFrame, top: DataFrame, event_key: list[str], by: list[str]) -> DataFrame:

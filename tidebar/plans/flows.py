@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidebar.operators import detect as det
 from tidebar.operators import outcomes as out
 from tidebar.plans import views
+from tidebar.sources.scratch import materialize
 
 KEYS = ["symbol", "session"]
 LAST = {"hourly": 22, "monthly": 26}
@@ -38,21 +39,20 @@ def outcomes(spark, sf, kind: str) -> DataFrame:
     return o.withColumn("config_id", F.format_string("c%02d-%02d", "signal_id", "exec_id"))
 
 
-def selected(spark, sf, kind: str = "monthly") -> DataFrame:
-    return out.select_non_overlapping(outcomes(spark, sf, kind), ["config_id", *KEYS], *WINDOW, max_n=3)
+def labelled(spark, sf, kind: str = "monthly") -> DataFrame:
+    """Outcomes written once, for queries that read them more than once."""
+    return materialize(outcomes(spark, sf, kind), "outcomes")
 
 
-def trades(spark, sf, kind: str = "monthly", budget: float = 400.0) -> DataFrame:
-    """Selected outcomes sized by budget and costed; unfunded ones stay with quantity 0."""
-    t = out.net_pnl(out.size_max_exposure(selected(spark, sf, kind), F.lit(budget)))
-    return t.withColumns({"year": F.year("session"), "executed": F.col("qty") > 0})
+def selected(spark, sf, kind: str = "monthly", o: DataFrame | None = None) -> DataFrame:
+    o = outcomes(spark, sf, kind) if o is None else o
+    return out.select_non_overlapping(o, ["config_id", *KEYS], *WINDOW, max_n=3)
 
 
-def daily_pnl(spark, sf) -> DataFrame:
-    """Money per configuration and session over all symbols."""
-    t = trades(spark, sf)
-    return t.filter("executed").groupBy("config_id", "session").agg(
-        F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("entries"))
+def trades(spark, sf, kind: str = "monthly", budget: float = 400.0, o: DataFrame | None = None) -> DataFrame:
+    """Selected outcomes sized by budget and costed; unfunded ones stay with quantity 0."""
+    t = out.net_pnl(out.size_max_exposure(selected(spark, sf, kind, o), F.lit(budget)))
+    return t.withColumns({"year": F.year("session"), "executed": F.col("qty") > 0})
 
 
 # ---- SQL twins -------------------------------------------------------------------

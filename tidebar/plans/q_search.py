@@ -19,6 +19,7 @@ from tidebar.plans.q_ingest import K
 from tidebar.plans.q_windows import H, M, SNAP, snapshots
 from tidebar.plans.registry import register
 from tidebar.plans.views import TEST, TRAIN, VALIDATE
+from tidebar.sources.scratch import materialize
 
 R = "config_id, symbol"
 
@@ -302,9 +303,9 @@ def grid_completion(spark, sf):
 
 @register("audit_coverage", sq("config_id problem", "SELECT DISTINCT config_id, 'missing' AS problem FROM ful WHERE config_id NOT IN (SELECT config_id FROM ex) UNION ALL SELECT DISTINCT config_id, 'foreign' FROM ex WHERE config_id NOT IN (SELECT config_id FROM ful WHERE config_id <> 'c00-00')", {"ful": FULL}))
 def audit_coverage(spark, sf):
-    g = full_grid(spark, sf)
-    x = jn.coverage_audit(g, qs.trades(spark, sf)).filter("problem = 'missing'")
-    y = jn.coverage_audit(g.filter("config_id <> 'c00-00'"), qs.trades(spark, sf)).filter("problem = 'foreign'")
+    g, t = full_grid(spark, sf), materialize(qs.trades(spark, sf).select("config_id"), "ids")
+    x = jn.coverage_audit(g, t).filter("problem = 'missing'")
+    y = jn.coverage_audit(g.filter("config_id <> 'c00-00'"), t).filter("problem = 'foreign'")
     return x.unionByName(y)
 
 
@@ -350,7 +351,7 @@ def audit_causality(spark, sf):
 
 @register("audit_execution", sq("trades:i violations:i", "SELECT count(*) AS trades, count(*) FILTER (entry_slot <= slot OR exit_slot < entry_slot OR exit_slot > 27 OR planned_risk > 400 + 1e-9 OR pnl_pts < worst_pts - 1e-9 OR qty < 0) AS violations FROM trd"))
 def audit_execution(spark, sf):
-    t = flows.trades(spark, sf)
+    t = materialize(flows.trades(spark, sf), "trades")
     bad = se.execution_violations(t, 27, 400.0)
     return t.agg(F.count(F.lit(1)).alias("trades"), F.lit(1).alias("_j")).join(
         bad.agg(F.count(F.lit(1)).alias("violations"), F.lit(1).alias("_j")), "_j").drop("_j")
@@ -426,7 +427,7 @@ WF = {"wk": "SELECT symbol, session, row_number() OVER (PARTITION BY symbol ORDE
  FROM wbest b JOIN kn d ON d.config_id = b.config_id AND d.symbol = b.symbol AND year(d.session) = b.y GROUP BY 1, 2, 3, 4""", {**qs.DAYS, **qs.KNOWN, **WF}))
 def search_walk_forward(spark, sf):
     b = views.bars(spark, sf, M)
-    d = qs.known(spark, sf).withColumn("pnl", F.coalesce("pnl", F.lit(0.0)))
+    d = materialize(qs.known(spark, sf).withColumn("pnl", F.coalesce("pnl", F.lit(0.0))), "days")
     return se.walk_forward(d, views.calendar(b, M), "year", 24, 12, 3, -2500.0)
 
 
@@ -447,15 +448,17 @@ def search_deflated_sharpe(spark, sf):
 
 @register("search_controls", sq("symbol common_days:i candidate_net:d control_net:d difference:d", "SELECT a.symbol, count(*) AS common_days, sum(a.p) AS candidate_net, sum(b.p) AS control_net, sum(a.p - b.p) AS difference FROM kn a JOIN kn b USING (symbol, session) WHERE a.config_id = 'c00-03' AND b.config_id = 'c01-00' AND a.known AND b.known GROUP BY 1", {**qs.DAYS, **qs.KNOWN}))
 def search_controls(spark, sf):
-    d = qs.known(spark, sf)
+    d = materialize(qs.known(spark, sf), "days")
     return se.matched_compare(d.filter("config_id = 'c00-03'"), d.filter("config_id = 'c01-00'"))
 
 
 @register("search_decision", sq("config_id symbol decision", f"""SELECT config_id, symbol, CASE WHEN u > 25 THEN 'NEEDS_DATA' WHEN e < 8 THEN 'UNDERPOWERED' WHEN net > 0 AND ok THEN 'ADVANCE' ELSE 'REJECT' END AS decision FROM (SELECT {R}, sum(p) AS net, count(*) FILTER (NOT known) AS u, count(*) FILTER (known AND entries > 0) AS e FROM kn GROUP BY 1, 2)
  JOIN (SELECT config_id, symbol, min(n) > 0 AS ok FROM (SELECT config_id, symbol, s, sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (s - 0.25)) AS n FROM sel, (VALUES (0.25), (0.5)) v(s) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (config_id, symbol)""", {**qs.DAYS, **qs.KNOWN}))
 def search_decision(spark, sf):
-    d = st.describe_known(qs.known(spark, sf)).withColumn("unknown_days", F.greatest(F.col("unknown_days") - 25, F.lit(0)))
-    s = out.stress(flows.selected(spark, sf), [0.25, 0.5]).groupBy("config_id", "symbol", "stress_slip").agg(F.sum("pnl_pts").alias("n"))
+    o = flows.labelled(spark, sf)
+    days = st.known_days(o, flows.trades(spark, sf, o=o).filter("executed"))
+    d = st.describe_known(days).withColumn("unknown_days", F.greatest(F.col("unknown_days") - 25, F.lit(0)))
+    s = out.stress(flows.selected(spark, sf, o=o), [0.25, 0.5]).groupBy("config_id", "symbol", "stress_slip").agg(F.sum("pnl_pts").alias("n"))
     s = s.groupBy("config_id", "symbol").agg((F.min("n") > 0).alias("all_stress_ok"))
     return se.decision_label(d.join(s, ["config_id", "symbol"]), 8).select("config_id", "symbol", "decision")
 
@@ -488,7 +491,7 @@ def search_standardize(spark, sf):
 # ---- portfolios ----------------------------------------------------------------
 
 OPTS = pf.sleeve_options([1.0, 2.0, 5.0])
-SLV = {**flows.trades_sql(), "slv": "SELECT *, symbol AS sleeve FROM sel WHERE config_id = 'c00-03'",
+SLV = {**flows.trades_sql(), "slv": "SELECT *, symbol AS sleeve FROM sel WHERE config_id = 'c01-07'",
        "spt": """SELECT t.sleeve, t.symbol, t.session, b.slot, sum(CASE WHEN b.slot = t.exit_slot THEN t.pnl_pts * 2 - 1 ELSE 0 END) AS delta,
  sum(least(0, CASE WHEN side > 0 THEN b.low - 0.25 - entry_px ELSE entry_px - b.high - 0.25 END) * 2 - 1) AS adverse, count(*) AS exposure
  FROM slv t JOIN bars b ON b.symbol = t.symbol AND b.session = t.session AND b.slot BETWEEN entry_slot AND exit_slot GROUP BY 1, 2, 3, 4""",
@@ -497,17 +500,35 @@ SLV = {**flows.trades_sql(), "slv": "SELECT *, symbol AS sleeve FROM sel WHERE c
        "od": "SELECT sleeve, session, option_id, scale, pnl * scale AS pnl FROM ud, op"}
 
 
-def sleeves(spark, sf):
-    return flows.selected(spark, sf).filter("config_id = 'c00-03'").withColumn("sleeve", F.col("symbol"))
+class Study:
+    """Sleeves of one portfolio study: trades written once, everything else derived from them."""
 
+    def __init__(self, spark, sf):
+        t = flows.selected(spark, sf).filter("config_id = 'c01-07'").withColumn("sleeve", F.col("symbol"))
+        self.sleeves = materialize(t, "sleeves")
+        self.spark, self.sf = spark, sf
 
-def paths(spark, sf):
-    return pf.sleeve_path(sleeves(spark, sf), views.bars(spark, sf, M), ["sleeve"], 0.25)
+    def paths(self):
+        return pf.sleeve_path(self.sleeves, views.bars(self.spark, self.sf, M), ["sleeve"], 0.25)
 
+    def options(self):
+        u = self.sleeves.groupBy("sleeve", "session").agg(F.sum(F.col("pnl_pts") * 2 - 1).alias("pnl"))
+        return pf.option_daily(u, OPTS)
 
-def options(spark, sf):
-    u = sleeves(spark, sf).groupBy("sleeve", "session").agg(F.sum(F.col("pnl_pts") * 2 - 1).alias("pnl"))
-    return pf.option_daily(u, OPTS)
+    def seeds(self):
+        return pf.seed_portfolios(pf.option_scores(self.options(), TRAIN, VALIDATE), 2)
+
+    def samples(self):
+        return pf.sample_portfolios(self.sleeves.select("sleeve"), 60, (2, 4), OPTS)
+
+    def members(self):
+        return materialize(self.seeds().unionByName(self.samples()), "members")
+
+    def screened(self, members):
+        return pf.portfolio_daily_screen(members, self.options(), TRAIN, VALIDATE, 12.0, -20000.0)
+
+    def exact(self, members):
+        return pf.portfolio_exact(members, self.paths(), OPTS)
 
 
 def pq(cols, body, extra=None):
@@ -516,12 +537,12 @@ def pq(cols, body, extra=None):
 
 @register("portfolio_sleeve_path", pq("sleeve symbol session slot:i delta:d adverse:d exposure:i", "SELECT * FROM spt"))
 def portfolio_sleeve_path(spark, sf):
-    return paths(spark, sf)
+    return Study(spark, sf).paths()
 
 
 @register("portfolio_option_daily", pq("sleeve session option_id:i scale:d pnl:d", "SELECT * FROM od"))
 def portfolio_option_daily(spark, sf):
-    return options(spark, sf)
+    return Study(spark, sf).options()
 
 
 OSC = {"os1": f"SELECT *, year(session) AS y, sum(pnl) OVER (PARTITION BY sleeve, option_id ORDER BY session) AS eq FROM od WHERE year(session) IN {in_(TRAIN + VALIDATE)}",
@@ -531,13 +552,9 @@ OSC = {"os1": f"SELECT *, year(session) AS y, sum(pnl) OVER (PARTITION BY sleeve
        "sed": """SELECT sleeve || ':' || option_id AS portfolio_id, sleeve, option_id FROM bst UNION ALL SELECT a.sleeve || ':' || a.option_id || '|' || b.sleeve || ':' || b.option_id, unnest([a.sleeve, b.sleeve]), unnest([a.option_id, b.option_id]) FROM bst a JOIN bst b ON a.sleeve < b.sleeve"""}
 
 
-def seeds(spark, sf):
-    return pf.seed_portfolios(pf.option_scores(options(spark, sf), TRAIN, VALIDATE), 2)
-
-
 @register("portfolio_seeds", pq("portfolio_id sleeve option_id:i", "SELECT * FROM sed", OSC))
 def portfolio_seeds(spark, sf):
-    return seeds(spark, sf)
+    return Study(spark, sf).seeds()
 
 
 def u_sql(*parts):
@@ -551,14 +568,9 @@ SMP = {"sm0": "SELECT i, (SELECT count(DISTINCT sleeve) FROM slv) AS ns FROM ran
        "smp": "SELECT 'R' || lpad(CAST(i AS VARCHAR), 6, '0') AS portfolio_id, sleeve, option_id FROM sm3 WHERE rn = 1"}
 
 
-def samples(spark, sf):
-    names = sleeves(spark, sf).select("sleeve")
-    return pf.sample_portfolios(names, 60, (2, 4), OPTS)
-
-
 @register("portfolio_samples", pq("portfolio_id sleeve option_id:i", "SELECT * FROM smp", SMP))
 def portfolio_samples(spark, sf):
-    return samples(spark, sf)
+    return Study(spark, sf).samples()
 
 
 DSC = {**OSC, **SMP, "mem": "SELECT * FROM sed UNION ALL SELECT * FROM smp",
@@ -567,20 +579,13 @@ DSC = {**OSC, **SMP, "mem": "SELECT * FROM sed UNION ALL SELECT * FROM smp",
        "ds3": "SELECT *, greatest(0, max(eq) OVER (PARTITION BY portfolio_id ORDER BY session)) AS pk FROM ds2",
        "dsx": "SELECT portfolio_id, sum(scale) AS exposure FROM mem JOIN op USING (option_id) GROUP BY 1",
        "dse": f"""SELECT portfolio_id, sum(pnl) AS net, least(0, min(eq - pk)) AS mdd_daily, coalesce(sum(pnl) FILTER (year(session) IN {in_(TRAIN)}), 0) AS net_train, coalesce(sum(pnl) FILTER (year(session) IN {in_(VALIDATE)}), 0) AS net_validate FROM ds3 GROUP BY 1""",
-       "dsf": """SELECT *, exposure <= 12 AND net_train > 0 AND net_validate > 0 AND mdd_daily > -4000 AS evidence_ok, exposure <= 12 AND net > 0 AND mdd_daily > -4000 AS oracle_ok FROM dse JOIN dsx USING (portfolio_id)"""}
-
-
-def members(spark, sf):
-    return seeds(spark, sf).unionByName(samples(spark, sf))
-
-
-def screened(spark, sf):
-    return pf.portfolio_daily_screen(members(spark, sf), options(spark, sf), TRAIN, VALIDATE, 12.0, -4000.0)
+       "dsf": """SELECT *, exposure <= 12 AND net_train > 0 AND net_validate > 0 AND mdd_daily > -20000 AS evidence_ok, exposure <= 12 AND net > 0 AND mdd_daily > -20000 AS oracle_ok FROM dse JOIN dsx USING (portfolio_id)"""}
 
 
 @register("portfolio_daily_screen", pq("portfolio_id net:d mdd_daily:d net_train:d net_validate:d exposure:d evidence_ok oracle_ok", "SELECT * FROM dsf", DSC))
 def portfolio_daily_screen(spark, sf):
-    return screened(spark, sf)
+    s = Study(spark, sf)
+    return s.screened(s.members())
 
 
 EXA = {**DSC, "ea0": "SELECT m.portfolio_id, p.sleeve, p.session, p.slot, p.delta * o.scale AS delta, p.adverse * o.scale AS adverse, p.exposure * o.scale AS exposure FROM mem m JOIN spt p USING (sleeve) JOIN op o USING (option_id)",
@@ -594,40 +599,42 @@ EXA = {**DSC, "ea0": "SELECT m.portfolio_id, p.sleeve, p.session, p.slot, p.delt
 XC = "portfolio_id net:d max_drawdown:d max_exposure:d active:i worst_day:d top_share:d"
 
 
-def exact(spark, sf, only=None):
-    m = members(spark, sf)
-    return pf.portfolio_exact(m if only is None else m.join(only, "portfolio_id", "left_semi"), paths(spark, sf), OPTS)
-
-
 @register("portfolio_exact", pq(XC, "SELECT * FROM exa", EXA))
 def portfolio_exact(spark, sf):
-    return exact(spark, sf)
+    s = Study(spark, sf)
+    return s.exact(s.members())
 
 
 @register("portfolio_two_stage", pq(XC, "SELECT exa.* FROM exa JOIN dsf USING (portfolio_id) WHERE evidence_ok OR oracle_ok", EXA))
 def portfolio_two_stage(spark, sf):
     """Bar-level evaluation only for portfolios that pass the daily screen."""
-    return exact(spark, sf, screened(spark, sf).filter("evidence_ok OR oracle_ok").select("portfolio_id"))
+    s = Study(spark, sf)
+    m = s.members()
+    return s.exact(m.join(s.screened(m).filter("evidence_ok OR oracle_ok"), "portfolio_id", "left_semi"))
 
 
-@register("portfolio_credible", pq(XC, "SELECT * FROM exa WHERE net > 0 AND max_drawdown > -6000 AND max_exposure <= 10 AND active >= 2 AND top_share <= 3", EXA))
+@register("portfolio_credible", pq(XC, "SELECT * FROM exa WHERE net > -5000 AND max_drawdown > -20000 AND max_exposure <= 10 AND active >= 2 AND top_share <= 3", EXA))
 def portfolio_credible(spark, sf):
-    return exact(spark, sf).filter("net > 0 AND max_drawdown > -6000 AND max_exposure <= 10 AND active >= 2 AND top_share <= 3")
+    s = Study(spark, sf)
+    return s.exact(s.members()).filter("net > -5000 AND max_drawdown > -20000 AND max_exposure <= 10 AND active >= 2 AND top_share <= 3")
 
 
 @register("portfolio_leaderboards", pq("board portfolio_id net:d max_drawdown:d", """SELECT * FROM ((SELECT 'disciplined' AS board, e.* FROM lbd e WHERE selection IS NOT NULL ORDER BY selection DESC, net DESC, portfolio_id LIMIT 5) UNION ALL (SELECT 'oracle', e.* FROM lbd e ORDER BY net DESC, portfolio_id LIMIT 5))""", {
     **EXA, "lbd": "SELECT exa.*, CASE WHEN net_train > 0 AND net_validate > 0 THEN (net_train + net_validate) / greatest(100, abs(mdd_daily)) END AS selection FROM exa JOIN (SELECT portfolio_id, net_train, net_validate, mdd_daily FROM dsf) USING (portfolio_id) WHERE max_drawdown > -9000 AND max_exposure <= 12"}))
 def portfolio_leaderboards(spark, sf):
-    return pf.leaderboards(exact(spark, sf), screened(spark, sf), -9000.0, 12.0, 5).select("board", "portfolio_id", "net", "max_drawdown")
+    s = Study(spark, sf)
+    m = s.members()
+    x, d = materialize(s.exact(m), "exact"), materialize(s.screened(m), "screened")
+    return pf.leaderboards(x, d, -9000.0, 12.0, 5).select("board", "portfolio_id", "net", "max_drawdown")
 
 
 @register("portfolio_sum_paths", pq("session slot:i delta:d adverse:d exposure:i", "SELECT session, slot, sum(delta) AS delta, sum(adverse) AS adverse, sum(exposure) AS exposure FROM spt GROUP BY 1, 2"))
 def portfolio_sum_paths(spark, sf):
-    return pf.sum_paths(paths(spark, sf), [])
+    return pf.sum_paths(Study(spark, sf).paths(), [])
 
 
 @register("portfolio_minute_drawdown", pq("sleeve net:d max_drawdown:d max_exposure:i", "SELECT sleeve, sum(delta) AS net, least(0, min(eq - pk), min(eq - delta + adverse - pb)) AS max_drawdown, max(exposure) AS max_exposure FROM md2 GROUP BY 1", {
     "md1": "SELECT *, sum(delta) OVER (PARTITION BY sleeve ORDER BY session, slot) AS eq FROM spt",
     "md2": "SELECT *, greatest(0, max(eq) OVER w) AS pk, greatest(0, max(eq) OVER v) AS pb FROM md1 WINDOW w AS (PARTITION BY sleeve ORDER BY session, slot), v AS (PARTITION BY sleeve ORDER BY session, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"}))
 def portfolio_minute_drawdown(spark, sf):
-    return pf.minute_drawdown(paths(spark, sf), ["sleeve"])
+    return pf.minute_drawdown(Study(spark, sf).paths(), ["sleeve"])

@@ -9,6 +9,7 @@ from tidebar.plans.flows import KEYS
 from tidebar.plans.oracle import pick, with_ctes
 from tidebar.plans.q_windows import M
 from tidebar.plans.registry import register
+from tidebar.sources.scratch import materialize
 from tidebar.plans.views import TEST, TRAIN, VALIDATE
 
 R = "config_id, symbol"
@@ -129,7 +130,8 @@ def stat_known_days(spark, sf):
 
 
 def known(spark, sf):
-    return st.known_days(flows.outcomes(spark, sf, M), trades(spark, sf))
+    o = flows.labelled(spark, sf)
+    return st.known_days(o, flows.trades(spark, sf, o=o).filter("executed"))
 
 
 @register("stat_buckets", sq(f"symbol bucket {AGGC} max_drawdown:d", f"""SELECT symbol, bucket, {AGG}, least(0, min(eq - pk), min(eq - pnl + worst - pb)) AS max_drawdown FROM bk2 GROUP BY 1, 2""", {
@@ -249,8 +251,9 @@ def screen_status(spark, sf):
     from tidebar.operators.joins import explode_axes
     sym = views.bars(spark, sf, M).select("symbol").distinct()
     g = explode_axes(sym, {"s": [0, 1, 2], "e": list(range(8))}).select("symbol", F.format_string("c%02d-%02d", "s", "e").alias("config_id"))
-    u = flows.outcomes(spark, sf, M).groupBy("config_id", "symbol").agg(F.greatest(F.count_if("is_unknown") - 20, F.lit(0)).alias("_u"))
-    t = trades(spark, sf).groupBy("config_id", "symbol").agg(F.count(F.lit(1)).alias("trades"))
+    o = flows.labelled(spark, sf)
+    u = o.groupBy("config_id", "symbol").agg(F.greatest(F.count_if("is_unknown") - 20, F.lit(0)).alias("_u"))
+    t = flows.trades(spark, sf, o=o).filter("executed").groupBy("config_id", "symbol").agg(F.count(F.lit(1)).alias("trades"))
     r = u.join(t, ["config_id", "symbol"], "left").withColumn("unknown", F.when(F.col("_u") > 2, F.col("_u")).otherwise(0))
     return st.classify_status(g, r, ["config_id", "symbol"], 15)
 
@@ -299,7 +302,7 @@ def rank_group_cap(spark, sf):
 
 @register("rank_reserved_top", sq("config_id symbol net:d", """SELECT DISTINCT config_id, symbol, net FROM ((SELECT * FROM wide ORDER BY net_train + net_validate DESC, config_id, symbol LIMIT 6) UNION ALL (SELECT * FROM wide ORDER BY net DESC, config_id, symbol LIMIT 4))""", WIDE))
 def rank_reserved_top(spark, sf):
-    return st.reserved_top(results(spark, sf), [F.desc(F.col("net_train") + F.col("net_validate")), "config_id", "symbol"], 6,
+    return st.reserved_top(materialize(results(spark, sf), "results"), [F.desc(F.col("net_train") + F.col("net_validate")), "config_id", "symbol"], 6,
                            [F.desc("net"), "config_id", "symbol"], 4, ["config_id", "symbol"]).select("config_id", "symbol", "net")
 
 
