@@ -16,7 +16,7 @@ from tidebar.functions.core import KEYS, at_least, by_session, prior, trailing,
 from tidebar.operators.detect import cancel_opposite
 
 MIRROR = [*KEYS, "side"]
-ROW = ("slot", "o", "h", "l", "c", "pc", "up", "dn", "wid", "mid", "vw", "atr", "hk", "bh", "bl")
+ROW = ("slot", "o", "h", "l", "c", "pc", "up", "dn", "wid", "mid", "vw", "atr", "hk", "bh", "bl", "h2", "l2")
 INSIDE = "(r.c > r.dn AND r.c < r.up)"
 
 
@@ -41,7 +41,8 @@ def mirror(df: DataFrame, length: int, k: int) -> DataFrame:
         "_hk": at_least(F.max("high"), F.col("high"), prior(w, k), k),
         "_lk": at_least(F.min("low"), F.col("low"), prior(w, k), k),
         "_bh": at_least(F.max("high"), F.col("high"), trailing(w, k), k),
-        "_bl": at_least(F.min("low"), F.col("low"), trailing(w, k), k)})
+        "_bl": at_least(F.min("low"), F.col("low"), trailing(w, k), k),
+        "_h2": F.lag("high", 2).over(w), "_l2": F.lag("low", 2).over(w)})
     x = x.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
     long = F.col("side") == 1
     flip = lambda a, b: F.when(long, F.col(a)).otherwise(-F.col(b))
@@ -50,7 +51,8 @@ def mirror(df: DataFrame, length: int, k: int) -> DataFrame:
         flip("low", "high").alias("l"), flip("close", "close").alias("c"), flip("p_close", "p_close").alias("pc"),
         flip("or_high", "or_low").alias("up"), flip("or_low", "or_high").alias("dn"),
         F.col("or_width").alias("wid"), flip("or_mid", "or_mid").alias("mid"), flip("vwap", "vwap").alias("vw"),
-        "atr", flip("_hk", "_lk").alias("hk"), flip("_bh", "_bl").alias("bh"), flip("_bl", "_bh").alias("bl"))
+        "atr", flip("_hk", "_lk").alias("hk"), flip("_bh", "_bl").alias("bh"), flip("_bl", "_bh").alias("bl"),
+        flip("_h2", "_l2").alias("h2"), flip("_l2", "_h2").alias("l2"))
 
 
 def run_sequence(rows: DataFrame, seq: Sequence, whole_bars: bool, cutoff: int) -> DataFrame:
@@ -269,3 +271,141 @@ def double_test(edge: float, apart: float, tolerance: float, expiry: int) -> Seq
         "neck": ("double", "NULL", f"CASE WHEN {start} THEN -1e300 WHEN {st} = 1 OR ({st} = 2 AND NOT {again}) THEN greatest(s.neck, r.h) ELSE s.neck END"),
         "low": ("double", "NULL", f"CASE WHEN {start} THEN r.l WHEN {st} > 0 THEN least(s.low, r.l) ELSE s.low END"),
     }, fire, "least(s.low, r.l)", once=False)
+
+
+# ---- zones: the state holds the live price gaps of the session ----------------------
+
+ZONES = "array<struct<g: int, lo: double, hi: double, low: double>>"
+
+
+def _zone_state(live: str, lo: str, hi: str, formed: str) -> str:
+    """Live zones with their lows carried on, plus the zone formed by the current bar."""
+    kept = f"transform({live}, z -> named_struct('g', z.g, 'lo', z.lo, 'hi', z.hi, 'low', least(z.low, r.l)))"
+    new = f"array(named_struct('g', r.slot, 'lo', {lo}, 'hi', {hi}, 'low', r.bl))"
+    return (f"CASE WHEN r.c IS NULL THEN CAST(array() AS {ZONES}) WHEN coalesce({formed}, false) "
+            f"THEN concat({kept}, {new}) ELSE {kept} END")
+
+
+def gap_retest(ticks: int, expiry: int) -> Sequence:
+    """Three-bar gap inside the range, a pull back into it and a close above: newest live gap only.
+
+    Run on ``mirror(..., k=3)``: ``bl`` is the low of the three bars."""
+    live = f"filter(s.z, z -> r.slot - z.g <= {expiry} AND r.c >= z.lo AND r.h < r.up)"
+    last = f"try_element_at({live}, -1)"
+    touch = f"(coalesce(r.l <= {last}.hi AND r.h >= {last}.lo AND r.c > {last}.hi, false))"
+    rest = f"(CASE WHEN {touch} THEN slice({live}, 1, size({live}) - 1) ELSE {live} END)"
+    formed = f"(r.bl IS NOT NULL AND r.l - r.h2 >= {ticks * 0.25} AND r.h2 > r.dn AND r.l < r.up)"
+    return Sequence({"z": (ZONES, "array()", _zone_state(rest, "r.h2", "r.l", formed))},
+                    f"{touch} AND {INSIDE}", f"least({last}.low, r.l)", once=False)
+
+
+def inverse_gap(ticks: int, age: int) -> Sequence:
+    """An opposing three-bar gap that a later bar closes through, inside the range."""
+    broken = f"filter(s.z, z -> r.slot - z.g <= {age} AND r.c > z.hi)"
+    live = f"filter(s.z, z -> r.slot - z.g <= {age} AND NOT r.c > z.hi)"
+    formed = f"(r.bl IS NOT NULL AND r.l2 - r.h >= {ticks * 0.25})"
+    return Sequence({"z": (ZONES, "array()", _zone_state(live, "r.h", "r.l2", formed))},
+                    f"size({broken}) > 0 AND {INSIDE}", f"least(try_element_at({broken}, -1).low, r.l)", once=False)
+
+
+def inverse_gap_retest(ticks: int, age: int, expiry: int) -> Sequence:
+    """As ``inverse_gap``, entered on a later return into the gap that closes above it."""
+    broken = f"filter(s.z, z -> r.slot - z.g <= {age} AND r.c > z.hi)"
+    live = f"filter(s.z, z -> r.slot - z.g <= {age} AND NOT r.c > z.hi)"
+    formed = f"(r.bl IS NOT NULL AND r.l2 - r.h >= {ticks * 0.25})"
+    ended = f"(r.slot - s.inv > {expiry} OR r.c < s.sel.lo OR r.h >= r.up)"
+    back = f"(s.sel IS NOT NULL AND NOT {ended} AND r.slot > s.inv AND r.l <= s.sel.hi AND r.h >= s.sel.lo AND r.c > s.sel.hi)"
+    keep = f"(s.sel IS NOT NULL AND NOT {ended} AND NOT {back})"
+    pick = f"(NOT {keep} AND NOT ({back} AND {INSIDE}) AND size({broken}) > 0 AND {INSIDE})"
+    zone = "struct<g: int, lo: double, hi: double, low: double>"
+    low = lambda z: f"named_struct('g', {z}.g, 'lo', {z}.lo, 'hi', {z}.hi, 'low', least({z}.low, r.l))"
+    return Sequence({
+        "z": (ZONES, "array()", _zone_state(live, "r.h", "r.l2", formed)),
+        "sel": (zone, "NULL", f"CASE WHEN r.c IS NULL THEN NULL WHEN coalesce({pick}, false) THEN {low(f'try_element_at({broken}, -1)')} "
+                              f"WHEN coalesce({keep}, false) THEN {low('s.sel')} END"),
+        "inv": ("int", "-1", f"CASE WHEN coalesce({pick}, false) THEN r.slot ELSE s.inv END"),
+    }, f"{back} AND {INSIDE}", "least(s.sel.low, r.l)", once=False)
+
+
+# ---- ageing levels and triangles --------------------------------------------------------
+
+LEVELS = "array<struct<px: double, kind: int, born: int, n: int, wait: int, since: int>>"
+
+
+def ageing_levels(df: DataFrame, window: int, bounces: int, max_age: int, hold: int, width: float, cutoff: int) -> DataFrame:
+    """Bounces off confirmed pivot levels that have held ``bounces`` times before.
+
+    A pivot two bars back is known once two later bars confirm it. Levels closer than two widths
+    to a live one of the same kind are not opened. A session ends at its first missing bar."""
+    w = by_session()
+    f = trailing(w, window + 3)
+    full = F.count("close").over(f) == window + 3
+    gone = F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).over(upto(w))
+    x = df.filter(F.col("atr") > 0).withColumns({
+        "_gone": gone, "_band": F.greatest(F.lit(0.25), F.col("atr") * width),
+        "_plo": F.when(full & (F.lag("low", 2).over(w) == F.min("low").over(f)), F.lag("low", 2).over(w)),
+        "_phi": F.when(full & (F.lag("high", 2).over(w) == F.max("high").over(f)), F.lag("high", 2).over(w))})
+    x = x.filter((F.col("_gone") == 0) & (F.col("slot") < cutoff) & (F.col("slot") >= window))
+    bar = F.struct("slot", F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"),
+                   F.col("_band").alias("b"), F.col("_plo").alias("plo"), F.col("_phi").alias("phi"))
+    g = x.groupBy(*KEYS).agg(F.sort_array(F.collect_list(bar)).alias("_bars"))
+
+    def opened(levels, px, kind):
+        dup = f"exists({levels}, z -> z.kind = {kind} AND r.slot - z.born <= {max_age} AND abs(z.px - {px}) < 2 * r.b)"
+        new = f"array(named_struct('px', {px}, 'kind', {kind}, 'born', r.slot, 'n', 0, 'wait', 0, 'since', 0))"
+        return f"(CASE WHEN {px} IS NOT NULL AND NOT {dup} THEN concat({levels}, {new}) ELSE {levels} END)"
+
+    both = opened(opened("s.lv", "r.phi", -1), "r.plo", 1)
+    live = f"(r.slot - z.born <= {max_age} AND r.slot <> z.born)"
+    due = f"({live} AND z.wait = 1 AND r.slot > z.since)"
+    reject, broke = "(z.kind * (r.c - z.px) > r.b)", "(z.kind * (r.c - z.px) < -r.b)"
+    touch = f"({live} AND NOT {due} AND r.l <= z.px + r.b AND r.h >= z.px - r.b)"
+    moved = (f"transform({both}, z -> named_struct('px', z.px, 'kind', z.kind, 'born', z.born, "
+             f"'n', CASE WHEN {due} AND {reject} THEN z.n + 1 ELSE z.n END, "
+             f"'wait', CASE WHEN {due} AND ({reject} OR {broke}) THEN 0 WHEN {touch} THEN 1 ELSE z.wait END, "
+             f"'since', CASE WHEN {touch} THEN r.slot ELSE z.since END))")
+    ready = f"filter({both}, z -> {due} AND {reject} AND z.n >= {bounces})"
+    fire = f"(s.last < r.slot AND size({ready}) > 0)"
+    ev = f"named_struct('slot', r.slot, 'side', {ready}[0].kind, 'target_ref', r.c + {ready}[0].kind * 2 * r.b)"
+    none = "CAST(array() AS array<struct<slot: int, side: int, target_ref: double>>)"
+    fold = (f"aggregate(_bars, named_struct('lv', CAST(array() AS {LEVELS}), 'last', -1, 'ev', {none}), (s, r) -> named_struct("
+            f"'lv', CAST({moved} AS {LEVELS}), 'last', CASE WHEN {fire} THEN r.slot + {hold} ELSE s.last END, "
+            f"'ev', CASE WHEN {fire} THEN concat(s.ev, array({ev})) ELSE s.ev END), s -> s.ev)")
+    return g.select(*KEYS, F.inline(F.expr(fold)))
+
+
+def triangle(df: DataFrame, length: int, delay: int, contraction: float, expiry: int, cutoff: int) -> DataFrame:
+    """First break within ``expiry`` of five alternating smoothed pivots that contract.
+
+    ``df`` has ``smooth``; a pivot ``delay`` bars back is the strict extreme of both sides. A break
+    before the shape ends the session's chance."""
+    w = by_session()
+    i = F.lag("smooth", delay).over(w)
+    left, right = w.rowsBetween(-2 * delay, -delay - 1), w.rowsBetween(-delay + 1, 0)
+    full = (F.count("smooth").over(w.rowsBetween(-2 * delay, 0)) == 2 * delay + 1) & (F.col("slot") - 2 * delay >= length)
+    top = full & (i > F.max("smooth").over(left)) & (i > F.max("smooth").over(right))
+    low = full & (i < F.min("smooth").over(left)) & (i < F.min("smooth").over(right))
+    gone = F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).over(upto(w))
+    ranged = df.filter((F.col("atr") > 0) & F.col("is_normal") & F.col("or_high").isNotNull())
+    x = ranged.withColumns({"_gone": gone, "_v": i, "_k": F.when(top, 1).when(low, -1).otherwise(0)})
+    x = x.withColumn("_k", F.when((F.col("_v") > F.col("or_low")) & (F.col("_v") < F.col("or_high")), F.col("_k")).otherwise(0))
+    x = x.filter((F.col("_gone") == 0) & (F.col("slot") >= length) & (F.col("slot") < cutoff))
+    side = F.when(F.col("close") > F.col("or_high"), 1).when(F.col("close") < F.col("or_low"), -1).otherwise(0)
+    bar = F.struct("slot", F.col("_v").alias("v"), F.col("_k").alias("k"), side.alias("side"))
+    g = x.groupBy(*KEYS).agg(F.sort_array(F.collect_list(bar)).alias("_bars"))
+    new = "array(named_struct('v', r.v, 'k', r.k))"
+    last = "try_element_at(s.pv, -1)"
+    same = f"(size(s.pv) > 0 AND {last}.k = r.k)"
+    pv = (f"(CASE WHEN r.k = 0 THEN s.pv WHEN {same} THEN CASE WHEN r.k * (r.v - {last}.v) > 0 THEN concat(slice(s.pv, 1, size(s.pv) - 1), {new}) "
+          f"ELSE s.pv END WHEN size(s.pv) = 5 THEN concat(slice(s.pv, 2, 4), {new}) ELSE concat(s.pv, {new}) END)")
+    at = lambda j: f"element_at({pv}, {j})"
+    closing = " AND ".join(f"{at(j)}.k * ({at(j)}.v - {at(j - 2)}.v) < 0" for j in (3, 4, 5))
+    tight = f"abs({at(5)}.v - {at(4)}.v) <= {1 - contraction} * abs({at(2)}.v - {at(1)}.v) AND abs({at(2)}.v - {at(1)}.v) > 0"
+    done = f"(CASE WHEN r.k <> 0 AND size({pv}) = 5 THEN {closing} AND {tight} ELSE false END)"
+    fold = (f"aggregate(_bars, named_struct('pv', CAST(array() AS array<struct<v: double, k: int>>), 'shape', -1, 'dead', false), "
+            f"(s, r) -> named_struct('pv', {pv}, 'shape', CASE WHEN s.shape < 0 AND {done} THEN r.slot ELSE s.shape END, "
+            f"'dead', s.dead OR (r.side <> 0 AND s.shape < 0 AND NOT {done})), s -> named_struct('shape', s.shape, 'dead', s.dead))")
+    s = g.withColumn("_s", F.expr(fold)).filter("_s.shape >= 0 AND NOT _s.dead")
+    hits = F.filter("_bars", lambda r: (r["side"] != 0) & (r["slot"] > F.col("_s.shape")) & (r["slot"] - F.col("_s.shape") <= expiry))
+    s = s.withColumn("_h", F.get(hits, F.lit(0))).filter("_h IS NOT NULL")
+    return s.select(*KEYS, F.col("_h.slot").alias("slot"), F.col("_h.side").alias("side"), F.col("_s.shape").alias("shape_slot"))
