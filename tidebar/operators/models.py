@@ -76,13 +76,16 @@ def run_length_posterior(df: DataFrame, hazard: float, recent: int) -> DataFrame
     def path(z: list) -> list:
         prob, mean, prec, out = np.array([1.0]), np.array([0.0]), np.array([1.0]), []
         for v in z:
-            if v is None or not math.isfinite(v):
+            if v is None or not math.isfinite(v) or not prob.sum() > 0:  # the path ends here
                 out.append((None, None))
-                prob, mean, prec = np.array([1.0]), np.array([0.0]), np.array([1.0])
+                prob = np.array([0.0])
                 continue
             var = 1 + 1 / prec
             weight = prob * np.exp(-0.5 * (v - mean) ** 2 / var) / np.sqrt(2 * np.pi * var)
             prob = np.concatenate([[weight.sum() * hazard], weight * (1 - hazard)])
+            if not prob.sum() > 0:
+                out.append((None, None))
+                continue
             prob = prob / prob.sum()
             mean, prec = np.concatenate([[0.0], (mean * prec + v) / (prec + 1)]), np.concatenate([[1.0], prec + 1])
             take = slice(1, min(recent, len(prob) - 1) + 1)

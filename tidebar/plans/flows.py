@@ -12,7 +12,7 @@ from tidebar.plans import views
 from tidebar.sources.scratch import materialize
 
 KEYS = ["symbol", "session"]
-LAST = {"hourly": 22, "monthly": 26}
+LAST = {"hourly": 22, "monthly": 26, "quarter": 93}
 EXEC = {"stop_atr": [0.1, 0.2], "target_r": [0.0, 2.0], "hold": [4, 8]}
 SIGNAL = {"lookback": [3, 5], "buffer_atr": [0.0], "vwap_filter": [0], "volume_z": [-99.0]}
 WINDOW = (5, 22)
@@ -55,6 +55,28 @@ def trades(spark, sf, kind: str = "monthly", budget: float = 400.0, o: DataFrame
     return t.withColumns({"year": F.year("session"), "executed": F.col("qty") > 0})
 
 
+def grid_search(spark, sf, kind: str, signal: dict, execution: dict, window: tuple, max_n: int) -> DataFrame:
+    """Every signal setting x every execution setting in one plan, totals per (config, symbol).
+
+    An event that several signals raise is labelled once per execution setting: signals travel as
+    an array on the distinct event and are unfolded only after the label. Labels, selection and
+    the partial totals all stay on the (symbol, session) partitioning."""
+    f = views.feat(spark, sf, kind)
+    ev = det.detect_grid(f, "rolling_breakout", LAST[kind], signal, ("atr",))
+    ev = ev.groupBy(*KEYS, "slot", "side").agg(F.first("atr").alias("atr"), F.collect_list("signal_id").alias("signals"))
+    settings = [F.struct(F.lit(i).alias("exec_id"), F.lit(a).alias("stop_atr"), F.lit(t).alias("target_r"), F.lit(h).alias("hold"))
+                for i, (a, t, h) in enumerate(product(*execution.values()))]
+    ev = ev.select("*", F.inline(F.array(*settings)))
+    o = out.barrier_outcome(ev, out.pack_bars(views.grid(spark, sf, kind)), views.MODELS[kind].flat)
+    o = o.select(*KEYS, "slot", "side", "exec_id", "exit_slot", "pnl_pts", "worst_pts", "stop_pts", "is_unknown", F.explode("signals").alias("signal_id"))
+    s = out.select_non_overlapping(o, ["signal_id", "exec_id", *KEYS], *window, max_n=max_n)
+    t = out.net_pnl(out.size_max_exposure(s, F.lit(400.0))).filter("qty > 0")
+    p = F.col("pnl")
+    return t.groupBy("signal_id", "exec_id", "symbol").agg(
+        F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("net"), F.min("worst").alias("worst"),
+        F.sum(F.when(p > 0, p).otherwise(0.0)).alias("gross_win"), F.sum(F.when(p < 0, -p).otherwise(0.0)).alias("gross_loss"))
+
+
 # ---- SQL twins -------------------------------------------------------------------
 
 def tick(x, up):

@@ -707,7 +707,7 @@ sequence("detect_repeated_pressure", folds.repeated_pressure(1, 0.35, 0.4))
 sequence("detect_second_attempt", folds.second_attempt(0.1, 1, 12))
 sequence("detect_external_flag", folds.external_flag(0.02, 1, 9.0, 20), k=1, kind=M)
 sequence("detect_vwap_reclaim_break", folds.vwap_reclaim_break(1, 12))
-sequence("detect_two_scale_change", folds.two_scale_change(0.1, 1.5, 12))
+sequence("detect_two_scale_change", folds.two_scale_change(0.02, 6.0, 15))
 sequence("detect_retest", folds.retest(8, 3.0, 0.5, "boundary"))
 sequence("detect_edge_rejection", folds.edge_rejection(0.35, 10), whole=False, k=1)
 sequence("detect_failed_break_hold", folds.failed_break_hold(1, 10), whole=False)

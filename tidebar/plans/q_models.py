@@ -75,10 +75,10 @@ def detect_return_volume_forecast(spark, sf):
     w = prior(by_day(), 20)
     d = d.withColumn("vz", ratio(F.col("v") - F.avg("v").over(w), F.nullif(F.stddev_samp("v").over(w), F.lit(0.0))))
     d = d.withColumns({"x1": ratio(F.col("oc") - F.col("oo"), F.col("atr")), "y": ratio(F.col("_e") - F.col("oc"), F.col("atr"))})
-    d = models.rolling_ridge(d.withColumn("x2", F.col("x1") * F.col("vz")), ["x1", "x2"], "y", 60, 0.1, 12).filter("pred IS NOT NULL")
+    d = models.rolling_ridge(d.withColumn("x2", F.col("x1") * F.col("vz")), ["x1", "x2"], "y", 60, 0.001, 12).filter("pred IS NOT NULL")
     d = d.withColumns({"goal": F.col("oc") + F.col("pred") * F.col("atr"), "part": F.get("beta", F.lit(1)) * F.col("x2")})
     x = f.join(d.select(*K, "goal", "part"), K).filter("slot < 14")
-    strong = F.abs("part") >= 0.005
+    strong = F.abs("part") >= 0.0
     return det.first_breaks(x, 3, strong & (F.col("goal") - F.col("close") > 1.0), strong & (F.col("close") - F.col("goal") > 1.0), 24)
 
 

@@ -3,6 +3,7 @@
 ``hourly``: events by type, one session per day, slot = hour.
 ``monthly``: orders by priority, one session per month, slot = day of month - 1; its years
 give the train / validate / test split.
+``quarter``: as ``hourly`` with 15-minute slots, for larger grids.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ class Model:
     cutoff: int = 21     # no signal from this slot on
 
 
-MODELS = {"hourly": Model(), "monthly": Model(flat=27, cutoff=24)}
+MODELS = {"hourly": Model(), "monthly": Model(flat=27, cutoff=24), "quarter": Model(flat=95, cutoff=90)}
 TRAIN, VALIDATE, TEST = (1995, 1996, 1997), (1998, 1999), (2000, 2001)
 
 
@@ -42,7 +43,7 @@ def bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
         t = table(spark, sf, "events")
         return ingest.bars_from_ticks(
             t, F.col("event_type"), F.to_date("ts"),
-            F.hour("ts") * 4 + F.floor(F.minute("ts") / 15), F.col("value"), F.struct("ts", "event_id"))
+            (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int"), F.col("value"), F.struct("ts", "event_id"))
     t = table(spark, sf, "orders")
     return ingest.bars_from_ticks(
         t, F.col("o_orderpriority"), F.trunc("o_orderdate", "month"), F.dayofmonth("o_orderdate") - 1,
