@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.core import (KEYS, at_least, before, by_session, log_ratio, prior, ratio, sgn,
                                     trailing, upto, whole_session)
 from tidebar.operators import features as feats
+from tidebar.operators.outcomes import settings_array
 
 RULES: dict[str, Callable] = {}
 
@@ -59,11 +60,9 @@ def detect(df: DataFrame, family: str, last: int, **params) -> DataFrame:
 def detect_grid(df: DataFrame, family: str, last: int, axes: dict[str, list], keep: tuple = ()) -> DataFrame:
     """Events of every setting of ``axes``: the grid is exploded per bar and filtered in the
     same stage, so only events, not bars x settings, are ever shuffled."""
-    settings = [dict(zip(axes, v)) for v in product(*axes.values())]
-    lits = [F.struct(F.lit(i).alias("signal_id"), *[F.lit(x).alias(k) for k, x in s.items()])
-            for i, s in enumerate(settings)]
+    settings = [{"signal_id": i, **dict(zip(axes, v))} for i, v in enumerate(product(*axes.values()))]
     up, down = RULES[family](Cols(), Cols("_p."))
-    wide = df.withColumn("_p", F.explode(F.array(*lits)))
+    wide = df.withColumn("_p", F.expr(f"explode({settings_array(settings)})"))
     wide = wide.withColumns({"signal_id": F.col("_p.signal_id"), **{k: F.col(f"_p.{k}") for k in axes}})
     return events(wide, up, down, last, ("signal_id", *axes, *keep))
 

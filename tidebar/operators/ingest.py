@@ -1,6 +1,8 @@
 """Bar ingest: validation, time normalisation and the session model (V operators)."""
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -68,6 +70,13 @@ def localize(df: DataFrame, tz: str, ts: str = "ts") -> DataFrame:
             .withColumn("local_year", F.year(local)))
 
 
+def order_key(ts: Column, tie: Column) -> Column:
+    """Time and tie-break in one decimal: a fixed-width ordering keeps the bar aggregate a hash
+    aggregate, where a struct would force a sort of the raw rows."""
+    wide = F.lit(Decimal(10 ** 19)).cast("decimal(20,0)")
+    return (F.unix_micros(ts.cast("timestamp")).cast("decimal(17,0)") * wide + tie.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def bars_from_ticks(df: DataFrame, symbol: Column, session: Column, slot: Column,
                     value: Column, order: Column) -> DataFrame:
     """Tumbling OHLCV bars. One hash aggregate with map-side combine: a hot symbol
@@ -94,9 +103,20 @@ def session_calendar_join(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def complete_grid(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Every expected (session, slot); a missing bar is a row of NULLs."""
-    want = calendar.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("close_slot") - 1)))
-    return want.join(bars, [*KEYS, "slot"], "left")
+    """Every expected (session, slot); a missing bar is a row of NULLs.
+
+    Calendar rows and bars meet in one grouping by session, and the missing slots are appended in
+    place: a single shuffle, the (symbol, session) one that all session windows need anyway, sized
+    by the bars. A join on the slot would first shuffle the whole grid by three keys."""
+    vals = (*PRICES, "volume")
+    extra = [c for c in calendar.columns if c not in KEYS]
+    u = calendar.unionByName(bars.select(*KEYS, "slot", *vals), allowMissingColumns=True)
+    bar = F.when(F.col("slot").isNotNull(), F.struct("slot", *vals))
+    x = u.groupBy(*KEYS).agg(*[F.max(c).alias(c) for c in extra], F.collect_list(bar).alias("_b")).filter("close_slot IS NOT NULL")
+    gone = F.array_except(F.sequence(F.lit(0), F.col("close_slot") - 1), F.transform("_b", lambda b: b["slot"]))
+    none = F.transform(gone, lambda i: F.struct(i.alias("slot"), *[F.lit(None).cast("double").alias(v) for v in vals]))
+    rows = F.concat(F.filter("_b", lambda b: b["slot"] < F.col("close_slot")), none)
+    return x.select(*KEYS, *extra, F.inline(rows))
 
 
 def missing_report(bars: DataFrame, calendar: DataFrame, cut: int) -> DataFrame:

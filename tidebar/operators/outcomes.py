@@ -46,11 +46,21 @@ def stop_ref(spec: Column, side: Column, entry: Column, hi: Column, lo: Column,
             .when(spec == "ATR_1.0", back(atr)).when(spec == "ATR_1.5", back(1.5 * atr)))
 
 
-def entries(events: DataFrame, packed: DataFrame, flat: int, slip: float) -> DataFrame:
+def settings_array(rows: list[dict]) -> str:
+    """Settings as one SQL array literal: parsed once, whatever their number."""
+    lit = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else repr(v)
+    return "array(" + ", ".join("struct(" + ", ".join(f"{lit(v)} AS {k}" for k, v in r.items()) + ")" for r in rows) + ")"
+
+
+def entries(events: DataFrame, packed: DataFrame, flat: int, slip: float, settings: list[dict] | None = None) -> DataFrame:
     """Events with an executable next-bar entry: entry price, stop, target and deadline.
 
-    Events carry ``stop_atr``, ``target_r`` (0 = none), ``hold`` and ``atr``."""
+    Events carry ``atr`` and, unless ``settings`` supply them, ``stop_atr``, ``target_r``
+    (0 = none) and ``hold``. Settings multiply the rows only after the join, so neither a shuffle
+    nor the planner's size estimate sees the multiplied side."""
     e = events.join(packed, list(KEYS)).withColumn("entry_slot", F.col("slot") + 1)
+    if settings:
+        e = e.select("*", F.expr(f"inline({settings_array(settings)})"))
     e = e.withColumn("_o", F.get(F.col("_path"), F.col("entry_slot"))["o"])
     e = e.filter(F.col("_o").isNotNull() & F.col("atr").isNotNull() & (F.col("entry_slot") < flat))
     s = F.col("side")
@@ -67,11 +77,12 @@ def _held(e: DataFrame) -> DataFrame:
     return e.withColumn("_w", F.slice("_path", F.col("entry_slot") + 1, F.col("deadline") - F.col("entry_slot") + 1)).drop("_path")
 
 
-def barrier_outcome(events: DataFrame, packed: DataFrame, flat: int, slip: float = COSTS.slip) -> DataFrame:
+def barrier_outcome(events: DataFrame, packed: DataFrame, flat: int, slip: float = COSTS.slip,
+                    settings: list[dict] | None = None) -> DataFrame:
     """First of gap stop, gap target, deadline, stop, target, in that order inside a bar.
 
     The deciding bar is the first element of one filter over the held slice."""
-    e = _held(entries(events, packed, flat, slip))
+    e = _held(entries(events, packed, flat, slip, settings))
     s = F.col("side")
 
     def code(r):
@@ -239,16 +250,34 @@ def select_non_overlapping(outcomes: DataFrame, group: list[str], start: int, en
     x = outcomes.filter((F.col("slot") >= start) & (F.col("slot") < end) & ~F.col("is_unknown"))
     if direction:
         x = x.filter(F.col("side") == direction)
-    rest = [c for c in x.columns if c not in group]
-    g = x.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("slot", "side", "exit_slot",
-                                                                   F.struct(*rest).alias("row")))).alias("_c"))
-    t = g.schema["_c"].dataType.elementType.simpleString()
-    row_t = t  # the kept list has the candidate's own type
-    fold = (f"aggregate(_c, named_struct('free', -1, 'used', 0, 'kept', CAST(array() AS array<{row_t}>)), (s, r) -> "
+    rest = [c for c in x.columns if c not in (*group, *ORDERED)]
+    g = x.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*ORDERED, *rest))).alias("_c"))
+    return g.select(*group, F.inline(F.expr(_greedy(g, "_c", max_n, cooldown))))
+
+
+ORDERED = ["slot", "side", "exit_slot"]
+
+
+def _greedy(g: DataFrame, source: str, max_n: int, cooldown: int) -> str:
+    """Fold keeping each candidate that starts after the last kept one is over."""
+    row_t = g.schema["_c"].dataType.elementType.simpleString()
+    return (f"aggregate({source}, named_struct('free', -1, 'used', 0, 'kept', CAST(array() AS array<{row_t}>)), (s, r) -> "
             f"CASE WHEN r.slot > s.free AND s.used < {max_n} THEN named_struct('free', r.exit_slot + {cooldown}, "
             f"'used', s.used + 1, 'kept', concat(s.kept, array(r))) ELSE s END, s -> s.kept)")
-    out = g.select(*group, F.explode(F.expr(fold)).alias("_k"))
-    return out.select(*group, "_k.row.*")
+
+
+def select_shared(outcomes: DataFrame, group: list[str], start: int, end: int, max_n: int = 12, cooldown: int = 0) -> DataFrame:
+    """``select_non_overlapping`` for every signal at once.
+
+    Rows carry the array ``signals`` of all settings that raise the event. The candidates of a
+    (group, session) are gathered once, and each signal folds its own subset of them, so rows
+    are not multiplied by the signals before the grouping."""
+    x = outcomes.filter((F.col("slot") >= start) & (F.col("slot") < end) & ~F.col("is_unknown"))
+    rest = [c for c in x.columns if c not in (*group, *ORDERED, "is_unknown")]
+    g = x.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*ORDERED, *rest))).alias("_c"))
+    g = g.withColumn("signal_id", F.explode(F.array_distinct(F.flatten(F.transform("_c", lambda r: r["signals"])))))
+    own = "filter(_c, r -> array_contains(r.signals, signal_id))"
+    return g.select(*group, "signal_id", F.inline(F.expr(_greedy(g, own, max_n, cooldown)))).drop("signals")
 
 
 def one_per_session(outcomes: DataFrame, group: list[str]) -> DataFrame:

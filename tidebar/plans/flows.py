@@ -25,17 +25,14 @@ def events_with_atr(spark, sf, kind: str) -> DataFrame:
     return grid.select(*KEYS, "slot", "side", "signal_id", "atr")
 
 
-def exec_events(spark, sf, kind: str) -> DataFrame:
-    """Events under every execution setting; ``exec_id`` numbers the settings."""
-    settings = [F.struct(F.lit(i).alias("exec_id"), F.lit(a).alias("stop_atr"), F.lit(t).alias("target_r"), F.lit(h).alias("hold"))
-                for i, (a, t, h) in enumerate(product(*EXEC.values()))]
-    e = events_with_atr(spark, sf, kind)
-    return e.select("*", F.inline(F.array(*settings)))
+def exec_settings(execution: dict) -> list[dict]:
+    return [{"exec_id": i, **dict(zip(execution, v))} for i, v in enumerate(product(*execution.values()))]
 
 
 def outcomes(spark, sf, kind: str) -> DataFrame:
+    """Events labelled under every execution setting; ``exec_id`` numbers the settings."""
     packed = out.pack_bars(views.grid(spark, sf, kind))
-    o = out.barrier_outcome(exec_events(spark, sf, kind), packed, views.MODELS[kind].flat)
+    o = out.barrier_outcome(events_with_atr(spark, sf, kind), packed, views.MODELS[kind].flat, settings=exec_settings(EXEC))
     return o.withColumn("config_id", F.format_string("c%02d-%02d", "signal_id", "exec_id"))
 
 
@@ -59,17 +56,14 @@ def grid_search(spark, sf, kind: str, signal: dict, execution: dict, window: tup
     """Every signal setting x every execution setting in one plan, totals per (config, symbol).
 
     An event that several signals raise is labelled once per execution setting: signals travel as
-    an array on the distinct event and are unfolded only after the label. Labels, selection and
+    an array on the distinct event and are unfolded only by the selection. Labels, selection and
     the partial totals all stay on the (symbol, session) partitioning."""
     f = views.feat(spark, sf, kind)
     ev = det.detect_grid(f, "rolling_breakout", LAST[kind], signal, ("atr",))
     ev = ev.groupBy(*KEYS, "slot", "side").agg(F.first("atr").alias("atr"), F.collect_list("signal_id").alias("signals"))
-    settings = [F.struct(F.lit(i).alias("exec_id"), F.lit(a).alias("stop_atr"), F.lit(t).alias("target_r"), F.lit(h).alias("hold"))
-                for i, (a, t, h) in enumerate(product(*execution.values()))]
-    ev = ev.select("*", F.inline(F.array(*settings)))
-    o = out.barrier_outcome(ev, out.pack_bars(views.grid(spark, sf, kind)), views.MODELS[kind].flat)
-    o = o.select(*KEYS, "slot", "side", "exec_id", "exit_slot", "pnl_pts", "worst_pts", "stop_pts", "is_unknown", F.explode("signals").alias("signal_id"))
-    s = out.select_non_overlapping(o, ["signal_id", "exec_id", *KEYS], *window, max_n=max_n)
+    o = out.barrier_outcome(ev, out.pack_bars(views.grid(spark, sf, kind)), views.MODELS[kind].flat, settings=exec_settings(execution))
+    o = o.select(*KEYS, "slot", "side", "exec_id", "exit_slot", "pnl_pts", "worst_pts", "stop_pts", "is_unknown", "signals")
+    s = out.select_shared(o, ["exec_id", *KEYS], *window, max_n=max_n)
     t = out.net_pnl(out.size_max_exposure(s, F.lit(400.0))).filter("qty > 0")
     p = F.col("pnl")
     return t.groupBy("signal_id", "exec_id", "symbol").agg(

@@ -267,12 +267,12 @@ def ingest_stamp_sensitivity(spark, sf):
 
 @register("ingest_bars_from_ticks", with_ctes(H, pick(OHLCV, "bars")))
 def ingest_bars_from_ticks(spark, sf):
-    return views.bars(spark, sf, H)
+    return views.raw_bars(spark, sf, H)
 
 
 @register("ingest_bars_monthly", with_ctes("monthly", pick(OHLCV, "bars")))
 def ingest_bars_monthly(spark, sf):
-    return views.bars(spark, sf, "monthly")
+    return views.raw_bars(spark, sf, "monthly")
 
 
 # ---- simple projections and session aggregates ---------------------------------
@@ -290,7 +290,7 @@ def filter_date_range(spark, sf):
         & (F.col("o_orderdate") < F.to_timestamp_ntz(F.lit("1999-01-01 00:00:00"))))
     return ingest.bars_from_ticks(t, F.col("o_orderpriority"), F.trunc("o_orderdate", "month"),
                                   F.dayofmonth("o_orderdate") - 1, F.col("o_totalprice") / 1000,
-                                  F.struct("o_orderdate", "o_orderkey"))
+                                  ingest.order_key(F.col("o_orderdate"), F.col("o_orderkey")))
 
 
 @register("filter_eligible_sessions", with_ctes(H, pick("symbol session atr:d complete", """(SELECT d.symbol, d.session, d.atr,

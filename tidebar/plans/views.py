@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import features as feats
 from tidebar.operators import ingest
+from tidebar.sources.scratch import scratch_path
 
 
 @dataclass(frozen=True)
@@ -34,20 +35,36 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
-    if kind == "hourly":
-        t = table(spark, sf, "events")
-        return ingest.bars_from_ticks(t, F.col("event_type"), F.to_date("ts"), F.hour("ts"),
-                                      F.col("value"), F.struct("ts", "event_id"))
-    if kind == "quarter":
-        t = table(spark, sf, "events")
+def raw_bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Bars straight from the source table: one scan, one hash aggregate."""
+    if kind == "monthly":
+        t = table(spark, sf, "orders")
         return ingest.bars_from_ticks(
-            t, F.col("event_type"), F.to_date("ts"),
-            (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int"), F.col("value"), F.struct("ts", "event_id"))
-    t = table(spark, sf, "orders")
-    return ingest.bars_from_ticks(
-        t, F.col("o_orderpriority"), F.trunc("o_orderdate", "month"), F.dayofmonth("o_orderdate") - 1,
-        F.col("o_totalprice") / 1000, F.struct("o_orderdate", "o_orderkey"))
+            t, F.col("o_orderpriority"), F.trunc("o_orderdate", "month"), F.dayofmonth("o_orderdate") - 1,
+            F.col("o_totalprice") / 1000, ingest.order_key(F.col("o_orderdate"), F.col("o_orderkey")))
+    t = table(spark, sf, "events")
+    slot = F.hour("ts") if kind == "hourly" else (F.hour("ts") * 4 + F.floor(F.minute("ts") / 15)).cast("int")
+    return ingest.bars_from_ticks(t, F.col("event_type"), F.to_date("ts"), slot, F.col("value"),
+                                  ingest.order_key(F.col("ts"), F.col("event_id")))
+
+
+_PREPARED: dict[tuple, str] = {}
+
+
+def prepare(spark: SparkSession, sf: str, kind: str) -> str:
+    """Write the bars of a view to the shared folder and return the path."""
+    path = scratch_path(spark, f"bars-{kind}")
+    raw_bars(spark, sf, kind).write.parquet(path)
+    return path
+
+
+def bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Prepared bars. Plans read them several times (calendar, session values, labels), so the raw
+    table is aggregated once per application and the raw scan is not repeated inside a query."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _PREPARED:
+        _PREPARED[key] = prepare(spark, sf, kind)
+    return spark.read.parquet(_PREPARED[key])
 
 
 def calendar(b: DataFrame, kind: str) -> DataFrame:
