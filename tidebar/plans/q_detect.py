@@ -204,7 +204,7 @@ def detect_first_or_unknown(spark, sf):
 @register("detect_cancel_opposite", with_ctes(H, pick(EV, """(SELECT symbol, session, slot, min(side) AS side FROM (SELECT symbol, session, slot, 1 AS side FROM feat WHERE high > hi3
  UNION ALL SELECT symbol, session, slot, -1 FROM feat WHERE low < lo3) GROUP BY 1, 2, 3 HAVING count(DISTINCT side) = 1)""")))
 def detect_cancel_opposite(spark, sf):
-    f = views.feat(spark, sf, H).filter("or_open IS NOT NULL")
+    f = views.feat(spark, sf, H)
     both = det.union_sides(f.filter("high > hi3").select(*K, "slot"), f.filter("low < lo3").select(*K, "slot"))
     return det.cancel_opposite(both, [*K, "slot"])
 
@@ -323,7 +323,7 @@ def side_breaks(name, frame, up_ok, dn_ok, sql_up, sql_dn, src="itc", extra=None
 
 
 def hourly(spark, sf):
-    return views.feat(spark, sf, H).filter("or_open IS NOT NULL")
+    return views.feat(spark, sf, H)
 
 
 def T():

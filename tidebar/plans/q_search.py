@@ -88,7 +88,7 @@ def set_same(spark, sf):
 
 @register("set_intersect_rules", with_ctes(H, pick("symbol session slot:i", "(SELECT symbol, session, slot FROM feat WHERE close > hi3 INTERSECT SELECT symbol, session, slot FROM feat WHERE close > vwap)")))
 def set_intersect_rules(spark, sf):
-    f = views.base(spark, sf, H).filter("or_open IS NOT NULL")
+    f = views.base(spark, sf, H)
     return f.filter("close > hi3").select(*K, "slot").intersect(f.filter("close > vwap").select(*K, "slot"))
 
 
@@ -339,7 +339,7 @@ def audit_causality(spark, sf):
     def build(x):
         g = ingest.complete_grid(x, views.calendar(x, H))
         d = feats.daily_features(g, 5, 3)
-        f = feats.clock_stats(feats.opening_range_columns(feats.intraday(g.join(d, K)), 3), 5, 3).filter("or_open IS NOT NULL")
+        f = feats.clock_stats(feats.opening_range_columns(feats.intraday(g.join(d, K)), 3), 5, 3)
         cols = ("atr", "prev_close", "vwap", "hi3", "lo5", "ret", "run_high", "volume_z", "noise", "ret_z", "p_vwap")
         return f.withColumn("_j", F.lit(1)).join(last.withColumn("_j", F.lit(1)), "_j").select(*K, "slot", "_last", *cols)
 

@@ -82,7 +82,7 @@ def win_ema_daily(spark, sf):
 
 @register("win_session_vwap", win(H, "symbol session slot:i vwap:d vwap_slope:d dist:d", "SELECT *, (close - vwap) / atr AS dist FROM feat"))
 def win_session_vwap(spark, sf):
-    return views.base(spark, sf, H).filter("or_open IS NOT NULL").select(
+    return views.base(spark, sf, H).select(
         *KS, "vwap", "vwap_slope", F.try_divide(F.col("close") - F.col("vwap"), "atr").alias("dist"))
 
 
@@ -99,13 +99,13 @@ def win_same_clock(spark, sf):
  CASE WHEN count(cum_volume) OVER w >= 3 THEN (cum_volume - avg(cum_volume) OVER w) / nullif(stddev_pop(cum_volume) OVER w, 0) END AS cum_z
  FROM feat WINDOW w AS ({CLK} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"""))
 def win_same_clock_z(spark, sf):
-    f = views.feat(spark, sf, H).filter("or_open IS NOT NULL")
+    f = views.feat(spark, sf, H)
     return feats.same_clock_z(f, "cum_volume", 5, 3, "cum_z").select(*KS, "volume_z", "cum_z")
 
 
 @register("win_standardized_returns", win(H, "symbol session slot:i ret:d ret_z:d", "SELECT * FROM feat"))
 def win_standardized_returns(spark, sf):
-    return views.feat(spark, sf, H).filter("or_open IS NOT NULL").select(*KS, "ret", "ret_z")
+    return views.feat(spark, sf, H).select(*KS, "ret", "ret_z")
 
 
 BAND = "CASE WHEN day_open IS NOT NULL AND prev_close IS NOT NULL THEN"
@@ -115,7 +115,7 @@ BAND = "CASE WHEN day_open IS NOT NULL AND prev_close IS NOT NULL THEN"
  {BAND} greatest(day_open, prev_close) * (1 + 0.9 * noise) END AS band_up,
  {BAND} least(day_open, prev_close) * (1 - 0.9 * noise) END AS band_down FROM feat"""))
 def win_noise_band(spark, sf):
-    return feats.noise_band(views.feat(spark, sf, H).filter("or_open IS NOT NULL"), 0.9).select(*KS, "band_up", "band_down")
+    return feats.noise_band(views.feat(spark, sf, H), 0.9).select(*KS, "band_up", "band_down")
 
 
 ORV = {"ov": """SELECT symbol, session, sum(volume) AS or_volume FROM bars WHERE slot < 3 GROUP BY 1, 2
@@ -149,14 +149,14 @@ def win_volume_quota(spark, sf):
 
 @register("win_prior_extreme", win(H, "symbol session slot:i hi3:d lo3:d hi5:d lo5:d p_hi3:d p_lo5:d", "SELECT * FROM feat"))
 def win_prior_extreme(spark, sf):
-    return views.base(spark, sf, H).filter("or_open IS NOT NULL").select(*KS, "hi3", "lo3", "hi5", "lo5", "p_hi3", "p_lo5")
+    return views.base(spark, sf, H).select(*KS, "hi3", "lo3", "hi5", "lo5", "p_hi3", "p_lo5")
 
 
 @register("win_running_extreme", win(H, "symbol session slot:i from_low_atr:d to_high_atr:d range_pos:d", """SELECT symbol, session, slot,
  (close - run_low) / nullif(atr, 0) AS from_low_atr, (run_high - close) / nullif(atr, 0) AS to_high_atr,
  CASE WHEN run_high > run_low THEN (close - run_low) / (run_high - run_low) WHEN close IS NOT NULL THEN 0.5 END AS range_pos FROM feat"""))
 def win_running_extreme(spark, sf):
-    return feats.running_extremes(views.base(spark, sf, H).filter("or_open IS NOT NULL")).select(*KS, "from_low_atr", "to_high_atr", "range_pos")
+    return feats.running_extremes(views.base(spark, sf, H)).select(*KS, "from_low_atr", "to_high_atr", "range_pos")
 
 
 @register("win_momentum", win(H, "symbol session slot:i mom2:d mom4:d", f"""SELECT symbol, session, slot,
@@ -172,14 +172,14 @@ def win_momentum(spark, sf):
  CASE WHEN sum(abs(ret)) OVER w > 0 AND close > 0 AND lag(close, 4) OVER o > 0 THEN abs(ln(close / lag(close, 4) OVER o)) / sum(abs(ret)) OVER w END AS eff4
  FROM feat WINDOW o AS ({SES}), w AS ({SES} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"""))
 def win_realized_vol(spark, sf):
-    f = views.base(spark, sf, H).filter("or_open IS NOT NULL")
+    f = views.base(spark, sf, H)
     return feats.efficiency(feats.range_atr(feats.realized_vol(f, 4), 4), 4).select(*KS, "rv4", "range4_atr", "eff4")
 
 
 @register("win_or_position", win(H, "symbol session slot:i or_pos:d", """SELECT symbol, session, slot,
  CASE WHEN slot >= 2 THEN (close - or_mid) / or_width END AS or_pos FROM feat"""))
 def win_or_position(spark, sf):
-    return feats.or_position(views.base(spark, sf, H).filter("or_open IS NOT NULL"), 3).select(*KS, "or_pos")
+    return feats.or_position(views.base(spark, sf, H), 3).select(*KS, "or_pos")
 
 
 @register("win_overnight_context", win(H, "symbol session on_range_atr:d open_vs_on_vwap_atr:d", """SELECT symbol, session, (on_high - on_low) / nullif(atr, 0) AS on_range_atr,
@@ -195,7 +195,7 @@ def win_overnight_context(spark, sf):
  CASE WHEN lead(close, 2) OVER o IS NOT NULL THEN (min(low) OVER w - close) / nullif(atr, 0) END AS mae2
  FROM feat WINDOW o AS ({SES}), w AS ({SES} ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)"""))
 def win_forward_labels(spark, sf):
-    return feats.forward_labels(views.base(spark, sf, H).filter("or_open IS NOT NULL"), 2).select(*KS, "y2", "mfe2", "mae2")
+    return feats.forward_labels(views.base(spark, sf, H), 2).select(*KS, "y2", "mfe2", "mae2")
 
 
 SNAP = {"snap0": f"""SELECT *, year(session) AS year, (prev_high - prev_low) / nullif(atr, 0) AS prev_range_atr,
@@ -237,7 +237,7 @@ def win_snapshots(spark, sf):
  FROM (SELECT *, abs(ret * lag(ret) OVER (PARTITION BY symbol, session ORDER BY slot)) AS pair FROM feat)
  WINDOW w AS ({SES} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), v AS ({SES} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""))
 def win_jump_share(spark, sf):
-    return feats.jump_share(views.base(spark, sf, H).filter("or_open IS NOT NULL"), 5).select(*KS, "jump_share")
+    return feats.jump_share(views.base(spark, sf, H), 5).select(*KS, "jump_share")
 
 
 @register("win_adverse_semivariance", win(H, "symbol session slot:i down_var:d up_var:d down_q:d up_q:d", f"""SELECT *,
@@ -248,7 +248,7 @@ def win_jump_share(spark, sf):
  FROM feat WINDOW w AS ({SES} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
  WINDOW k AS ({CLK} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)"""))
 def win_adverse_semivariance(spark, sf):
-    f = views.base(spark, sf, H).filter("or_open IS NOT NULL")
+    f = views.base(spark, sf, H)
     return feats.adverse_semivariance(f, 3, 10, 4, 0.8).select(*KS, "down_var", "up_var", "down_q", "up_q")
 
 
@@ -265,7 +265,7 @@ def cusum_sql(kind="hourly"):
           "(SELECT symbol, session, slot, CASE WHEN z IS NOT NULL THEN u END AS cusum_up, CASE WHEN z IS NOT NULL THEN d END AS cusum_down FROM cus)"),
           cusum_sql(), recursive=True))
 def win_cusum(spark, sf):
-    return feats.cusum(views.feat(spark, sf, H).filter("or_open IS NOT NULL"), "ret_z", 0.25).select(*KS, "cusum_up", "cusum_down")
+    return feats.cusum(views.feat(spark, sf, H), "ret_z", 0.25).select(*KS, "cusum_up", "cusum_down")
 
 
 VR = {"vr0": f"SELECT symbol, session, slot, CASE WHEN count(ret) OVER w >= 8 THEN list(ret) OVER w END AS x0 FROM feat WINDOW w AS ({SES} ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)",
@@ -279,7 +279,7 @@ VR = {"vr0": f"SELECT symbol, session, slot, CASE WHEN count(ret) OVER w >= 8 TH
 
 @register("win_variance_ratio", with_ctes(H, pick("symbol session slot:i vr_score:d", "vrs"), VR))
 def win_variance_ratio(spark, sf):
-    return feats.variance_ratio(views.base(spark, sf, H).filter("or_open IS NOT NULL"), 8, 3).select(*KS, "vr_score")
+    return feats.variance_ratio(views.base(spark, sf, H), 8, 3).select(*KS, "vr_score")
 
 
 @register("win_local_linear", win(H, "symbol session slot:i smooth:d", f"""SELECT symbol, session, slot,
@@ -319,7 +319,7 @@ REC = {"rec0": f"SELECT symbol, session, slot, CASE WHEN count(ret) OVER w >= 5
 
 @register("win_recency_mean", with_ctes(H, pick("symbol session slot:i recency:d recency_unc:d", "rec"), REC))
 def win_recency_mean(spark, sf):
-    return feats.recency_mean(views.base(spark, sf, H).filter("or_open IS NOT NULL"), "ret", 5).select(*KS, "recency", "recency_unc")
+    return feats.recency_mean(views.base(spark, sf, H), "ret", 5).select(*KS, "recency", "recency_unc")
 
 
 # ---- opening measures ----------------------------------------------------------
