@@ -122,6 +122,8 @@ def tree_rules(snap: DataFrame, cols: list[str], label: str, train: tuple, depth
     """Shallow regression tree on the training years; each leaf as a conjunction of conditions."""
     from pyspark.ml.regression import DecisionTreeRegressor
     x = _features(snap.filter(F.col("year").isin(*train) & F.col(label).isNotNull()), cols)
+    if x.isEmpty():
+        return {}
     model = DecisionTreeRegressor(featuresCol="_x", labelCol=label, maxDepth=depth, minInstancesPerNode=leaf, seed=5).fit(x)
     rules: dict[str, list] = {}
 

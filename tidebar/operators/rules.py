@@ -20,6 +20,8 @@ def condition(feature: str, op: str, value: float) -> Column:
 def apply_rules(snap: DataFrame, rules: dict[str, list[Condition]]) -> DataFrame:
     """Rows of every matching rule. Rules are parameters, so they become one generated column:
     no join and no shuffle. A missing feature fails the rule."""
+    if not rules:
+        return snap.withColumn("rule_id", F.lit("")).filter(F.lit(False))
     hits = [F.when(reduce(lambda a, b: a & b, [condition(*c) for c in conds]), F.lit(rid)) for rid, conds in rules.items()]
     return snap.withColumn("rule_id", F.explode(F.array_compact(F.array(*hits))))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidebar.operators import features as feats
 from tidebar.operators import ingest
-from tidebar.sources.scratch import scratch_path
+from tidebar.sources.scratch import exists, scratch_path
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ def bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     """Prepared bars. Plans read them several times (calendar, session values, labels), so the raw
     table is aggregated once per application and the raw scan is not repeated inside a query."""
     key = (spark.sparkContext.applicationId, sf, kind)
-    if key not in _PREPARED:
+    if key not in _PREPARED or not exists(spark, _PREPARED[key] + "/_SUCCESS"):
         _PREPARED[key] = prepare(spark, sf, kind)
     return spark.read.parquet(_PREPARED[key])
 
