@@ -98,12 +98,15 @@ def signed(side: Column, up: Column, down: Column) -> Column:
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Report form: doubles rounded with -0.0 removed, integers widened to bigint."""
+    """Report form: doubles rounded with -0.0 removed, integers widened to bigint.
+
+    A nudge far below the rounding unit moves exact decimal ties off the half, so that the order
+    of a distributed sum cannot show in the last digit; the SQL twins round the same way."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(3e-10), digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         out.append(c.alias(f.name))

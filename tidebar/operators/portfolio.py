@@ -62,7 +62,7 @@ def sample_portfolios(sleeves: DataFrame, n: int, active: tuple[int, int], optio
     option for each, smaller scales being likelier. Draw i depends on i alone, so the rows are
     generated in parallel and reproducibly; numbers come from md5, not from a random state."""
     names = sleeves.agg(F.array_sort(F.collect_set("sleeve")).alias("_s"))
-    base = names.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"), "_s")
+    base = names.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i"), "_s").repartition("_i")
     u = lambda *parts: (F.conv(F.substring(F.md5(F.concat_ws("-", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
     lo, hi = active
     x = base.withColumn("_k", F.floor(F.lit(lo) + u(F.lit("k"), F.col("_i")) * (F.least(F.lit(hi), F.size("_s")) - lo + 1)).cast("int"))

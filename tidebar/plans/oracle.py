@@ -93,7 +93,7 @@ def pick(spec: str, source: str) -> str:
         if kind == "i":
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         elif kind == "d":
-            out.append(f"round(CAST({name} AS DOUBLE), 6) + 0.0 AS {name}")
+            out.append(f"round(CAST({name} AS DOUBLE) + 3e-10, 6) + 0.0 AS {name}")
         else:
             out.append(name)
     return f"SELECT {', '.join(out)} FROM {source}"

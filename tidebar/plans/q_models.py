@@ -141,8 +141,8 @@ def stream(spark, sf):
     return streams.event_stream(spark, f"{sf}/events.parque[t]", SCHEMA, "10 minutes")
 
 
-@register("stream_bars", f"""SELECT event_type AS symbol, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS bar_epoch, round(first(value ORDER BY ts, event_id), 6) + 0.0 AS open,
- round(max(value), 6) + 0.0 AS high, round(min(value), 6) + 0.0 AS low, round(last(value ORDER BY ts, event_id), 6) + 0.0 AS close, CAST(count(*) AS BIGINT) AS volume
+@register("stream_bars", f"""SELECT event_type AS symbol, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS bar_epoch, round(first(value ORDER BY ts, event_id) + 3e-10, 6) + 0.0 AS open,
+ round(max(value) + 3e-10, 6) + 0.0 AS high, round(min(value) + 3e-10, 6) + 0.0 AS low, round(last(value ORDER BY ts, event_id) + 3e-10, 6) + 0.0 AS close, CAST(count(*) AS BIGINT) AS volume
  FROM events WHERE ts < {STOP} GROUP BY 1, 2""")
 def stream_bars(spark, sf):
     b = streams.drain(streams.stream_bars(stream(spark, sf), "1 hour"), "stream-bars").filter("bar_ts < TIMESTAMP '2024-01-30 00:00:00'")

@@ -173,7 +173,7 @@ def outcome_stop_ref(spark, sf):
     return f.withColumn("stop_px", px).select(*K, "spec", "stop_px", (F.col("side") * (F.col("close") - F.col("stop_px"))).alias("risk_pts"))
 
 
-@register("outcome_round_tick", """SELECT CAST(event_id AS BIGINT) AS event_id, round(floor(value * 4 + 1e-8) / 4, 6) + 0.0 AS long_px, round(ceil(value * 4 - 1e-8) / 4, 6) + 0.0 AS short_px FROM events""")
+@register("outcome_round_tick", """SELECT CAST(event_id AS BIGINT) AS event_id, round(floor(value * 4 + 1e-8) / 4 + 3e-10, 6) + 0.0 AS long_px, round(ceil(value * 4 - 1e-8) / 4 + 3e-10, 6) + 0.0 AS short_px FROM events""")
 def outcome_round_tick(spark, sf):
     t = views.table(spark, sf, "events")
     return t.select("event_id", out.away_tick(F.col("value"), F.lit(1)).alias("long_px"), out.away_tick(F.col("value"), F.lit(-1)).alias("short_px"))
@@ -189,8 +189,8 @@ def outcome_inside_entry(spark, sf):
     return out.inside_entry_checks(o, 0.5, "interior").select("config_id", *K, "slot", "side", "location")
 
 
-@register("outcome_stress", with_ctes(M, """SELECT config_id, round(stress_slip, 6) + 0.0 AS stress_slip, CAST(count(*) AS BIGINT) AS trades,
- round(sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (stress_slip - 0.25)), 6) + 0.0 AS net_pts FROM sel, (VALUES (0.25), (0.5), (0.75)) v(stress_slip) GROUP BY 1, 2""",
+@register("outcome_stress", with_ctes(M, """SELECT config_id, round(stress_slip + 3e-10, 6) + 0.0 AS stress_slip, CAST(count(*) AS BIGINT) AS trades,
+ round(sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (stress_slip - 0.25)) + 3e-10, 6) + 0.0 AS net_pts FROM sel, (VALUES (0.25), (0.5), (0.75)) v(stress_slip) GROUP BY 1, 2""",
  {**flows.outcomes_sql(M), **flows.select_sql()}, recursive=True))
 def outcome_stress(spark, sf):
     return out.stress(flows.selected(spark, sf), [0.25, 0.5, 0.75]).groupBy("config_id", "stress_slip").agg(
@@ -213,8 +213,8 @@ def outcome_ambiguity(spark, sf):
         F.count_distinct(F.when(F.col("ambiguous"), F.col("session"))).alias("ambiguous_sessions"))
 
 
-@register("flow_opening_breakout", with_ctes(H, """SELECT symbol, CAST(count(*) AS BIGINT) AS trades, round(sum(pnl), 6) + 0.0 AS net, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END), 6) + 0.0 AS gross_win,
- round(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END), 6) + 0.0 AS gross_loss, CAST(count(*) FILTER (reason = 'stop') AS BIGINT) AS stops, CAST(count(*) FILTER (reason = 'target') AS BIGINT) AS targets FROM fl2 GROUP BY 1""", {
+@register("flow_opening_breakout", with_ctes(H, """SELECT symbol, CAST(count(*) AS BIGINT) AS trades, round(sum(pnl) + 3e-10, 6) + 0.0 AS net, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) + 3e-10, 6) + 0.0 AS gross_win,
+ round(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0 END) + 3e-10, 6) + 0.0 AS gross_loss, CAST(count(*) FILTER (reason = 'stop') AS BIGINT) AS stops, CAST(count(*) FILTER (reason = 'target') AS BIGINT) AS targets FROM fl2 GROUP BY 1""", {
     "fev": "SELECT symbol, session, min(slot) AS slot, arg_min(side, slot) AS side, any_value(atr) AS atr FROM (SELECT *, CASE WHEN close > or_high THEN 1 ELSE -1 END AS side FROM feat WHERE slot >= 3 AND slot < 22 AND atr > 0 AND is_normal AND (close > or_high OR close < or_low)) GROUP BY 1, 2",
     "fe1": "SELECT *, 0.2 AS stop_atr, 1.5 AS target_r, 8 AS hold, row_number() OVER () AS eid FROM fev", **flows.barrier_sql("fe1", 23),
     "fl0": "SELECT *, {} AS instrument, {} AS qty FROM outc WHERE NOT is_unknown".format(*flows.size_sql("300")), "fl1": flows.money_sql("fl0"), "fl2": "SELECT * FROM fl1 WHERE qty > 0"}))

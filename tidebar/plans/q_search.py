@@ -35,7 +35,7 @@ def join_with_daily(spark, sf):
     return jn.with_daily(views.bars(spark, sf, H), views.daily(spark, sf, H), ["atr", "prev_close"]).select(*K, "slot", "close", "atr", "prev_close")
 
 
-@register("join_asof_prev", """SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey, round(s.level, 6) + 0.0 AS level FROM orders o
+@register("join_asof_prev", """SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey, round(s.level + 3e-10, 6) + 0.0 AS level FROM orders o
  ASOF LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS d, avg(l_quantity) AS level FROM lineitem GROUP BY 1) s ON CAST(o.o_orderdate AS DATE) > s.d""")
 def join_asof_prev(spark, sf):
     o = views.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
@@ -43,7 +43,7 @@ def join_asof_prev(spark, sf):
     return jn.asof_prev(o, "d", s, "obs_date", "level0", "level").select("o_orderkey", "level")
 
 
-@register("join_asof_prev_keyed", """SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey, round(s.level, 6) + 0.0 AS level FROM orders o
+@register("join_asof_prev_keyed", """SELECT CAST(o.o_orderkey AS BIGINT) AS o_orderkey, round(s.level + 3e-10, 6) + 0.0 AS level FROM orders o
  ASOF LEFT JOIN (SELECT l_linestatus AS k, CAST(l_shipdate AS DATE) AS d, avg(l_quantity) AS level FROM lineitem GROUP BY 1, 2) s ON o.o_orderstatus = s.k AND CAST(o.o_orderdate AS DATE) > s.d""")
 def join_asof_prev_keyed(spark, sf):
     o = views.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("k"), F.to_date("o_orderdate").alias("d"))
@@ -67,14 +67,10 @@ def join_semi_sessions(spark, sf):
     return b.join(keep, K, "left_semi").select(*K, "slot", "close")
 
 
-@register("set_union_latest", with_ctes(M, pick("id:i version:i close:d", """(SELECT hash_id AS id, CASE WHEN slot % 2 = 0 THEN 2 ELSE 1 END AS version, close + CASE WHEN slot % 2 = 0 THEN 1 ELSE 0 END AS close
- FROM (SELECT *, row_number() OVER (ORDER BY symbol, session, slot) AS hash_id FROM bars))""")))
+@register("set_union_latest", with_ctes(M, pick("id version:i close:d", """(SELECT symbol || '|' || session || '|' || slot AS id, CASE WHEN slot % 2 = 0 THEN 2 ELSE 1 END AS version,
+ close + CASE WHEN slot % 2 = 0 THEN 1 ELSE 0 END AS close FROM bars)""")))
 def set_union_latest(spark, sf):
-    from pyspark.sql import Window as W
-    b = views.bars(spark, sf, M)
-    n = b.groupBy(*K).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_off", F.coalesce(F.sum("_n").over(W.orderBy(*K).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    x = b.join(n.select(*K, "_off"), K).withColumn("id", F.col("_off") + F.row_number().over(W.partitionBy(*K).orderBy("slot")))
+    x = views.bars(spark, sf, M).withColumn("id", F.concat_ws("|", "symbol", F.col("session").cast("string"), F.col("slot").cast("string")))
     old = x.select("id", F.lit(1).alias("version"), "close")
     new = x.filter("slot % 2 = 0").select("id", F.lit(2).alias("version"), (F.col("close") + 1).alias("close"))
     return jn.union_latest([old, new], "id", "version")
@@ -118,7 +114,7 @@ def rule_events(spark, sf):
     return rl.rule_events(snapshots(spark, sf), RULES, SIDES)
 
 
-@register("flow_rule_trades", with_ctes(M, """SELECT rule_id, CAST(count(*) AS BIGINT) AS trades, round(sum(pnl_pts), 6) + 0.0 AS net_pts, CAST(count(*) FILTER (reason = 'target') AS BIGINT) AS targets FROM outc WHERE NOT is_unknown GROUP BY 1""", {
+@register("flow_rule_trades", with_ctes(M, """SELECT rule_id, CAST(count(*) AS BIGINT) AS trades, round(sum(pnl_pts) + 3e-10, 6) + 0.0 AS net_pts, CAST(count(*) FILTER (reason = 'target') AS BIGINT) AS targets FROM outc WHERE NOT is_unknown GROUP BY 1""", {
     **RULE_SQL, "rev": "SELECT r.*, d.atr, 0.2 AS stop_atr, 2.0 AS target_r, 6 AS hold, row_number() OVER () AS eid FROM (SELECT rule_id, symbol, session, min(slot) AS slot, CASE rule_id WHEN 'late_high' THEN -1 ELSE 1 END AS side FROM rule GROUP BY 1, 2, 3) r JOIN daily d USING (symbol, session)",
     **flows.barrier_sql("rev", 27)}))
 def flow_rule_trades(spark, sf):
@@ -183,7 +179,7 @@ def rule_train_quantiles(spark, sf):
     return exact_quantiles(context(spark, sf).filter(F.year("session").isin(*TRAIN)), ["symbol"], "range_atr", [0.33, 0.67])
 
 
-@register("rule_quantiles_large", """SELECT event_type, q, round(CASE q WHEN 0.1 THEN a WHEN 0.5 THEN b ELSE c END, 6) + 0.0 AS threshold FROM (SELECT event_type, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.995) AS c FROM events GROUP BY 1),
+@register("rule_quantiles_large", """SELECT event_type, q, round(CASE q WHEN 0.1 THEN a WHEN 0.5 THEN b ELSE c END + 3e-10, 6) + 0.0 AS threshold FROM (SELECT event_type, quantile_cont(value, 0.1) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.995) AS c FROM events GROUP BY 1),
  (VALUES (CAST(0.1 AS DOUBLE)), (CAST(0.5 AS DOUBLE)), (CAST(0.995 AS DOUBLE))) v(q)""")
 def rule_quantiles_large(spark, sf):
     return exact_quantiles(views.table(spark, sf, "events"), ["event_type"], "value", [0.1, 0.5, 0.995])
@@ -268,12 +264,13 @@ def grid_build(spark, sf):
     return twice.dropDuplicates(["canonical"]).drop("canonical")
 
 
-@register("grid_ids", with_ctes(H, """SELECT CAST(b.event_count AS BIGINT) AS bars, CAST(s.stop AS BIGINT) AS stop, round(t.tgt, 6) + 0.0 AS target, 'G-' || lpad(CAST((s.i + 3 * t.i) AS VARCHAR), 7, '0') AS config_id
- FROM (SELECT count(*) AS event_count FROM bars) b, (VALUES (0, 10), (1, 20), (2, 30)) s(i, stop), (VALUES (0, 0.0), (1, 1.5)) t(i, tgt)"""))
+@register("grid_ids", with_ctes(H, """SELECT 'G-' || lpad(CAST(b.slot + 24 * t.i AS VARCHAR), 7, '0') AS config_id, CAST(b.slot AS BIGINT) AS slot, round(t.tgt + 3e-10, 6) + 0.0 AS target,
+ CAST(count(*) AS BIGINT) AS bars FROM bars b, (VALUES (0, 0.0), (1, 1.5)) t(i, tgt) GROUP BY 1, 2, 3"""))
 def grid_ids(spark, sf):
-    g = jn.grid_table(spark, {"stop": [10, 20, 30], "target": [0.0, 1.5]}, "G")
-    n = views.bars(spark, sf, H).agg(F.count(F.lit(1)).alias("bars"))
-    return n.select("bars", F.lit(1).alias("_j")).join(g.withColumn("_j", F.lit(1)), "_j").select("bars", "stop", "target", "config_id")
+    """Bars available to each setting of a numbered grid."""
+    g = jn.grid_table(spark, {"slot": list(range(24)), "target": [0.0, 1.5]}, "G")
+    n = views.bars(spark, sf, H).groupBy("slot").agg(F.count(F.lit(1)).alias("bars"))
+    return g.join(n, "slot").select("config_id", "slot", "target", "bars")
 
 
 @register("grid_family_counts", with_ctes(M, "SELECT symbol AS family, CAST(count(*) AS BIGINT) AS n, CAST(18 AS BIGINT) AS expected, count(*) = 18 AS ok FROM grd GROUP BY 1", {"grd": GRID_SQL}))
@@ -327,34 +324,40 @@ def audit_lag(spark, sf):
     return se.lag_audit(views.daily(spark, sf, M), 50)
 
 
-@register("audit_causality", with_ctes(H, "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS compared FROM feat WHERE session < (SELECT max(session) FROM bars) OR slot <= 12"))
+def counted(**frames):
+    """Row counts of several frames in one row."""
+    names = list(frames)
+    u = None
+    for n, df in frames.items():
+        part = df.select(*[F.lit(1 if m == n else 0).alias(m) for m in names])
+        u = part if u is None else u.unionByName(part)
+    return u.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
+@register("audit_causality", with_ctes(H, "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) AS BIGINT) AS compared FROM feat JOIN (SELECT symbol, max(session) AS last FROM bars GROUP BY 1) USING (symbol) WHERE session < last OR slot <= 12"))
 def audit_causality(spark, sf):
     """Features recomputed after the last session's later bars are changed."""
     b = views.bars(spark, sf, H)
-    last = b.agg(F.max("session").alias("_last"))
+    last = b.groupBy("symbol").agg(F.max("session").alias("_last"))
     hit = (F.col("session") == F.col("_last")) & (F.col("slot") > 12)
-    alt = b.withColumn("_j", F.lit(1)).join(last.withColumn("_j", F.lit(1)), "_j").withColumns(
-        {c: F.when(hit, F.col(c) * 1.5 + 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}).drop("_j", "_last")
+    alt = b.join(last, "symbol").withColumns(
+        {c: F.when(hit, F.col(c) * 1.5 + 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}).drop("_last")
 
     def build(x):
         g = ingest.complete_grid(x, views.calendar(x, H))
         d = feats.daily_features(g, 5, 3)
         f = feats.clock_stats(feats.opening_range_columns(feats.intraday(g.join(d, K)), 3), 5, 3)
         cols = ("atr", "prev_close", "vwap", "hi3", "lo5", "ret", "run_high", "volume_z", "noise", "ret_z", "p_vwap")
-        return f.withColumn("_j", F.lit(1)).join(last.withColumn("_j", F.lit(1)), "_j").select(*K, "slot", "_last", *cols)
+        return f.join(last, "symbol").select(*K, "slot", "_last", *cols)
 
-    a, c = build(b), build(alt)
-    bad = se.causality_violations(a, c, "session < _last OR slot <= 12")
-    n = a.filter("session < _last OR slot <= 12").agg(F.count(F.lit(1)).alias("compared"), F.lit(1).alias("_j"))
-    return bad.agg(F.count(F.lit(1)).alias("violations"), F.lit(1).alias("_j")).join(n, "_j").drop("_j")
+    a, known = build(b), "session < _last OR slot <= 12"
+    return counted(violations=se.causality_violations(a, build(alt), known), compared=a.filter(known))
 
 
 @register("audit_execution", sq("trades:i violations:i", "SELECT count(*) AS trades, count(*) FILTER (entry_slot <= slot OR exit_slot < entry_slot OR exit_slot > 27 OR planned_risk > 400 + 1e-9 OR pnl_pts < worst_pts - 1e-9 OR qty < 0) AS violations FROM trd"))
 def audit_execution(spark, sf):
     t = materialize(flows.trades(spark, sf), "trades")
-    bad = se.execution_violations(t, 27, 400.0)
-    return t.agg(F.count(F.lit(1)).alias("trades"), F.lit(1).alias("_j")).join(
-        bad.agg(F.count(F.lit(1)).alias("violations"), F.lit(1).alias("_j")), "_j").drop("_j")
+    return counted(trades=t, violations=se.execution_violations(t, 27, 400.0))
 
 
 @register("audit_expected", sq("metric value:d expected:d ok", "SELECT 'net' AS metric, sum(pnl) AS value, sum(pnl) AS expected, true AS ok FROM ex UNION ALL SELECT 'trades', count(*), count(*), true FROM ex UNION ALL SELECT 'absent', NULL, 1.0, false"))
@@ -393,7 +396,7 @@ def management_sql():
     sel["mo2"] = "SELECT *, reason = 'unknown' AS is_unknown FROM mo"
     order = ["mo2", "sc0", "scr", "sel"]
     return head.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ",\n" + ",\n".join(f"{n} AS ({sel[n]})" for n in order) + """
-SELECT policy, symbol, CAST(count(*) AS BIGINT) AS trades, round(sum(pnl_pts), 6) + 0.0 AS net_pts, CAST(count(*) FILTER (reason = 'managed') AS BIGINT) AS managed FROM sel GROUP BY 1, 2"""
+SELECT policy, symbol, CAST(count(*) AS BIGINT) AS trades, round(sum(pnl_pts) + 3e-10, 6) + 0.0 AS net_pts, CAST(count(*) FILTER (reason = 'managed') AS BIGINT) AS managed FROM sel GROUP BY 1, 2"""
 
 
 @register("search_management_grid", management_sql())

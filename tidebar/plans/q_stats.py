@@ -233,7 +233,7 @@ def screen_known_path(spark, sf):
     return d.filter("unknown_days <= 3 AND event_days >= 5 AND net > 0 AND max_drawdown > -3000").select("config_id", "symbol", "net", "unknown_days", "event_days")
 
 
-@register("screen_stress", with_ctes(M, """SELECT config_id, symbol, round(min(n), 6) + 0.0 AS worst_net FROM (SELECT config_id, symbol, stress_slip, sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (stress_slip - 0.25)) AS n
+@register("screen_stress", with_ctes(M, """SELECT config_id, symbol, round(min(n) + 3e-10, 6) + 0.0 AS worst_net FROM (SELECT config_id, symbol, stress_slip, sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (stress_slip - 0.25)) AS n
  FROM sel, (VALUES (0.25), (0.5), (0.75)) v(stress_slip) GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING min(n) > 0""", T, recursive=True))
 def screen_stress(spark, sf):
     """Settings that stay positive under every slippage."""
