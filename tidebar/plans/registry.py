@@ -16,7 +16,12 @@ def register(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf: tidy(fn(spark, sf))
+
+        def run(spark, sf):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the views are defined in UTC
+            return tidy(fn(spark, sf))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = sql
         return fn
