@@ -8,8 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebar.llm import decontaminate, line_dedup, simhash
+import public_tokenizers
+
+from tidebar.llm import decontaminate, licenses, line_dedup, simhash, token_ids
 from tidebar.llm.text import table
+from tidebar.sources.scratch import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +29,44 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all({_LOWER.format(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@register("op2_token_ids")
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_ids.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-files"), end_id=1)
+    return token_ids.read_ids(spark, path, with_ids=False)
+
+
+def _templates_sql() -> str:
+    rows = []
+    for k, t in enumerate(licenses.templates()):
+        words = "[" + ", ".join(f"'{w}'" for w in t.words) + "]"
+        rows.append(f"({k}, '{t.label}', {words}, {t.need}, {str(t.phrase).lower()})")
+    return ", ".join(rows)
+
+
+@register("op3_licenses", f"""
+WITH t AS (SELECT *, len(list_distinct(words)) AS size FROM (VALUES {_templates_sql()}) AS v(k, label, words, need, phrase)),
+d AS (SELECT doc_id, {_words_sql("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT doc_id, b, list_slice(w, {licenses.STRIDE} * b + 1, {licenses.STRIDE} * b + {licenses.BLOCK}) AS bw
+      FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {licenses.STRIDE - 1}) // {licenses.STRIDE})) AS b FROM d)),
+n AS (SELECT doc_id, label, size, len(list_intersect(list_distinct(bw), words)) AS common FROM b, t WHERE NOT phrase AND len(list_intersect(list_distinct(bw), words)) >= need),
+p AS (SELECT doc_id, label, pos FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS pos FROM d), t WHERE phrase AND w[pos + 1] = words[1] AND list_slice(w, pos + 1, pos + len(words)) = words),
+pd AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM p GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM p) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM p UNION SELECT doc_id, label FROM n) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(s) AS score FROM (SELECT doc_id, 1.0::DOUBLE AS s FROM p UNION ALL SELECT doc_id, common / size FROM n) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN pd USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)""")
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
+                        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 @register("op4_line_dedup", f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
@@ -44,10 +85,6 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3, seed=42)
 
 
-def _words_sql(text: str) -> str:
-    return f"regexp_extract_all({_LOWER.format(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-
-
 @register("op10_decontaminate", f"""
 WITH i AS (SELECT item_id, {_words_sql("coalesce(text, '')")} AS w FROM benchmark),
 win AS (SELECT item_id, array_to_string(list_slice(w, p, p + least(13, len(w)) - 1), ' ') AS k, least(13, len(w)) AS n
