@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.text import byte_column, plain_words
+from tidebar.llm.text import byte_column, int_lists, list_column, plain_words
 from tidebar.sources.scratch import materialize
 
 #: Words of benchmark text whose windows are searched for in one pass; a larger benchmark takes several.
@@ -65,8 +65,7 @@ def _occurrences(vocab: dict[bytes, int], keys: dict[int, dict[bytes, int]]):
                 n_words.append(len(words))
                 places.append(np.concatenate(at_all) if at_all else np.zeros(0, np.int64))
                 grams.append(np.concatenate(gram_all) if gram_all else np.zeros(0, np.int64))
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32))) for x in (places, grams)]
+            lists = [list_column(x, pa.int32()) for x in (places, grams)]
             yield pa.record_batch([batch.column("id"), batch.column("text_key"), pa.array(n_words, pa.int64()), *lists], ["id", "text_key", "n_words", "places", "grams"])
     return run
 
@@ -112,9 +111,8 @@ def _verify(windows: Windows, counts: dict[int, int], shingle: int, containment:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, grams = batch.column("places"), batch.column("grams")
-            at, gram, ends = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), grams.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum([0, *(len(x) for x in places)])
-            found = [search(n, at[a:b], gram[a:b]) for n, a, b in zip(batch.column("n_words").to_pylist(), ends[:-1].tolist(), ends[1:].tolist())]
+            rows = zip(batch.column("n_words").to_pylist(), int_lists(batch, "places"), int_lists(batch, "grams"))
+            found = [search(n, at.astype(np.int64), gram.astype(np.int64)) for n, at, gram in rows]
             yield pa.record_batch([*(batch.column(k) for k in ("id", "text_key", "n_words")), pa.array([s for s, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([i for _, i in found], pa.list_(pa.int64()))],
                                   ["id", "text_key", "n_words", "spans", "items"])
     return run

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidebar.llm import decontaminate, licenses, line_dedup, simhash, token_ids
+from tidebar.llm import decontaminate, licenses, line_dedup, pieces, simhash, token_ids
 from tidebar.llm.text import table
 from tidebar.sources.scratch import scratch_path
 
@@ -29,6 +29,14 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+@register("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents"), model), model)
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", "decoded")
+
+
 def _words_sql(text: str) -> str:
     return f"regexp_extract_all({_LOWER.format(text)}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 

@@ -8,7 +8,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,9 +37,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BREAKS), "")
 
 
-def byte_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """A text column of an Arrow batch as UTF-8 bytes, null as none."""
-    return [b"" if t is None else t for t in batch.column(name).cast(pa.binary()).to_pylist()]
+def byte_column(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
+    """The texts of an Arrow batch as UTF-8 bytes, one at a time, null as none."""
+    return (t.as_py() or b"" for t in batch.column(name).cast(pa.binary()))
+
+
+def int_lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
+    """The lists of an Arrow batch as views of one array, null as an empty one."""
+    column = batch.column(name)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    return (flat[end - size:end] for size, end in zip(sizes.tolist(), ends.tolist()))
+
+
+def list_column(lists: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """An Arrow list column of arrays."""
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat).cast(kind))
 
 
 def space_words(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:

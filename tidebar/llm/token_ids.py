@@ -12,6 +12,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ _HEAD, _RANKS = struct.Struct("<4sIQQ"), struct.Struct("<4sI")
 #: Ids that close a block, and blocks in a file. A document is never split.
 BLOCK_IDS, FILE_BLOCKS = 1 << 16, 64
 #: Distinct chunks of text whose ids a worker remembers, and the longest of them in bytes.
-MEMO, MEMO_BYTES = 300_000, 64
+MEMO, MEMO_BYTES = 500_000, 64
 #: Bytes of each of the four ids of a control byte.
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 _PLACES = np.arange(4, dtype=np.uint8)
@@ -103,11 +104,17 @@ class _Encoder:
         return np.frombuffer(b"".join(parts), "<u4")
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> _Encoder:
+    """One per worker, which later tasks of the worker use again."""
+    return _Encoder(path)
+
+
 def _tokenise(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, squeeze = _Encoder(path), zstandard.ZstdCompressor(level=1)
+        encode, squeeze = _encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = [np.append(encode(t), np.uint32(end_id)) for t in byte_column(batch, "text")]
             packed = [squeeze.compress((x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes()) for x in ids]
