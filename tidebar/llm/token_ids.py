@@ -26,8 +26,8 @@ from tidebar.sources.scratch import drop, materialize
 _HEAD, _RANKS = struct.Struct("<4sIQQ"), struct.Struct("<4sI")
 #: Ids that close a block, and blocks in a file. A document is never split.
 BLOCK_IDS, FILE_BLOCKS = 1 << 16, 64
-#: Distinct chunks of text whose ids a worker remembers, and the longest of them in bytes.
-MEMO, MEMO_BYTES = 500_000, 64
+#: Distinct chunks in each of the two generations that a worker remembers, and the longest of them in bytes.
+MEMO, MEMO_BYTES = 400_000, 64
 #: Bytes of each of the four ids of a control byte.
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 _PLACES = np.arange(4, dtype=np.uint8)
@@ -83,24 +83,26 @@ class _Encoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}  # the generation before, from which chunks in use come back
 
     def _encode(self, chunks: list[bytes]) -> Iterator[bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        return (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False))
+        return (np.fromiter(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
 
     def __call__(self, data: bytes) -> np.ndarray:
         parts = []
         for chunks in space_words(data):
-            new = list(set(chunks).difference(self.memo))
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = list(set(chunks))
-            found = dict(zip(new, self._encode(new)))
-            self.memo.update(found)
-            parts.append(b"".join(map(self.memo.__getitem__, chunks)))
-            for c in found:
+            if len(self.memo) > MEMO:
+                self.old, self.memo = self.memo, {}
+            memo, old = self.memo, self.old
+            lacking = set(chunks).difference(memo)
+            memo.update((c, old[c]) for c in lacking.intersection(old))
+            new = list(lacking.difference(memo))
+            memo.update(zip(new, self._encode(new)))
+            parts.append(b"".join(map(memo.__getitem__, chunks)))
+            for c in new:
                 if len(c) > MEMO_BYTES:
-                    del self.memo[c]
+                    del memo[c]
         return np.frombuffer(b"".join(parts), "<u4")
 
 
