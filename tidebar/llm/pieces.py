@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidebar.llm.text import byte_column, int_lists, list_column
 
 SPACE = "▁"
-#: Segments whose ids a worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 500_000, 48
+#: Segments in each of the two generations that a worker remembers, and the longest of them in characters.
+MEMO, MEMO_CHARS = 400_000, 48
 #: Remembered answers of the merge rules on pairs of pieces.
 PAIRS = 400_000
 #: Boundaries between two looks at whether the paths have met.
@@ -162,6 +162,7 @@ class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # the generation before, from which segments in use come back
         self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if pieces.cuts else r"(?s).+")
 
     def segment(self, text: str) -> bytes:
@@ -176,15 +177,17 @@ class Encoder:
         if not text:
             return np.zeros(0, np.int32)
         text = (SPACE if self.pieces.prefixed else "") + text.replace(" ", SPACE)
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
         out, memo = [], self.memo
         for found in self.segments.finditer(text):
             s = found.group()
             ids = memo.get(s)
             if ids is None:
-                ids = self.segment(s)
+                ids = self.old.get(s)
+                if ids is None:
+                    ids = self.segment(s)
                 if len(s) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
-                        memo.clear()
                     memo[s] = ids
             out.append(ids)
         return np.frombuffer(b"".join(out), "<i4")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidebar.llm import decontaminate, licenses, line_dedup, pieces, simhash, token_ids
+from tidebar.llm import decontaminate, licenses, line_dedup, pieces, pii, quality_mil, quality_rules, simhash, token_ids, toxicity
+from tidebar.llm.labelled import fold
 from tidebar.llm.text import table
 from tidebar.sources.scratch import scratch_path
 
@@ -88,6 +89,44 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _scored(rows: DataFrame, held_out) -> DataFrame:
+    return rows.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op5_quality_mil")
+def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learned from the rows outside fold 0 of 5."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_mil.fit_quality(docs, labels.filter(fold("doc_id", 5) != 0))
+    return _scored(quality_mil.score_quality(docs, model), fold("id", 5) == 0)
+
+
+@register("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_rules.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.apply_rules(docs, model).withColumnRenamed("id", "doc_id").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability")
+
+
+@register("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neither labels nor unlabelled rows come from fold 2 of 4."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    learned = fold("doc_id", 4) != 2
+    model = toxicity.fit_toxicity(docs, labels.filter(learned), docs.filter(learned))
+    return _scored(toxicity.score_toxicity(docs, model), fold("id", 4) == 2)
+
+
+@register("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *[number(k) for k in pii.KINDS[: pii.BASE]], F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
 @register("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3, seed=42)
