@@ -175,3 +175,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
     rows = found.groupBy("id", "text_key").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"), F.collect_set(F.struct("block", "spans", "items")).alias("parts"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / blocks).cast("int"))))
     return rows.select("id", "text_key", "n_words", _merged(F.flatten("parts.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("parts.items"))).alias("items"))
+
+
+def hit_words(spans: str = "spans"):
+    """Words inside the spans of a row."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + F.get(s, F.lit(1)) - F.get(s, F.lit(0)))
+
+
+def is_contaminated(n_hit, n_words):
+    """At least a twentieth of the words is benchmark text."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns; repeated rows stay or go together."""
+    found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **how)
+    bad = found.filter(is_contaminated(hit_words(), F.col("n_words"))).select(F.col("id").alias("bad_id"), F.col("text_key").alias("bad_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
+    return rows.join(bad, F.col("text_key").eqNullSafe(F.col("bad_key")) & F.col("id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebar.llm.text import byte_column, int_lists, list_column
 
@@ -236,5 +237,5 @@ def decode_ids(coded: DataFrame, model: str) -> DataFrame:
             kept = [n for n in batch.schema.names if n != "decoded"]
             yield pa.record_batch([*(batch.column(n) for n in kept), text], [*kept, "decoded"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema if f.name != "decoded"]
-    return coded.mapInArrow(run, ", ".join(kinds) + ", decoded string")
+    schema = T.StructType([f for f in coded.schema if f.name != "decoded"]).add("decoded", T.StringType())
+    return coded.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebar.llm import features as ft
 from tidebar.llm.labelled import SEED, label_counts, sample_labels, with_texts
@@ -131,21 +132,34 @@ def counts(data: bytes) -> tuple[int, int, int, int, int]:
     return len(words), points, symbols, len(lines) - len(set(lines)), repeated_words(words)
 
 
-def apply_rules(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text_key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, probability, base_failed, kept)``.
+_OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability")
+
+
+def apply_rules(docs: DataFrame, model: Model, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those in ``carry``) plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    probability, base_failed, kept``, which replace columns of these names.
+
+    ``base_failed``: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEATED`` percent of the words in repeated windows.
+    ``kept``: not ``base_failed``, and the classifier's probability reaches ``MIN_GOOD``. Null and blank texts have no words
+    and fail; repeated rows come out repeated; any column may be null."""
+    own = [c for c in (docs.columns if carry is None else carry) if c not in (*_OUT, "base_failed", "kept")]
 
-    A row for each row of ``docs``; ``text_key`` is XXH64 of its text. ``base_failed``: fewer than ``MIN_WORDS`` words, or more
-    than ``MAX_REPEATED`` percent of the words in repeated windows. ``kept``: not ``base_failed``, and the classifier's
-    probability reaches ``MIN_GOOD``. Null and blank texts have no words and fail; repeated rows come out repeated; other columns are ignored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(*counts(t), model.probability(t)) for t in byte_column(batch, "text")]
-            columns = [pa.array(c, pa.int64()) for c in zip(*(f[:5] for f in found))] if found else [pa.array([], pa.int64())] * 5
-            yield pa.record_batch([batch.column("id"), batch.column("text_key"), *columns, pa.array([f[5] for f in found], pa.float64())],
-                                  ["id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "probability"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, probability double")
+            found = [(*counts(t), model.probability(t)) for t in byte_column(batch, "__text")]
+            new = [pa.array([f[i] for f in found], pa.float64() if i == 5 else pa.int64()) for i in range(6)]
+            yield pa.record_batch([*(batch.column(c) for c in own), *new], [*own, *_OUT])
+
+    source = docs.select(*own, F.col(text_col).alias("__text"))
+    schema = T.StructType([f for f in source.schema if f.name != "__text"])
+    for c in _OUT:
+        schema.add(c, T.DoubleType() if c == "probability" else T.LongType())
+    rows = source.mapInArrow(run, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= MIN_GOOD))
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns. The text stands in the row, so nothing is shuffled."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return apply_rules(packed, model, carry=["row"]).filter("kept").select("row.*")

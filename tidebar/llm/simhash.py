@@ -47,14 +47,15 @@ def simhash(data: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp long)`` of every row. Null and blank texts have fingerprint zero."""
+    """``(id, text_key, fp long)`` of every row; ``text_key`` is XXH64 of the text. Null and blank texts have fingerprint zero."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((simhash(t, shingle, seed) for t in byte_column(batch, "text")), np.uint64, batch.num_rows)
-            yield pa.record_batch([batch.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.record_batch([batch.column("id"), batch.column("text_key"), pa.array(fp.view(np.int64))], ["id", "text_key", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {kind}, text_key bigint, fp bigint")
 
 
 def covering_masks(radius: int, bits: list[int]) -> list[int]:
@@ -199,14 +200,8 @@ def covering_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
-
-    Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
-    smallest id reachable by links. Equal fingerprints are one node, so a group of copies of any
-    size is one row of the search. Null and blank texts have fingerprint zero and are linked with
-    each other. A null id is never a component's id unless the component has no other. Repeated rows
-    come out repeated. Other columns are ignored."""
+def groups(docs: DataFrame, radius: int, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, text_key, fp, root, component_id)``: ``root`` is the smallest fingerprint of the row's component."""
     marked = materialize(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
     links = covering_links(distinct, radius)
@@ -215,6 +210,27 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     node = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     node = materialize(node, "nodes")
     best = node.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = node.join(best, "root").select("fp", "component_id")
+    named = node.join(best, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("id", "text_key", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, fingerprint, component_id)``, a row for each row of ``docs``.
+
+    Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the
+    smallest id reachable by links. Equal fingerprints are one node, so a group of copies of any
+    size is one row of the search. Null and blank texts have fingerprint zero and are linked with
+    each other. A null id is never a component's id unless the component has no other. Repeated rows
+    come out repeated. Other columns are ignored."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return marked.join(named, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return groups(docs, radius, shingle, seed, id_col, text_col).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each component of ``near_duplicates``, with its columns. Of repeated rows, and of
+    rows of a component that share its id, one stays; a component without ids keeps one row."""
+    kept = groups(docs, radius, shingle, seed, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    kept = kept.groupBy("root", "id").agg(F.min("text_key").alias("text_key"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
+    both = rows.join(kept.select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key")), F.col("text_key").eqNullSafe(F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return both.dropDuplicates(["id", "text_key"]).select("row.*")
