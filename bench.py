@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidebar.plans import catalog, flows, views  # noqa: E402
 
-SIGNAL = {"lookback": [3, 5], "buffer_atr": [0.0, 0.01, 0.02, 0.03, 0.04, 0.06], "vwap_filter": [0, 1], "volume_z": [-99.0, 0.0, 1.0]}
+SIGNAL = {"lookback": [3, 5], "buffer_atr": [0.0, 0.01, 0.02, 0.03, 0.04, 0.06], "vwap_filter": [0, 1], "volume_z": [None, 0.0, 1.0]}
 EXECUTION = {"stop_atr": [0.1, 0.15, 0.2, 0.35, 0.55], "target_r": [0.0, 0.5, 1.0, 1.5, 2.5, 4.0], "hold": [2, 4, 6, 8, 12, 16, 24, 32]}
 HEADLINE = ("ingest_bars_from_ticks", "ingest_complete_grid", "win_snapshots", "win_cusum", "detect_rolling_breakout",
             "detect_double_test", "outcome_barrier", "outcome_breakeven", "select_non_overlapping", "stat_results",

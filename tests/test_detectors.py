@@ -182,9 +182,9 @@ def test_opposite_events_cancel(spark):
 
 def test_grid_detection_equals_single_settings(walk):
     f = feats.clock_stats(walk, 5, 3)
-    g = det.detect_grid(f, "rolling_breakout", 36, {"lookback": [3, 5], "buffer_atr": [0.0, 0.05], "vwap_filter": [0, 1], "volume_z": [-99.0]})
+    g = det.detect_grid(f, "rolling_breakout", 36, {"lookback": [3, 5], "buffer_atr": [0.0, 0.05], "vwap_filter": [0, 1], "volume_z": [None]})
     a = sorted((str(r.session), r.slot, r.side) for r in g.filter("lookback = 5 AND buffer_atr = 0.05 AND vwap_filter = 1").collect())
-    b = det.detect(f, "rolling_breakout", 36, lookback=5, buffer_atr=0.05, vwap_filter=1, volume_z=-99.0)
+    b = det.detect(f, "rolling_breakout", 36, lookback=5, buffer_atr=0.05, vwap_filter=1, volume_z=None)
     assert a == sorted((str(r.session), r.slot, r.side) for r in b.collect()) and a
 
 

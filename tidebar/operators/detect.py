@@ -21,16 +21,27 @@ RULES: dict[str, Callable] = {}
 
 
 class Cols:
-    """Attribute access to columns: ``c.close``; with a prefix for grid structs."""
+    """Attribute access to columns: ``c.close``; with a prefix for grid structs. Parameters also know all
+    values of their axes, so that a rule can choose among the columns made for them."""
 
-    def __init__(self, prefix: str = "", fixed: dict | None = None):
-        self._prefix, self._fixed = prefix, fixed or {}
+    def __init__(self, prefix: str = "", fixed: dict | None = None, axes: dict[str, list] | None = None):
+        self._prefix, self._fixed, self._axes = prefix, fixed or {}, axes or {k: [v] for k, v in (fixed or {}).items()}
 
     def __getattr__(self, name: str) -> Column:
         if name in self._fixed:
             return F.lit(self._fixed[name])
         return F.col(self._prefix + name)
 
+    def choose(self, param: str, stem: str) -> Column:
+        """The column ``stem`` + value for the value that ``param`` has in the setting at hand."""
+        values = sorted(set(self._axes[param]))
+        if len(values) == 1:
+            return F.col(f"{stem}{values[0]}")
+        out = F.lit(None).cast("double")
+        for v in values:
+            out = F.when(getattr(self, param) == v, F.col(f"{stem}{v}")).otherwise(out)
+        return out
+
 
 def rule(name: str):
     def wrap(fn):
@@ -53,6 +64,7 @@ def events(df: DataFrame, up: Column, down: Column, last: int, keep: tuple = ())
 
 def detect(df: DataFrame, family: str, last: int, **params) -> DataFrame:
     """Events of one setting of a family."""
+    df = with_windows(df, family, {k: [v] for k, v in params.items()})
     up, down = RULES[family](Cols(), Cols(fixed=params))
     return events(df, up, down, last)
 
@@ -61,10 +73,12 @@ def detect_grid(df: DataFrame, family: str, last: int, axes: dict[str, list], ke
     """Events of every setting of ``axes``: the grid is exploded per bar and filtered in the
     same stage, so only events, not bars x settings, are ever shuffled."""
     settings = [{"signal_id": i, **dict(zip(axes, v))} for i, v in enumerate(product(*axes.values()))]
-    up, down = RULES[family](Cols(), Cols("_p."))
-    wide = df.withColumn("_p", F.expr(f"explode({settings_array(settings)})"))
-    wide = wide.withColumns({"signal_id": F.col("_p.signal_id"), **{k: F.col(f"_p.{k}") for k in axes}})
-    return events(wide, up, down, last, ("signal_id", *axes, *keep))
+    up, down = RULES[family](Cols(), Cols("_p.", axes=axes))
+    ok = (F.col("atr") > 0) & F.col("is_normal") & (F.col("slot") < last)
+    wide = with_windows(df, family, axes).filter(ok).withColumn("_p", F.expr(f"explode({settings_array(settings)})"))
+    # sides first: an axis may have the name of a bar column
+    found = wide.withColumn("side", one_side(up, down)).filter("side IS NOT NULL")
+    return found.select(*KEYS, "slot", "side", "_p.signal_id", *[F.col(f"_p.{k}").alias(k) for k in axes], *keep)
 
 
 def cancel_opposite(ev: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,14 +118,6 @@ def confirm(df: DataFrame, up: Column, down: Column, last: int) -> DataFrame:
     return events(df, same & (F.col("_side") == 1), same & (F.col("_side") == -1), last)
 
 
-def pick(p: Column, options: dict[int, Column]) -> Column:
-    """Column chosen by a parameter value."""
-    out = F.lit(None).cast("double")
-    for k, v in options.items():
-        out = F.when(p == k, v).otherwise(out)
-    return out
-
-
 def intact(df: DataFrame) -> DataFrame:
     """Bars before the first missing one of their session."""
     gone = F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).over(upto(by_session()))
@@ -208,47 +214,82 @@ def _(c, p):
 
 # ---- minute-level trigger families ---------------------------------------------
 
-def with_trigger_columns(df: DataFrame) -> DataFrame:
-    """Extra lags for the trigger families."""
+def _extremes(n: int) -> list[dict[str, Column]]:
+    """Extremes of the ``n`` bars before, all present, and those of one bar earlier."""
     w = by_session()
-    df = feats.ema(feats.ema(df, "close", 5, "ema_fast"), "close", 8, "ema_slow")
-    df = df.withColumns({
-        "p_fast": F.lag("ema_fast").over(w), "slow_slope": F.col("ema_slow") - F.lag("ema_slow", 3).over(w),
-        "dist": F.col("close") - F.col("vwap"),
-        "move2": ratio(F.col("close") - F.lag("close", 2).over(w), F.col("atr")),
-        "move4": ratio(F.col("close") - F.lag("close", 4).over(w), F.col("atr"))})
-    gap = w.rowsBetween(-4, -2)
-    return df.withColumns({
-        "p_move2": F.lag("move2").over(w), "p_move4": F.lag("move4").over(w),
-        "dist_min": at_least(F.min("dist"), F.col("dist"), gap, 3),
-        "dist_max": at_least(F.max("dist"), F.col("dist"), gap, 3)})
+    return [{f"hi{n}": at_least(F.max("high"), F.col("high"), prior(w, n), n), f"lo{n}": at_least(F.min("low"), F.col("low"), prior(w, n), n)},
+            {f"p_hi{n}": F.lag(f"hi{n}").over(w), f"p_lo{n}": F.lag(f"lo{n}").over(w)}]
+
+
+def _moves(n: int) -> list[dict[str, Column]]:
+    """Change over ``n`` bars in units of the daily range, and that of one bar earlier."""
+    w = by_session()
+    return [{f"move{n}": ratio(F.col("close") - F.lag("close", n).over(w), F.col("atr"))}, {f"p_move{n}": F.lag(f"move{n}").over(w)}]
+
+
+def _streaks(n: int) -> list[dict[str, Column]]:
+    """Extremes of the distance to VWAP over ``n`` bars that end two bars ago."""
+    dist, gap = F.col("close") - F.col("vwap"), by_session().rowsBetween(-n - 1, -2)
+    return [{f"dist_min{n}": at_least(F.min(dist), dist, gap, n), f"dist_max{n}": at_least(F.max(dist), dist, gap, n)}]
+
+
+def _slopes(n: int) -> list[dict[str, Column]]:
+    """Change of VWAP over ``n`` bars."""
+    return [{f"vwap_slope{n}": F.col("vwap") - F.lag("vwap", n).over(by_session())}]
+
+
+#: Parameters that are numbers of bars, and what is computed for each of their values.
+WINDOWS = {
+    "trend_pullback": {"fast": "ema", "slow": "ema", "slope_bars": None},
+    "rolling_breakout": {"lookback": _extremes}, "failed_breakout": {"lookback": _extremes}, "compression_breakout": {"lookback": _extremes},
+    "impulse_continuation": {"lookback": _moves}, "impulse_reversal": {"lookback": _moves},
+    "vwap_stretch_reversal": {"slope_bars": _slopes}, "vwap_trend_reclaim": {"streak": _streaks, "slope_bars": _slopes},
+}
+
+
+def with_windows(df: DataFrame, family: str, axes: dict[str, list]) -> DataFrame:
+    """Columns for every number of bars on the axes of a family; others than positive whole numbers are refused,
+    and so are missing ones."""
+    for param, make in WINDOWS.get(family, {}).items():
+        for n in sorted(set(axes.get(param, [None])), key=str):
+            if not isinstance(n, int) or isinstance(n, bool) or n < 1:
+                raise ValueError(f"{family}: {param} has to be a positive number of bars, not {n!r}")
+            if make == "ema":
+                df = feats.ema(df, "close", n, f"ema{n}").withColumn(f"p_ema{n}", F.lag(f"ema{n}").over(by_session()))
+            elif make:
+                for step in make(n):
+                    df = df.withColumns({k: v for k, v in step.items() if k not in df.columns})
+    if family == "trend_pullback":
+        w = by_session()
+        df = df.withColumns({f"slope{n}_{k}": F.col(f"ema{n}") - F.lag(f"ema{n}", k).over(w) for n in set(axes["slow"]) for k in set(axes["slope_bars"])})
+    return df
 
 
 @rule("trend_pullback")
 def _(c, p):
     thr = p.slope_atr * c.atr
     free = p.vwap_filter == 0
-    return ((c.ema_fast > c.ema_slow) & (c.slow_slope > thr) & (c.p_close <= c.p_fast) & (c.close > c.ema_fast)
-            & (free | (c.close > c.vwap)),
-            (c.ema_fast < c.ema_slow) & (c.slow_slope < -thr) & (c.p_close >= c.p_fast) & (c.close < c.ema_fast)
-            & (free | (c.close < c.vwap)))
+    fast, slow, before_ = p.choose("fast", "ema"), p.choose("slow", "ema"), p.choose("fast", "p_ema")
+    slope = F.lit(None).cast("double")
+    for k in sorted(set(p._axes["slope_bars"])):
+        for n in sorted(set(p._axes["slow"])):
+            slope = F.when((p.slope_bars == k) & (p.slow == n), F.col(f"slope{n}_{k}")).otherwise(slope)
+    return ((fast > slow) & (slope > thr) & (c.p_close <= before_) & (c.close > fast) & (free | (c.close > c.vwap)),
+            (fast < slow) & (slope < -thr) & (c.p_close >= before_) & (c.close < fast) & (free | (c.close < c.vwap)))
 
 
-def _span(c, p):
-    hi = pick(p.lookback, {3: c.hi3, 5: c.hi5})
-    lo = pick(p.lookback, {3: c.lo3, 5: c.lo5})
-    phi = pick(p.lookback, {3: c.p_hi3, 5: c.p_hi5})
-    plo = pick(p.lookback, {3: c.p_lo3, 5: c.p_lo5})
-    return hi, lo, phi, plo
+def _span(p):
+    return tuple(p.choose("lookback", stem) for stem in ("hi", "lo", "p_hi", "p_lo"))
 
 
 def _busy(c, p):
-    return (p.volume_z <= -90) | (c.volume_z >= p.volume_z)
+    """No volume gate where the setting has none (NULL)."""
+    return p.volume_z.isNull() | (c.volume_z >= p.volume_z)
 
 
 @rule("rolling_breakout")
 def _(c, p):
-    hi, lo, phi, plo = _span(c, p)
+    hi, lo, phi, plo = _span(p)
     buf, free = p.buffer_atr * c.atr, p.vwap_filter == 0
     return ((c.close > hi + buf) & (c.p_close <= phi + buf) & (free | (c.close > c.vwap)) & _busy(c, p),
             (c.close < lo - buf) & (c.p_close >= plo - buf) & (free | (c.close < c.vwap)) & _busy(c, p))
@@ -256,7 +297,7 @@ def _(c, p):
 
 @rule("failed_breakout")
 def _(c, p):
-    _, _, phi, plo = _span(c, p)
+    _, _, phi, plo = _span(p)
     over, back = p.overshoot_atr * c.atr, p.reclaim_atr * c.atr
     return ((c.p_low < plo - over) & (c.p_close >= plo) & (c.close > plo + back) & _busy(c, p),
             (c.p_high > phi + over) & (c.p_close <= phi) & (c.close < phi - back) & _busy(c, p))
@@ -265,17 +306,13 @@ def _(c, p):
 @rule("vwap_stretch_reversal")
 def _(c, p):
     dist, far = c.p_close - c.p_vwap, p.stretch_atr * c.atr
-    calm = (p.max_slope_atr < 0) | (F.abs(c.vwap_slope) <= p.max_slope_atr * c.atr)
+    calm = p.max_slope_atr.isNull() | (F.abs(p.choose("slope_bars", "vwap_slope")) <= p.max_slope_atr * c.atr)
     return (dist < -far) & (c.close > c.p_high) & calm, (dist > far) & (c.close < c.p_low) & calm
 
 
-def _moves(c, p):
-    return pick(p.lookback, {2: c.move2, 4: c.move4}), pick(p.lookback, {2: c.p_move2, 4: c.p_move4})
-
-
 @rule("impulse_continuation")
 def _(c, p):
-    move, before_ = _moves(c, p)
+    move, before_ = p.choose("lookback", "move"), p.choose("lookback", "p_move")
     t = p.impulse_atr
     return ((move > t) & (before_ <= t) & (c.close > c.p_high) & _busy(c, p),
             (move < -t) & (before_ >= -t) & (c.close < c.p_low) & _busy(c, p))
@@ -283,14 +320,13 @@ def _(c, p):
 
 @rule("impulse_reversal")
 def _(c, p):
-    _, before_ = _moves(c, p)
-    t = p.impulse_atr
+    before_, t = p.choose("lookback", "p_move"), p.impulse_atr
     return (before_ < -t) & (c.close > c.p_high) & _busy(c, p), (before_ > t) & (c.close < c.p_low) & _busy(c, p)
 
 
 @rule("compression_breakout")
 def _(c, p):
-    hi, lo, phi, plo = _span(c, p)
+    hi, lo, phi, plo = _span(p)
     buf, tight = p.buffer_atr * c.atr, hi - lo <= p.max_range_atr * c.atr
     return (tight & (c.close > hi + buf) & (c.p_close <= phi + buf),
             tight & (c.close < lo - buf) & (c.p_close >= plo - buf))
@@ -299,8 +335,9 @@ def _(c, p):
 @rule("vwap_trend_reclaim")
 def _(c, p):
     tol, sl = p.tolerance_atr * c.atr, p.slope_atr * c.atr
-    return ((c.dist_min > 0) & (c.p_low <= c.p_vwap + tol) & (c.p_close >= c.p_vwap) & (c.close > c.p_high) & (c.vwap_slope > sl),
-            (c.dist_max < 0) & (c.p_high >= c.p_vwap - tol) & (c.p_close <= c.p_vwap) & (c.close < c.p_low) & (c.vwap_slope < -sl))
+    least, most, slope = p.choose("streak", "dist_min"), p.choose("streak", "dist_max"), p.choose("slope_bars", "vwap_slope")
+    return ((least > 0) & (c.p_low <= c.p_vwap + tol) & (c.p_close >= c.p_vwap) & (c.close > c.p_high) & (slope > sl),
+            (most < 0) & (c.p_high >= c.p_vwap - tol) & (c.p_close <= c.p_vwap) & (c.close < c.p_low) & (slope < -sl))
 
 
 @rule("implied_band_reversion")

@@ -6,6 +6,8 @@ skewed the raw symbols are. Columns that a query does not use are pruned with th
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from tidebar.functions.core import (KEYS, ahead, at_least, before, by_clock, by_
                                     first_of, last_of, log_ratio, prior, quantile, ratio, sgn, total, trailing, upto,
                                     whole_session)
 
+
 def typical() -> Column:
     return (F.col("high") + F.col("low") + F.col("close")) / 3
 
@@ -70,13 +73,10 @@ def eligible(df: DataFrame) -> DataFrame:
 
 
 def daily_ema(daily: DataFrame, span: int, minimum: int, out: str) -> DataFrame:
-    """Recursive mean of prior closes by an ordered fold over the calendar-bounded history."""
-    a = 2.0 / (span + 1)
-    hist = F.collect_list("day_close").over(before(by_day()))
-    fold = F.aggregate(F.slice("_h", 2, 1_000_000), F.element_at("_h", 1),
-                       lambda s, x: s * (1 - a) + x * a)
-    return (daily.withColumn("_h", hist)
-            .withColumn(out, F.when(F.size("_h") >= minimum, fold)).drop("_h"))
+    """Recursive mean of the closes before each day, once there are ``minimum`` of them."""
+    df = ema(daily, "day_close", span, "_e", ("symbol",), "session")
+    enough = F.count("day_close").over(before(by_day())) >= minimum
+    return df.withColumn(out, F.when(enough, F.lag("_e").over(by_day()))).drop("_e")
 
 
 def opening_ranges(bars: DataFrame, lengths: list[int]) -> DataFrame:
@@ -251,18 +251,26 @@ def noise_band(df: DataFrame, multiple: float) -> DataFrame:
         "band_down": F.when(both, bottom * (1 - multiple * F.col("noise")))})
 
 
-def ema(df: DataFrame, col: str, span: int, out: str) -> DataFrame:
-    """Recursive mean over the observed bars of a session, as a running weighted sum.
+def ema(df: DataFrame, col: str, span: int, out: str, keys: tuple = KEYS, order: str = "slot") -> DataFrame:
+    """Recursive mean over the observed values of a group in order, as plain window sums.
 
-    sum(x_j w_j (1-a)^-j) scaled by (1-a)^i keeps it a plain window aggregate. The powers
-    stay in double range up to about 1,700 / log2((span+1)/(span-1)) / 1.7 bars a session."""
+    The mean is sum(x_j w_j d^(i-j)) with d = 1 - 2 / (span + 1). Powers are taken from the start of a
+    block of observations that is short enough for doubles (d^-block is at most 1e100), so groups may be
+    of any length: the block before enters with a factor of at most 1e-100 and those before it not at all."""
     a = 2.0 / (span + 1)
-    w, x = by_session(), F.col(col)
-    i = F.count(x).over(upto(w)) - 1
-    df = df.withColumn("_i", i)
-    weight = F.when(F.col("_i") == 0, 1.0).otherwise(a) * F.pow(F.lit(1 - a), -F.col("_i"))
-    running = F.sum(F.when(x.isNotNull(), x * weight)).over(upto(w))
-    return df.withColumn(out, running * F.pow(F.lit(1 - a), F.col("_i"))).drop("_i")
+    if a >= 1:
+        return df.withColumn(out, F.last(col, ignorenulls=True).over(upto(W.partitionBy(*keys).orderBy(order))))
+    d, x = 1 - a, F.col(col)
+    block = max(1, math.floor(230 / -math.log(d)))
+    w = W.partitionBy(*keys).orderBy(order)
+    df = df.withColumn("_i", F.count(x).over(upto(w)) - 1)
+    df = df.withColumns({"_b": F.floor(F.col("_i") / block), "_r": F.pmod(F.col("_i"), F.lit(block))})
+    share = F.when(F.col("_i") == 0, 1.0).otherwise(a)
+    df = df.withColumn("_y", F.when(x.isNotNull(), x * share * F.pow(F.lit(d), -F.col("_r"))))
+    own = F.sum("_y").over(upto(W.partitionBy(*keys, "_b").orderBy(order)))
+    before_ = F.sum("_y").over(W.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1))
+    whole = F.when(own.isNotNull() | before_.isNotNull(), F.coalesce(own, F.lit(0.0)) + F.coalesce(before_, F.lit(0.0)) * d**block)
+    return df.withColumn(out, whole * F.pow(F.lit(d), F.col("_r"))).drop("_i", "_b", "_r", "_y")
 
 
 def momentum(df: DataFrame, k: int) -> DataFrame:

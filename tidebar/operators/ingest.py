@@ -1,6 +1,8 @@
 """Bar ingest: validation, time normalisation and the session model (V operators)."""
 from __future__ import annotations
 
+import datetime
+
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window as W
@@ -89,10 +91,11 @@ def bars_from_ticks(df: DataFrame, symbol: Column, session: Column, slot: Column
                  F.count(F.lit(1)).cast("double").alias("volume")))
 
 
-def calendar_of(bars: DataFrame, close_slot: Column, is_normal: Column) -> DataFrame:
-    """Calendar rows for the sessions seen, with close slot and normal flag by rule."""
-    return (bars.select(*KEYS).distinct()
-            .withColumn("close_slot", close_slot.cast("int")).withColumn("is_normal", is_normal))
+def calendar_spine(symbols: DataFrame, first: datetime.date, last: datetime.date, step: str, close_slot: Column, is_normal: Column) -> DataFrame:
+    """Every session from ``first`` to ``last`` for each symbol, one each ``step``, with close slot and normal flag
+    by rule: a session without a single bar is expected all the same."""
+    days = symbols.select("symbol", F.explode(F.sequence(F.lit(first), F.lit(last), F.expr(f"interval {step}"))).alias("session"))
+    return days.withColumn("close_slot", close_slot.cast("int")).withColumn("is_normal", is_normal)
 
 
 def session_calendar_join(bars: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def stop_ref(spec: Column, side: Column, entry: Column, hi: Column, lo: Column,
 
 def settings_array(rows: list[dict]) -> str:
     """Settings as one SQL array literal: parsed once, whatever their number."""
-    lit = lambda v: f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else repr(v)
+    lit = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else repr(v)
     return "array(" + ", ".join("struct(" + ", ".join(f"{lit(v)} AS {k}" for k, v in r.items()) + ")" for r in rows) + ")"
 
 
@@ -212,7 +212,10 @@ def limit_fill(events: DataFrame, packed: DataFrame, life: int, flat: int) -> Da
 
 def partial_legs(events: DataFrame, packed: DataFrame, flat: int, fraction: float, at_r: float,
                  slip: float = COSTS.slip) -> DataFrame:
-    """A part exits at ``at_r``, the rest runs to its own target: two labelled legs, one trade."""
+    """A part exits at ``at_r``, the rest runs to its own target: two labelled legs, one trade.
+
+    A trade of which only one leg can be entered is there with ``complete`` false and no P&L; equal events
+    stay as many trades."""
     legs = F.array(F.struct(F.lit("part").alias("leg"), F.lit(fraction).alias("weight"), F.lit(at_r).alias("_t")),
                    F.struct(F.lit("rest").alias("leg"), F.lit(1 - fraction).alias("weight"), F.col("target_r").alias("_t")))
     keys = [c for c in events.columns if c != "target_r"]
@@ -220,10 +223,13 @@ def partial_legs(events: DataFrame, packed: DataFrame, flat: int, fraction: floa
         *keys, F.col("_leg.leg").alias("leg"), F.col("_leg.weight").alias("weight"), F.col("_leg._t").alias("target_r"))
     o = barrier_outcome(x, packed, flat, slip)
     return o.groupBy(*[k for k in keys if k not in ("atr",)]).agg(
-        F.sum(F.col("weight") * F.col("pnl_pts")).alias("pnl_pts"), F.max("exit_slot").alias("exit_slot"),
+        F.sum(F.col("weight") * F.col("pnl_pts")).alias("_pnl"), F.max("exit_slot").alias("exit_slot"),
         F.max(F.when(F.col("leg") == "part", F.col("reason"))).alias("part_reason"),
         F.max(F.when(F.col("leg") == "rest", F.col("reason"))).alias("rest_reason"),
-        F.bool_or("is_unknown").alias("is_unknown"), F.count(F.lit(1)).alias("legs")).filter("legs = 2").drop("legs")
+        F.bool_or("is_unknown").alias("is_unknown"), F.count_if(F.col("leg") == "part").alias("_part"), F.count_if(F.col("leg") == "rest").alias("_rest"),
+    ).withColumns({"complete": F.col("_part") == F.col("_rest"), "_n": F.greatest("_part", "_rest")}).withColumns({
+        "pnl_pts": F.when(F.col("complete"), F.col("_pnl") / F.col("_n")), "_copy": F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))
+    }).drop("_pnl", "_part", "_rest", "_n", "_copy")
 
 
 def adverse_cut(trades: DataFrame, marks: DataFrame, share: float, after: int, fraction: float) -> DataFrame:

@@ -93,20 +93,27 @@ CONTEXT = ("impulse_atr", "volume_z", "vwap_side_atr", "vwap_slope_side_atr", "s
            "gap_side_atr", "range_atr")
 
 
-def predicates(thresholds: tuple = ()) -> list[tuple[str, str]]:
-    """Named predicates as SQL conditions. ``thresholds``: columns of training quantiles."""
-    out = [("ALL", "true")]
-    out += [(f"time[{a},{b})", f"slot >= {a} AND slot < {b}") for a, b in ((5, 10), (10, 15), (15, 20), (5, 15), (10, 22))]
-    out += [("LONG", "side = 1"), ("SHORT", "side = -1")]
-    out += [(f"impulse>={t}", f"impulse_atr >= {t}") for t in (0.1, 0.2, 0.3)]
-    out += [(f"volume_z>={t}", f"volume_z >= {t}") for t in (-0.5, 0.0, 0.5, 1.0)]
-    out += [(f"vwap_aligned>={t}", f"vwap_side_atr >= {t}") for t in (0.0, 0.1, 0.25)] + [("vwap_contra", "vwap_side_atr < 0")]
-    out += [(f"vwap_slope_aligned>={t}", f"vwap_slope_side_atr >= {t}") for t in (0.0, 0.02)]
-    out += [(f"session_aligned>={t}", f"session_move_side_atr >= {t}") for t in (0.0, 0.25)] + [("session_contra", "session_move_side_atr < 0")]
-    out += [(f"range_pos_side>={t}", f"range_pos_side >= {t}") for t in (0.5, 0.67, 0.8)]
-    out += [("gap_aligned", "gap_side_atr >= 0"), ("gap_contra", "gap_side_atr < 0")]
-    out += [(f"range_atr<=train{q}", f"range_atr <= {q}") for q in thresholds] + [(f"range_atr>=train{q}", f"range_atr >= {q}") for q in thresholds]
-    return out
+#: Cuts of the predicate library: comparator and values for each column, in the column's own unit.
+CUTS = {
+    "side": {"=": (1, -1)},
+    "volume_z": {">=": (-0.9, 0.25, 1.6), "<": (-0.75,)},
+    "impulse_atr": {">=": (0.05, 0.15, 0.4)},
+    "vwap_side_atr": {">=": (0.0, 0.1, 0.3), "<": (0.0,)},
+    "vwap_slope_side_atr": {">=": (0.0, 0.015)},
+    "session_move_side_atr": {">=": (0.0, 0.35), "<": (0.0,)},
+    "range_pos_side": {">=": (0.45, 0.75), "<": (0.25,)},
+    "gap_side_atr": {">=": (0.0,), "<": (0.0,)},
+}
+#: Stretches of a session, from and to.
+SPANS = ((4, 12), (12, 20), (4, 24))
+
+
+def predicates(quantiles: tuple[str, ...] = ()) -> list[tuple[str, str]]:
+    """Named predicates as SQL conditions; a name is its column, comparator and cut. ``quantiles``: columns
+    ``<column>_q<n>`` that hold cuts taken from training years."""
+    out = [("ALL", "true")] + [(f"slot[{a},{b})", f"slot >= {a} AND slot < {b}") for a, b in SPANS]
+    out += [(f"{c}{op}{cut}", f"{c} {op} {cut}") for c, ops in CUTS.items() for op, cuts in ops.items() for cut in cuts]
+    return out + [(f"{q.rpartition('_')[0]}{op}{q.rpartition('_')[2]}", f"{q.rpartition('_')[0]} {op} {q}") for q in quantiles for op in ("<", ">=")]
 
 
 def predicate_library(ctx: DataFrame, preds: list[tuple[str, str]]) -> DataFrame:
@@ -140,13 +147,12 @@ def pair_rules(marked: DataFrame, top: DataFrame, event_key: list[str], by: list
     return g.select(*by, *event_key, F.explode(pairs).alias("predicate"))
 
 
-def rebuild_rule(marked: DataFrame, frozen: DataFrame, event_key: list[str]) -> DataFrame:
-    """Events of frozen rules (rule_id, predicate): all predicates of the rule must hold."""
+def rebuild_rule(marked: DataFrame, frozen: DataFrame, event_key: list[str], library: list[str]) -> DataFrame:
+    """Events of frozen rules (rule_id, predicate): all predicates of the rule must hold. A predicate that
+    ``library`` does not name is an error, not a rule without events."""
+    strange = frozen.filter(~F.coalesce(F.col("predicate").isin(library), F.lit(False))).select("predicate").first()
+    if strange is not None:
+        raise ValueError(f"no predicate is called {strange.predicate!r}")
     need = frozen.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_need"))
     return (marked.join(frozen, "predicate").groupBy("rule_id", *event_key).agg(F.count(F.lit(1)).alias("_got"))
             .join(need, "rule_id").filter("_got = _need").select("rule_id", *event_key))
-
-
-def unknown_predicates(frozen: DataFrame, library: DataFrame) -> DataFrame:
-    """Predicates of frozen rules that the library does not have: must be empty."""
-    return frozen.join(library.select("predicate").distinct(), "predicate", "left_anti")

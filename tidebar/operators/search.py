@@ -44,14 +44,15 @@ def walk_forward(daily: DataFrame, calendar: DataFrame, unit: str, history: int,
     """At each period start pick the best setting on the preceding sessions, use it in the period.
 
     ``daily``: every (setting, session) of the calendar with pnl, known, entries. Training windows
-    are the session ranks just before the period, so the range join stays inside a symbol and each
-    session serves at most a few periods. Ties go to the smaller id."""
+    are the session ranks just before the period. Which sessions serve which periods is settled on the
+    calendar, so days are joined by (symbol, session), never by the symbol alone. Ties go to the smaller id."""
     cal = calendar.select("symbol", "session").withColumn("_k", F.row_number().over(W.partitionBy("symbol").orderBy("session")))
     cal = cal.withColumn("period", F.trunc("session", unit))
     starts = cal.groupBy("symbol", "period").agg(F.min("_k").alias("_first")).withColumn("_from", F.greatest(F.lit(1), F.col("_first") - history))
     starts = starts.filter(F.col("_first") - F.col("_from") >= min_known)
-    d = daily.join(cal.select("symbol", "session", "_k"), ["symbol", "session"])
-    tr = d.join(starts, "symbol").filter(F.col("_k").between(F.col("_from"), F.col("_first") - 1))
+    d = daily.join(cal.select("symbol", "session"), ["symbol", "session"])
+    serves = cal.drop("period").join(starts, "symbol").filter(F.col("_k").between(F.col("_from"), F.col("_first") - 1)).select("symbol", "session", "period")
+    tr = daily.join(serves, ["symbol", "session"])
     w = W.partitionBy(*by, "period").orderBy("session")
     run = w.rowsBetween(W.unboundedPreceding, 0)
     tr = tr.withColumn("_eq", F.sum(F.when(F.col("known"), F.col("pnl")).otherwise(0.0)).over(run))

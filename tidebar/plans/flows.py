@@ -14,7 +14,7 @@ from tidebar.sources.scratch import materialize
 KEYS = ["symbol", "session"]
 LAST = {"hourly": 22, "monthly": 26, "quarter": 93}
 EXEC = {"stop_atr": [0.1, 0.2], "target_r": [0.0, 2.0], "hold": [4, 8]}
-SIGNAL = {"lookback": [3, 5], "buffer_atr": [0.0], "vwap_filter": [0], "volume_z": [-99.0]}
+SIGNAL = {"lookback": [3, 5], "buffer_atr": [0.0], "vwap_filter": [0], "volume_z": [None]}
 WINDOW = (5, 22)
 
 

@@ -14,10 +14,10 @@ BARS = {
  FROM orders GROUP BY 1, 2, 3""",
 }
 CAL = {
-    "hourly": """SELECT DISTINCT symbol, session, CASE WHEN dayofweek(session) = 0 THEN 12 ELSE 24 END AS close_slot,
- dayofweek(session) <> 0 AS is_normal FROM bars""",
-    "monthly": """SELECT DISTINCT symbol, session, CAST(day(last_day(session)) AS INTEGER) AS close_slot,
- day(last_day(session)) >= 30 AS is_normal FROM bars""",
+    "hourly": """SELECT symbol, session, CASE WHEN dayofweek(session) = 0 THEN 12 ELSE 24 END AS close_slot, dayofweek(session) <> 0 AS is_normal
+ FROM (SELECT symbol, CAST(unnest(generate_series((SELECT min(session) FROM bars), (SELECT max(session) FROM bars), INTERVAL 1 DAY)) AS DATE) AS session FROM bars GROUP BY symbol)""",
+    "monthly": """SELECT symbol, session, CAST(day(last_day(session)) AS INTEGER) AS close_slot, day(last_day(session)) >= 30 AS is_normal
+ FROM (SELECT symbol, CAST(unnest(generate_series((SELECT min(session) FROM bars), (SELECT max(session) FROM bars), INTERVAL 1 MONTH)) AS DATE) AS session FROM bars GROUP BY symbol)""",
 }
 CTES = {
     "g": """SELECT k.symbol, k.session, k.slot, k.close_slot, k.is_normal, b.open, b.high, b.low, b.close, b.volume

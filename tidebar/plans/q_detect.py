@@ -97,10 +97,6 @@ simple("detect_range_break_vol_state", M, "range_break_vol_state", f"slot >= 3 A
 
 # ---- trigger families ----------------------------------------------------------
 
-def trig(kind):
-    return lambda spark, sf: det.with_trigger_columns(views.feat(spark, sf, kind))
-
-
 TRIG = {**qw.EMA_X, "trg0": f"""SELECT f.*, e.ema5 AS ema_fast, e.ema8 AS ema_slow, close - vwap AS dist FROM feat f LEFT JOIN ema e USING (symbol, session, slot)""",
         "trg1": """SELECT t.*, (close - lag(close, 2) OVER o) / nullif(atr, 0) AS move2, (close - lag(close, 4) OVER o) / nullif(atr, 0) AS move4,
  lag(fast2) OVER o AS p_fast, slow2 - lag(slow2, 3) OVER o AS slow_slope,
@@ -112,12 +108,12 @@ TRIG = {**qw.EMA_X, "trg0": f"""SELECT f.*, e.ema5 AS ema_fast, e.ema8 AS ema_sl
 
 
 def trigger(name, kind, family, up, dn, **params):
-    simple(name, kind, family, up, dn, trig(kind), "trg", TRIG, **params)
+    simple(name, kind, family, up, dn, None, "trg", TRIG, **params)
 
 
 trigger("detect_trend_pullback", H, "trend_pullback",
         "fast2 > slow2 AND slow_slope > 0.001 * atr AND p_close <= p_fast AND close > fast2",
-        "fast2 < slow2 AND slow_slope < -0.001 * atr AND p_close >= p_fast AND close < fast2", slope_atr=0.001, vwap_filter=0)
+        "fast2 < slow2 AND slow_slope < -0.001 * atr AND p_close >= p_fast AND close < fast2", fast=5, slow=8, slope_bars=3, slope_atr=0.001, vwap_filter=0)
 trigger("detect_rolling_breakout", H, "rolling_breakout",
         "close > hi3 + 0.02 * atr AND p_close <= p_hi3 + 0.02 * atr AND close > vwap AND volume_z >= 0",
         "close < lo3 - 0.02 * atr AND p_close >= p_lo3 - 0.02 * atr AND close < vwap AND volume_z >= 0",
@@ -125,13 +121,13 @@ trigger("detect_rolling_breakout", H, "rolling_breakout",
 trigger("detect_failed_breakout", H, "failed_breakout",
         "p_low < p_lo3 - 0.01 * atr AND p_close >= p_lo3 AND close > p_lo3 + 0.01 * atr",
         "p_high > p_hi3 + 0.01 * atr AND p_close <= p_hi3 AND close < p_hi3 - 0.01 * atr",
-        lookback=3, overshoot_atr=0.01, reclaim_atr=0.01, volume_z=-99.0)
+        lookback=3, overshoot_atr=0.01, reclaim_atr=0.01, volume_z=None)
 trigger("detect_vwap_stretch_reversal", M, "vwap_stretch_reversal",
         "p_close - p_vwap < -0.2 * atr AND close > p_high AND abs(vwap_slope) <= 0.2 * atr",
-        "p_close - p_vwap > 0.2 * atr AND close < p_low AND abs(vwap_slope) <= 0.2 * atr", stretch_atr=0.2, max_slope_atr=0.2)
+        "p_close - p_vwap > 0.2 * atr AND close < p_low AND abs(vwap_slope) <= 0.2 * atr", stretch_atr=0.2, max_slope_atr=0.2, slope_bars=2)
 trigger("detect_impulse_continuation", M, "impulse_continuation",
         "move2 > 0.1 AND p_move2 <= 0.1 AND close > p_high", "move2 < -0.1 AND p_move2 >= -0.1 AND close < p_low",
-        lookback=2, impulse_atr=0.1, volume_z=-99.0)
+        lookback=2, impulse_atr=0.1, volume_z=None)
 trigger("detect_impulse_reversal", M, "impulse_reversal",
         "p_move4 < -0.1 AND close > p_high AND volume_z >= -0.5", "p_move4 > 0.1 AND close < p_low AND volume_z >= -0.5",
         lookback=4, impulse_atr=0.1, volume_z=-0.5)
@@ -141,7 +137,7 @@ trigger("detect_compression_breakout", H, "compression_breakout",
 trigger("detect_vwap_trend_reclaim", M, "vwap_trend_reclaim",
         "dist_min > 0 AND p_low <= p_vwap + 0.05 * atr AND p_close >= p_vwap AND close > p_high AND vwap_slope > 0",
         "dist_max < 0 AND p_high >= p_vwap - 0.05 * atr AND p_close <= p_vwap AND close < p_low AND vwap_slope < 0",
-        tolerance_atr=0.05, slope_atr=0.0)
+        streak=3, slope_bars=2, tolerance_atr=0.05, slope_atr=0.0)
 
 
 def ref_series(spark, sf):
@@ -151,7 +147,7 @@ def ref_series(spark, sf):
 
 
 def with_ref(spark, sf):
-    f = det.with_trigger_columns(views.feat(spark, sf, M))
+    f = views.feat(spark, sf, M)
     ref = asof_prev(f.select("session").distinct(), "session", ref_series(spark, sf), "obs_date", "level", "ref_level")
     return f.join(ref, "session", "left")
 
@@ -172,7 +168,7 @@ simple("detect_implied_band_reversion", M, "implied_band_reversion",
  WHERE side IS NOT NULL AND atr > 0 AND is_normal AND slot < 22)""")))
 def detect_grid(spark, sf):
     return det.detect_grid(views.feat(spark, sf, H), "rolling_breakout", 22,
-                           {"lookback": [3, 5], "buffer_atr": [0.0, 0.03, 0.06], "vwap_filter": [0], "volume_z": [-99.0]}
+                           {"lookback": [3, 5], "buffer_atr": [0.0, 0.03, 0.06], "vwap_filter": [0], "volume_z": [None]}
                            ).drop("vwap_filter", "volume_z")
 
 

@@ -12,7 +12,7 @@ from tidebar.sources import readers, sinks
 from tidebar.sources.scratch import scratch_path
 
 K = ["symbol", "session"]
-H = "hourly"
+H, M = "hourly", "monthly"
 OHLCV = "symbol session slot:i open:d high:d low:d close:d volume:d"
 
 
@@ -241,6 +241,16 @@ def ingest_missing_report(spark, sf):
     return ingest.missing_report(b, views.calendar(b, H), 8)
 
 
+@register("ingest_missing_sessions", with_ctes(M, """SELECT symbol, session, CAST(close_slot AS BIGINT) AS missing FROM cal
+ WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = cal.symbol AND b.session = cal.session AND b.slot < close_slot)"""))
+def ingest_missing_sessions(spark, sf):
+    """Sessions of which every bar is missing."""
+    b = views.bars(spark, sf, M)
+    cal = views.calendar(b, M)
+    gone = ingest.missing_report(b, cal, 8)
+    return gone.join(cal.select(*K, "close_slot"), K).filter("missing = close_slot").select(*K, "missing")
+
+
 ON = """SELECT symbol, CAST(CASE WHEN slot >= 18 THEN session + INTERVAL 1 DAY ELSE session END AS DATE) AS session,
  max(high) AS on_high, min(low) AS on_low, sum((high + low + close) / 3 * volume) / sum(volume) AS on_vwap
  FROM bars WHERE slot >= 18 GROUP BY 1, 2 HAVING count(open) = 6"""

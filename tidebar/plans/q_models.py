@@ -78,7 +78,7 @@ def detect_return_volume_forecast(spark, sf):
     d = models.rolling_ridge(d.withColumn("x2", F.col("x1") * F.col("vz")), ["x1", "x2"], "y", 60, 0.001, 12).filter("pred IS NOT NULL")
     d = d.withColumns({"goal": F.col("oc") + F.col("pred") * F.col("atr"), "part": F.get("beta", F.lit(1)) * F.col("x2")})
     x = f.join(d.select(*K, "goal", "part"), K).filter("slot < 14")
-    strong = F.abs("part") >= 0.0
+    strong = F.abs("part") >= 0.005  # the product has to move the forecast
     return det.first_breaks(x, 3, strong & (F.col("goal") - F.col("close") > 1.0), strong & (F.col("close") - F.col("goal") > 1.0), 24)
 
 
@@ -134,7 +134,8 @@ def outcome_posterior_exit(spark, sf):
 # ---- streams: compared on the windows the watermark has closed --------------------
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-STOP = "TIMESTAMP '2024-01-30 00:00:00'"
+#: The watermark: what the stream has closed once it has seen everything.
+STOP = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 
 def stream(spark, sf):
@@ -143,22 +144,21 @@ def stream(spark, sf):
 
 @register("stream_bars", f"""SELECT event_type AS symbol, CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS bar_epoch, round(first(value ORDER BY ts, event_id) + 3e-10, 6) + 0.0 AS open,
  round(max(value) + 3e-10, 6) + 0.0 AS high, round(min(value) + 3e-10, 6) + 0.0 AS low, round(last(value ORDER BY ts, event_id) + 3e-10, 6) + 0.0 AS close, CAST(count(*) AS BIGINT) AS volume
- FROM events WHERE ts < {STOP} GROUP BY 1, 2""")
+ FROM events GROUP BY 1, 2 HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= {STOP}""")
 def stream_bars(spark, sf):
-    b = streams.drain(streams.stream_bars(stream(spark, sf), "1 hour"), "stream-bars").filter("bar_ts < TIMESTAMP '2024-01-30 00:00:00'")
+    b = streams.drain(streams.stream_bars(stream(spark, sf), "1 hour"), "stream-bars")
     return b.select("symbol", F.unix_timestamp("bar_ts").alias("bar_epoch"), "open", "high", "low", "close", "volume")
 
 
 @register("stream_sessions", f"""SELECT CAST(user_id AS BIGINT) AS user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_epoch, CAST(count(*) AS BIGINT) AS events, round(sum(value), 4) + 0.0 AS value FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM
- (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, sid HAVING max(ts) < {STOP}""")
+ (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS brk FROM events)) GROUP BY user_id, sid HAVING max(ts) + INTERVAL 30 MINUTE <= {STOP}""")
 def stream_sessions(spark, sf):
     s = streams.drain(streams.stream_sessions(stream(spark, sf), "30 minutes"), "stream-sessions")
-    s = s.filter("session_end < TIMESTAMP '2024-01-30 00:30:00'")
     return s.select("user_id", F.floor(F.unix_micros("session_start") / 1000000).cast("bigint").alias("start_epoch"), "events", F.round("value", 4).alias("value"))
 
 
 @register("stream_quality", f"""SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS window_epoch, CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) FILTER (value IS NULL OR isnan(value)) AS BIGINT) AS bad_value,
- CAST(count(*) FILTER (value < 0) AS BIGINT) AS negative, CAST(count(*) FILTER (abs(value / 0.25 - round(value / 0.25)) > 1e-8) AS BIGINT) AS off_tick FROM events WHERE ts < {STOP} GROUP BY 1""")
+ CAST(count(*) FILTER (value < 0) AS BIGINT) AS negative, CAST(count(*) FILTER (abs(value / 0.25 - round(value / 0.25)) > 1e-8) AS BIGINT) AS off_tick FROM events GROUP BY 1, time_bucket(INTERVAL 6 HOUR, ts) HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= {STOP}""")
 def stream_quality(spark, sf):
-    q = streams.drain(streams.stream_quality(stream(spark, sf), "6 hours"), "stream-quality").filter("window_start < TIMESTAMP '2024-01-30 00:00:00'")
+    q = streams.drain(streams.stream_quality(stream(spark, sf), "6 hours"), "stream-quality")
     return q.select(F.unix_timestamp("window_start").alias("window_epoch"), "row_count", "bad_value", "negative", "off_tick")

@@ -107,14 +107,14 @@ managed("outcome_chandelier", M, away("entry_px + side * mfe - side * 0.8 * atn"
         packed=lambda spark, sf: out.pack_bars(feats.bar_atr(views.grid(spark, sf, M), 3), (F.col("bar_atr").alias("tr"),)), chand_k=0.8)
 
 
-@register("outcome_partial_legs", with_ctes(M, pick("symbol session slot:i side:i pnl_pts:d exit_slot:i part_reason rest_reason is_unknown", """(SELECT symbol, session, slot, side,
- sum(weight * pnl_pts) AS pnl_pts, max(exit_slot) AS exit_slot, max(reason) FILTER (leg = 'part') AS part_reason, max(reason) FILTER (leg = 'rest') AS rest_reason, bool_or(is_unknown) AS is_unknown
- FROM outc GROUP BY 1, 2, 3, 4 HAVING count(*) = 2)"""), {**flows.events_sql(M), "evl": """SELECT e.*, l.*, 0.2 AS stop_atr, 8 AS hold, row_number() OVER () AS eid FROM evb e,
+@register("outcome_partial_legs", with_ctes(M, pick("symbol session slot:i side:i pnl_pts:d exit_slot:i part_reason rest_reason is_unknown complete", """(SELECT symbol, session, slot, side,
+ CASE WHEN count(*) = 2 THEN sum(weight * pnl_pts) END AS pnl_pts, count(*) = 2 AS complete, max(exit_slot) AS exit_slot, max(reason) FILTER (leg = 'part') AS part_reason, max(reason) FILTER (leg = 'rest') AS rest_reason, bool_or(is_unknown) AS is_unknown
+ FROM outc GROUP BY 1, 2, 3, 4)"""), {**flows.events_sql(M), "evl": """SELECT e.*, l.*, 0.2 AS stop_atr, 8 AS hold, row_number() OVER () AS eid FROM evb e,
  (VALUES ('part', 0.5, 1.0), ('rest', 0.5, 3.0)) l(leg, weight, target_r) WHERE signal_id = 0""", **flows.barrier_sql("evl", 27)}))
 def outcome_partial_legs(spark, sf):
     e = one_setting(spark, sf, M, target=3.0)
     return out.partial_legs(e, out.pack_bars(views.grid(spark, sf, M)), 27, 0.5, 1.0).select(
-        *K, "slot", "side", "pnl_pts", "exit_slot", "part_reason", "rest_reason", "is_unknown")
+        *K, "slot", "side", "pnl_pts", "exit_slot", "part_reason", "rest_reason", "is_unknown", "complete")
 
 
 def limits(spark, sf):

@@ -220,14 +220,31 @@ def rule_pairs(spark, sf):
     return rl.pair_rules(m, top_predicates(m), [*K, "slot", "side"], ["signal_id"]).groupBy("signal_id", "predicate").agg(F.count(F.lit(1)).alias("n"))
 
 
-FROZEN = [("f1", "LONG"), ("f1", "vwap_aligned>=0.1"), ("f2", "gap_contra"), ("f2", "session_aligned>=0.0"), ("f2", "SHORT")]
+#: Cuts of the range so far that training years give, as columns.
+QUANTILES = ("range_atr_q33", "range_atr_q67")
+MARKQ = {**CTX, "thr": f"SELECT symbol, quantile_cont(range_atr, 0.33) AS range_atr_q33, quantile_cont(range_atr, 0.67) AS range_atr_q67 FROM ctx WHERE year(session) IN {in_(TRAIN)} GROUP BY 1",
+         "cq": "SELECT * FROM ctx JOIN thr USING (symbol)",
+         "mrk": " UNION ALL ".join(f"SELECT symbol, signal_id, '{n}' AS predicate FROM cq WHERE {c}" for n, c in rl.predicates(QUANTILES))}
+
+
+@register("rule_predicates_trained", with_ctes(M, "SELECT symbol, CAST(signal_id AS BIGINT) AS signal_id, predicate, CAST(count(*) AS BIGINT) AS n FROM mrk GROUP BY 1, 2, 3", MARKQ))
+def rule_predicates_trained(spark, sf):
+    """The whole library, cuts from training years included."""
+    ctx = materialize(context(spark, sf), "context")
+    cut = exact_quantiles(ctx.filter(F.year("session").isin(*TRAIN)), ["symbol"], "range_atr", [0.33, 0.67])
+    cut = cut.groupBy("symbol").agg(*[F.max(F.when(F.col("q") == q, F.col("threshold"))).alias(n) for q, n in zip((0.33, 0.67), QUANTILES)])
+    marks = rl.predicate_library(ctx.join(cut, "symbol"), rl.predicates(QUANTILES))
+    return marks.groupBy("symbol", "signal_id", "predicate").agg(F.count(F.lit(1)).alias("n"))
+
+
+FROZEN = [("f1", "side=1"), ("f1", "vwap_side_atr>=0.1"), ("f2", "gap_side_atr<0.0"), ("f2", "session_move_side_atr>=0.0"), ("f2", "side=-1")]
 
 
 @register("rule_rebuild", with_ctes(M, pick("rule_id symbol session slot:i side:i signal_id:i", """(SELECT 'f1' AS rule_id, symbol, session, slot, side, signal_id FROM ctx WHERE side = 1 AND vwap_side_atr >= 0.1
  UNION ALL SELECT 'f2', symbol, session, slot, side, signal_id FROM ctx WHERE gap_side_atr < 0 AND session_move_side_atr >= 0 AND side = -1)"""), CTX))
 def rule_rebuild(spark, sf):
     frozen = spark.createDataFrame(FROZEN, "rule_id string, predicate string")
-    return rl.rebuild_rule(marked(spark, sf), frozen, [*K, "slot", "side", "signal_id"])
+    return rl.rebuild_rule(marked(spark, sf), frozen, [*K, "slot", "side", "signal_id"], [n for n, _ in PRED])
 
 
 DISC = {**MARK, **flows.barrier_sql("eve", 27), **{k: v for k, v in flows.events_sql(M).items()},
@@ -455,12 +472,12 @@ def search_controls(spark, sf):
     return se.matched_compare(d.filter("config_id = 'c00-03'"), d.filter("config_id = 'c01-00'"))
 
 
-@register("search_decision", sq("config_id symbol decision", f"""SELECT config_id, symbol, CASE WHEN u > 25 THEN 'NEEDS_DATA' WHEN e < 8 THEN 'UNDERPOWERED' WHEN net > 0 AND ok THEN 'ADVANCE' ELSE 'REJECT' END AS decision FROM (SELECT {R}, sum(p) AS net, count(*) FILTER (NOT known) AS u, count(*) FILTER (known AND entries > 0) AS e FROM kn GROUP BY 1, 2)
+@register("search_decision", sq("config_id symbol decision", f"""SELECT config_id, symbol, CASE WHEN u > 0 THEN 'NEEDS_DATA' WHEN e < 8 THEN 'UNDERPOWERED' WHEN net > 0 AND ok THEN 'ADVANCE' ELSE 'REJECT' END AS decision FROM (SELECT {R}, sum(p) AS net, count(*) FILTER (NOT known) AS u, count(*) FILTER (known AND entries > 0) AS e FROM kn GROUP BY 1, 2)
  JOIN (SELECT config_id, symbol, min(n) > 0 AS ok FROM (SELECT config_id, symbol, s, sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (s - 0.25)) AS n FROM sel, (VALUES (0.25), (0.5)) v(s) GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (config_id, symbol)""", {**qs.DAYS, **qs.KNOWN}))
 def search_decision(spark, sf):
     o = flows.labelled(spark, sf)
     days = st.known_days(o, flows.trades(spark, sf, o=o).filter("executed"))
-    d = st.describe_known(days).withColumn("unknown_days", F.greatest(F.col("unknown_days") - 25, F.lit(0)))
+    d = st.describe_known(days)
     s = out.stress(flows.selected(spark, sf, o=o), [0.25, 0.5]).groupBy("config_id", "symbol", "stress_slip").agg(F.sum("pnl_pts").alias("n"))
     s = s.groupBy("config_id", "symbol").agg((F.min("n") > 0).alias("all_stress_ok"))
     return se.decision_label(d.join(s, ["config_id", "symbol"]), 8).select("config_id", "symbol", "decision")

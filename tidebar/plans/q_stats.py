@@ -227,10 +227,10 @@ def screen_credible(spark, sf):
 
 
 @register("screen_known_path", sq("config_id symbol net:d unknown_days:i event_days:i", f"""SELECT * FROM (SELECT {R}, sum(p) AS net, count(*) FILTER (NOT known) AS unknown_days, count(*) FILTER (known AND entries > 0) AS event_days, least(0, min(eq - pk)) AS mdd FROM kn2 GROUP BY 1, 2)
- WHERE unknown_days <= 3 AND event_days >= 5 AND net > 0 AND mdd > -3000""", {**DAYS, **KNOWN}))
+ WHERE unknown_days = 0 AND event_days >= 5 AND net > 0 AND mdd > -3000""", {**DAYS, **KNOWN}))
 def screen_known_path(spark, sf):
     d = st.describe_known(known(spark, sf))
-    return d.filter("unknown_days <= 3 AND event_days >= 5 AND net > 0 AND max_drawdown > -3000").select("config_id", "symbol", "net", "unknown_days", "event_days")
+    return d.filter("unknown_days = 0 AND event_days >= 5 AND net > 0 AND max_drawdown > -3000").select("config_id", "symbol", "net", "unknown_days", "event_days")
 
 
 @register("screen_stress", with_ctes(M, """SELECT config_id, symbol, round(min(n) + 3e-10, 6) + 0.0 AS worst_net FROM (SELECT config_id, symbol, stress_slip, sum(pnl_pts - CASE WHEN reason = 'target' THEN 1 ELSE 2 END * (stress_slip - 0.25)) AS n
@@ -242,9 +242,9 @@ def screen_stress(spark, sf):
     return x.groupBy("config_id", "symbol").agg(F.min("n").alias("worst_net")).filter("worst_net > 0")
 
 
-@register("screen_status", with_ctes(M, """SELECT k.config_id, k.symbol, CASE WHEN coalesce(u, 0) > 2 THEN 'NEEDS_DATA' WHEN coalesce(t, 0) = 0 THEN 'NO_TRADES' WHEN t < 15 THEN 'UNDERPOWERED' ELSE 'EVALUATED' END AS status
+@register("screen_status", with_ctes(M, """SELECT k.config_id, k.symbol, CASE WHEN coalesce(u, 0) > 0 THEN 'NEEDS_DATA' WHEN coalesce(t, 0) = 0 THEN 'NO_TRADES' WHEN t < 15 THEN 'UNDERPOWERED' ELSE 'EVALUATED' END AS status
  FROM (SELECT 'c' || lpad(CAST(s AS VARCHAR), 2, '0') || '-' || lpad(CAST(e AS VARCHAR), 2, '0') AS config_id, symbol FROM (SELECT DISTINCT symbol FROM bars), range(3) a(s), range(8) b(e)) k
- LEFT JOIN (SELECT config_id, symbol, count(*) FILTER (is_unknown) AS u0, greatest(count(*) FILTER (is_unknown) - 20, 0) AS u FROM outc GROUP BY 1, 2) USING (config_id, symbol)
+ LEFT JOIN (SELECT config_id, symbol, count(*) FILTER (is_unknown) AS u FROM outc GROUP BY 1, 2) USING (config_id, symbol)
  LEFT JOIN (SELECT config_id, symbol, count(*) AS t FROM ex GROUP BY 1, 2) USING (config_id, symbol)""", EXE, recursive=True))
 def screen_status(spark, sf):
     """Statuses of a grid whose last signal has no events at all."""
@@ -252,9 +252,9 @@ def screen_status(spark, sf):
     sym = views.bars(spark, sf, M).select("symbol").distinct()
     g = explode_axes(sym, {"s": [0, 1, 2], "e": list(range(8))}).select("symbol", F.format_string("c%02d-%02d", "s", "e").alias("config_id"))
     o = flows.labelled(spark, sf)
-    u = o.groupBy("config_id", "symbol").agg(F.greatest(F.count_if("is_unknown") - 20, F.lit(0)).alias("_u"))
+    u = o.groupBy("config_id", "symbol").agg(F.count_if("is_unknown").alias("unknown"))
     t = flows.trades(spark, sf, o=o).filter("executed").groupBy("config_id", "symbol").agg(F.count(F.lit(1)).alias("trades"))
-    r = u.join(t, ["config_id", "symbol"], "left").withColumn("unknown", F.when(F.col("_u") > 2, F.col("_u")).otherwise(0))
+    r = u.join(t, ["config_id", "symbol"], "left")
     return st.classify_status(g, r, ["config_id", "symbol"], 15)
 
 

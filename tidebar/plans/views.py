@@ -49,6 +49,8 @@ def raw_bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 
 _PREPARED: dict[tuple, str] = {}
+#: First and last session of a frame of bars, by the hash of its plan.
+_ENDS: dict[int, tuple] = {}
 
 
 def prepare(spark: SparkSession, sf: str, kind: str) -> str:
@@ -68,12 +70,18 @@ def bars(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 
 def calendar(b: DataFrame, kind: str) -> DataFrame:
+    """The sessions a view expects of every symbol: all between the first and the last of the table, those
+    without a bar included."""
+    ends = _ENDS.get(key := b.semanticHash())
+    if ends is None:
+        ends = _ENDS[key] = tuple(b.agg(F.min("session"), F.max("session")).first())
+    spine = lambda *how: ingest.calendar_spine(b.select("symbol").distinct(), *ends, *how)
     if kind == "monthly":
         days = F.dayofmonth(F.last_day("session"))
-        return ingest.calendar_of(b, days, days >= 30)
+        return spine("1 month", days, days >= 30)
     sunday = F.dayofweek("session") == 1
     full = 24 if kind == "hourly" else 96
-    return ingest.calendar_of(b, F.when(sunday, full // 2).otherwise(full), ~sunday)
+    return spine("1 day", F.when(sunday, full // 2).otherwise(full), ~sunday)
 
 
 def grid(spark: SparkSession, sf: str, kind: str) -> DataFrame:
