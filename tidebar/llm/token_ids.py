@@ -96,7 +96,7 @@ class _Encoder:
                 self.old, self.memo = self.memo, {}
             memo, old = self.memo, self.old
             lacking = set(chunks).difference(memo)
-            memo.update((c, old[c]) for c in lacking.intersection(old))
+            memo.update((c, old[c]) for c in lacking if c in old)
             new = list(lacking.difference(memo))
             memo.update(zip(new, self._encode(new)))
             parts.append(b"".join(map(memo.__getitem__, chunks)))
