@@ -4,6 +4,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -31,7 +32,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
              # settings multiply rows after a shuffle: small shuffle partitions stay worth a task
              .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "16k")
-             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC").getOrCreate())
+             .config("spark.driver.memory", "12g").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp")).config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     timed(catalog.QUERIES["ingest_bars_from_ticks"](spark, sf))  # start the JVM paths once
     times = {}

@@ -103,3 +103,23 @@ def test_walk_forward_ignores_the_test_period(spark):
     changed = d.withColumn("pnl", F.when((F.col("session") >= cut) & (F.col("config_id") == "b"), 1000.0).otherwise(F.col("pnl")))
     a, b = run(d), run(changed)
     assert a and a == b
+
+
+def test_run_length_posterior_equals_the_plain_recursion(spark):
+    z = {"a": [0.3, -1.2, 2.0, 1.5, None, 0.7], "b": [None, 1.0], "c": [0.0, 0.1, -2.5]}
+    rows = [(s, dt.date(2024, 1, 2), k, v) for s, vs in z.items() for k, v in enumerate(vs)]
+    d = spark.createDataFrame(rows, "symbol string, session date, slot int, ret_z double")
+    got = {(r.symbol, r.slot): r.down for r in models.run_length_posterior(d, 0.1, 2).collect()}
+    for s, vs in z.items():
+        state, live = [(1.0, 0.0, 1.0)], True
+        for t, v in enumerate(vs):
+            live = live and v is not None
+            if not live:
+                assert got[s, t] is None
+                continue
+            lik = [p * math.exp(-0.5 * (v - m) ** 2 / (1 + 1 / k)) / math.sqrt(2 * math.pi * (1 + 1 / k)) for p, m, k in state]
+            state = [(0.1 * sum(lik), 0.0, 1.0)] + [(0.9 * w, (m * k + v) / (k + 1), k + 1) for w, (_, m, k) in zip(lik, state)]
+            total = sum(p for p, _, _ in state)
+            state = [(p / total, m, k) for p, m, k in state]
+            want = sum(p * 0.5 * (1 + math.erf(-m * math.sqrt(k / 2))) for p, m, k in state[1:3])
+            assert math.isclose(got[s, t], want, rel_tol=1e-9)

@@ -58,8 +58,8 @@ def rolling_ridge(df: DataFrame, xs: list[str], y: str, n: int, lam: float, mini
         mse = cov[:, k, k] - 2 * (beta * rhs).sum(axis=1) + np.einsum("ni,nij,nj->n", beta, corr, beta)
         lever = (1 + np.einsum("ni,nij,nj->n", now_z, inv, now_z)) / cnt[:, 0]
         unc = np.sqrt(np.maximum(0, mse * lever))
-        for p, row in enumerate(good):
-            out.iat[row, 0], out.iat[row, 1], out.iat[row, 2] = pred[p], unc[p], (beta[p] / sd[p]).tolist()
+        out.loc[good, "pred"], out.loc[good, "unc"] = pred, unc
+        out.loc[good, "beta"] = pd.Series(list(beta / sd), index=good)
         return out
 
     x = df.withColumn("_m", F.array(*sums)).withColumn("_r", solve("_m", now))
@@ -73,33 +73,57 @@ def run_length_posterior(df: DataFrame, hazard: float, recent: int) -> DataFrame
     Sessions are packed, bounded by their length; one Arrow batch carries many sessions."""
     g = df.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("slot", F.col("ret_z").alias("z")))).alias("_b"))
 
-    def path(z: list) -> list:
-        prob, mean, prec, out = np.array([1.0]), np.array([0.0]), np.array([1.0]), []
-        for v in z:
-            if v is None or not math.isfinite(v) or not prob.sum() > 0:  # the path ends here
-                out.append((None, None))
-                prob = np.array([0.0])
-                continue
-            var = 1 + 1 / prec
-            weight = prob * np.exp(-0.5 * (v - mean) ** 2 / var) / np.sqrt(2 * np.pi * var)
-            prob = np.concatenate([[weight.sum() * hazard], weight * (1 - hazard)])
-            if not prob.sum() > 0:
-                out.append((None, None))
-                continue
-            prob = prob / prob.sum()
-            mean, prec = np.concatenate([[0.0], (mean * prec + v) / (prec + 1)]), np.concatenate([[1.0], prec + 1])
-            take = slice(1, min(recent, len(prob) - 1) + 1)
-            below = np.array([0.5 * (1 + math.erf(-m * math.sqrt(p / 2))) for m, p in zip(mean[take], prec[take])])
-            out.append((float((prob[take] * below).sum()), float((prob[take] * (1 - below)).sum())))
-        return out
-
     @F.pandas_udf("array<struct<slot: int, down: double, up: double>>")
-    def posterior(b: pd.Series) -> pd.Series:
-        return b.map(lambda rows: [{"slot": r["slot"], "down": p[0], "up": p[1]} for r, p in zip(rows, path([q["z"] for q in rows]))])
+    def posterior(batch: pd.Series) -> pd.Series:
+        sizes = batch.map(len).to_numpy()
+        n, longest = len(sizes), int(sizes.max(initial=0))
+        z = np.full((n, longest), np.nan)
+        slots = np.zeros((n, longest), np.int64)
+        flat = [(r["slot"], np.nan if r["z"] is None else r["z"]) for rows in batch for r in rows]
+        inside = np.arange(longest) < sizes[:, None]
+        if flat:
+            slots[inside], z[inside] = (np.array(c) for c in zip(*flat))
+        down, up = _shift_posterior(z, hazard, recent)
+        out = pd.Series(np.empty(n, object))
+        for i, size in enumerate(sizes):
+            out.iloc[i] = [{"slot": int(k), "down": None if math.isnan(d) else d, "up": None if math.isnan(u) else u}
+                           for k, d, u in zip(slots[i, :size], down[i, :size].tolist(), up[i, :size].tolist())]
+        return out
 
     return g.select(*KEYS, F.inline(posterior("_b")))
 
 
+def _shift_posterior(z: np.ndarray, hazard: float, recent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bayesian run-length recursion on all sessions of a batch at once, a column of bars at a time.
+
+    Column r of the state holds what is known if the last shift was r bars ago; a missing bar ends a
+    session's path. Returns the probabilities of a shift within ``recent`` bars to a negative and to a
+    positive mean, NaN where there is no path."""
+    n, bars = z.shape
+    prob, mean, prec = np.zeros((n, bars + 1)), np.zeros((n, bars + 1)), np.ones((n, bars + 1))
+    prob[:, 0] = 1
+    down, up = np.full((n, bars), np.nan), np.full((n, bars), np.nan)
+    half = np.frompyfunc(lambda v: 0.5 * (1 + math.erf(v)), 1, 1)
+    for t in range(bars):
+        v = z[:, t:t + 1]
+        live = np.isfinite(v[:, 0]) & (prob.sum(1) > 0)
+        v = np.where(live[:, None], v, 0.0)
+        p, m, k = prob[:, :t + 1], mean[:, :t + 1], prec[:, :t + 1]
+        var = 1 + 1 / k
+        weight = p * np.exp(-0.5 * (v - m) ** 2 / var) / np.sqrt(2 * np.pi * var)
+        grown = np.concatenate((weight.sum(1, keepdims=True) * hazard, weight * (1 - hazard)), axis=1)
+        whole = grown.sum(1)
+        live &= whole > 0
+        prob[:, :t + 2] = np.where(live[:, None], grown / np.where(live, whole, 1)[:, None], 0.0)
+        mean[:, 1:t + 2], prec[:, 1:t + 2] = (m * k + v) / (k + 1), k + 1
+        mean[:, 0], prec[:, 0] = 0.0, 1.0
+        near = slice(1, min(recent, t + 1) + 1)
+        below = half(-mean[:, near] * np.sqrt(prec[:, near] / 2)).astype(float)
+        down[live, t] = (prob[:, near] * below).sum(1)[live]
+        up[live, t] = (prob[:, near] * (1 - below)).sum(1)[live]
+    return down, up
+
+
 def exit_posterior(trades: DataFrame, post: DataFrame, bars: DataFrame, level: float, after: int) -> DataFrame:
     """Exit at the open after the first held bar whose adverse probability reaches ``level``."""
     p = post.join(bars.select(*KEYS, "slot", "open"), [*KEYS, "slot"])

@@ -4,8 +4,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.core import KEYS
@@ -85,23 +84,37 @@ def bootstrap_ci(daily: DataFrame, by: list[str], block: int, draws: int) -> Dat
                               F.percentile("_mean", F.lit(0.975)).alias("ci_high"))
 
 
-def deflated_sharpe(daily: DataFrame, by: list[str], trials: int) -> DataFrame:
-    """Probability that the Sharpe ratio beats the best of ``trials`` skill-less ones.
+# The rational approximation 7.1.26 of Abramowitz and Stegun, off by at most 1.5e-7
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(x: Column) -> Column:
+    """The standard normal distribution function in plain columns."""
+    z = F.abs(x) / math.sqrt(2)
+    t = 1 / (1 + ERF_P * z)
+    poly = F.lit(0.0)
+    for a in reversed(ERF_A):
+        poly = (poly + a) * t
+    half = poly * F.exp(-z * z) / 2
+    return F.when(x >= 0, 1 - half).otherwise(half)
+
+
+def best_of_skilless(trials: int) -> float:
+    """Expected largest of ``trials`` standard normal values."""
+    if trials <= 1:
+        return 0.0
+    nd, euler = NormalDist(), 0.5772156649
+    return (1 - euler) * nd.inv_cdf(1 - 1 / trials) + euler * nd.inv_cdf(1 - 1 / (trials * math.e))
 
-    Moments are aggregated in Spark; only the normal CDF of one row per result is Python."""
+
+def deflated_sharpe(daily: DataFrame, by: list[str], trials: int) -> DataFrame:
+    """Probability that the Sharpe ratio beats the best of ``trials`` skill-less ones."""
     m = daily.groupBy(*by).agg(F.count("pnl").alias("n"), F.avg("pnl").alias("m"), F.stddev_pop("pnl").alias("s"),
                                F.skewness("pnl").alias("sk"), (F.kurtosis("pnl") + 3).alias("ku")).filter("n >= 5 AND s > 0")
-    nd, euler = NormalDist(), 0.5772156649
-    z = 0.0 if trials <= 1 else (1 - euler) * nd.inv_cdf(1 - 1 / trials) + euler * nd.inv_cdf(1 - 1 / (trials * math.e))
     sr = F.col("m") / F.col("s")
-    stat = (sr - F.lit(z) / F.sqrt(F.col("n") - 1)) * F.sqrt(F.col("n") - 1) / F.sqrt(
+    stat = (sr - F.lit(best_of_skilless(trials)) / F.sqrt(F.col("n") - 1)) * F.sqrt(F.col("n") - 1) / F.sqrt(
         F.greatest(F.lit(1e-12), 1 - F.col("sk") * sr + (F.col("ku") - 1) * sr * sr / 4))
-
-    @F.pandas_udf("double")
-    def cdf(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
-
-    return m.withColumn("stat", stat).select(*by, "n", "stat", cdf("stat").alias("probability"))
+    return m.withColumn("stat", stat).select(*by, "n", "stat", normal_cdf(F.col("stat")).alias("probability"))
 
 
 def matched_compare(cand: DataFrame, control: DataFrame) -> DataFrame:

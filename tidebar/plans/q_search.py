@@ -461,7 +461,19 @@ def search_bootstrap(spark, sf):
     return se.bootstrap_ci(qs.daily(spark, sf), ["config_id", "symbol"], 4, 40)
 
 
-@register("search_deflated_sharpe")
+def _cdf_sql(x: str) -> str:
+    """The normal distribution function by the same rational approximation, written out."""
+    t = f"(1 / (1 + {se.ERF_P} * abs({x}) / sqrt(2)))"
+    poly = " + ".join(f"({a}) * pow({t}, {k})" for k, a in enumerate(se.ERF_A, 1))
+    return f"CASE WHEN {x} >= 0 THEN 1 - ({poly}) * exp(-{x} * {x} / 2) / 2 ELSE ({poly}) * exp(-{x} * {x} / 2) / 2 END"
+
+
+SHARPE = {**qs.DAYS, "mo": f"SELECT {R}, count(*) AS n, avg(pnl) AS m, stddev_pop(pnl) AS s FROM dy GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_pop(pnl) > 0",
+          "hm": "SELECT config_id, symbol, any_value(n) AS n, any_value(m / s) AS sr, avg(pow((pnl - m) / s, 3)) AS sk, avg(pow((pnl - m) / s, 4)) AS ku FROM dy JOIN mo USING (config_id, symbol) GROUP BY 1, 2",
+          "ds": f"SELECT *, (sr - {se.best_of_skilless(16)!r} / sqrt(n - 1)) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - sk * sr + (ku - 1) * sr * sr / 4)) AS stat FROM hm"}
+
+
+@register("search_deflated_sharpe", sq("config_id symbol n:i stat:d probability:d", f"SELECT *, {_cdf_sql('stat')} AS probability FROM ds", SHARPE))
 def search_deflated_sharpe(spark, sf):
     return se.deflated_sharpe(qs.daily(spark, sf), ["config_id", "symbol"], 16)
 
