@@ -50,6 +50,8 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(i if i else None, t, "d") for i, t in enumerate(texts)], "doc_id long, text string, decoded string")
     got = {r.id or 0: (r.ids, r.decoded) for r in pieces.decode_ids(pieces.encode_texts(docs, MODEL), MODEL).collect()}
     assert got == {i: (LIBRARY.encode(t or ""), LIBRARY.decode(LIBRARY.encode(t or ""))) for i, t in enumerate(texts)}
+    both = pieces.encode_texts(docs, MODEL, decoded=True)
+    assert {r.id or 0: (r.ids, r.decoded) for r in both.collect()} == got
     empty = pieces.decode_ids(pieces.encode_texts(docs.limit(0), MODEL), MODEL)
     assert empty.columns == ["id", "ids", "decoded"] and empty.count() == 0
 

@@ -25,9 +25,9 @@ from tidebar.llm.text import byte_column, int_lists, list_column
 
 SPACE = "▁"
 #: Segments in each of the two generations that a worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 400_000, 48
+MEMO, MEMO_CHARS = 250_000, 48
 #: Remembered answers of the merge rules on pairs of pieces.
-PAIRS = 400_000
+PAIRS = 200_000
 #: Boundaries between two looks at whether the paths have met.
 LOOK = 64
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
@@ -211,8 +211,9 @@ def _encoder(model: str) -> Encoder:
     return Encoder(Pieces(model))
 
 
-def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, ids array<int>)`` of every row: exactly the library's ids for the model.
+def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``(id, ids array<int>)`` of every row: exactly the library's ids for the model. With ``decoded`` also
+    ``decoded``, the text of the ids, made in the same pass, so that one worker per task does both.
 
     Null and empty texts have no ids. Characters without a piece become the ids of their UTF-8 bytes. Texts of any
     length are searched in a window bounded by the longest piece. Repeated rows come out repeated,
@@ -220,11 +221,15 @@ def encode_texts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(model)
         for batch in batches:
-            ids = list_column([encode(t.decode("utf-8")) for t in byte_column(batch, "text")], pa.int32())
-            yield pa.record_batch([batch.column("id"), ids], ["id", "ids"])
+            ids = [encode(t.decode("utf-8")) for t in byte_column(batch, "text")]
+            columns = [batch.column("id"), list_column(ids, pa.int32())]
+            if decoded:
+                decode = Decoder(encode.pieces)
+                columns.append(pa.array([decode(x.tolist()) for x in ids], pa.string()))
+            yield pa.record_batch(columns, ["id", "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode_ids(coded: DataFrame, model: str) -> DataFrame:

@@ -33,8 +33,7 @@ def register(name: str, sql: str | None = None):
 @register("op1_sentencepiece")
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text decoded from them."""
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents"), model), model)
+    coded = pieces.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
     return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_ids"), "ids", "decoded")
 
 
