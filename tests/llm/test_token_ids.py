@@ -39,13 +39,20 @@ def test_edge_rows(spark, monkeypatch, block, files):
     monkeypatch.setattr(token_ids, "FILE_BLOCKS", files)
     monkeypatch.setattr(token_ids, "MEMO", 20)
     texts = [(None, "no id"), (-5, "don't they'll say İstanbul ŒUVRE é ́x"), (0, None), (1, ""), (2, " \t\r\n"), (3, "a" * 5000), (4, "x y " * 3000),
-             (4, "x y " * 3000), (7, "Größe <|endoftext|> 東京\x1cタワー <|startoftext|>!"), (8, "tail\x85line　sep")]
+             (4, "x y " * 3000), (5, "Word, WORD!! word... (word) 'tis don't, it's. a—! H\u0331, 3.5% x_y- <|endoftext|>! --- é. É?! ñ3;"), (7, "Größe <|endoftext|> 東京\x1cタワー <|startoftext|>!"), (8, "tail\x85line　sep")]
     docs = spark.createDataFrame([(t, "s", d) for d, t in texts], "text string, ids string, doc_id long").repartition(3)
     path = token_ids.write_ids(docs, PATH, scratch_path(spark, "ids-test"), 1)
     got = token_ids.read_ids(spark, path).orderBy("start").collect()
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32, r.ids) for r in got] == want(texts)
 
 
+@given(st.text(st.sampled_from("aB3é'.,!-_<|>\u0331—½ª")))
+@settings(max_examples=400, deadline=None)
+def test_chunks_are_encoded_as_the_library_does(text):
+    encode = token_ids._encoder(PATH)
+    assert encode(text.encode()).tolist() == encode.library.encode(text, add_special_tokens=False).ids
+
+
 def test_frequent_ids_take_one_byte(spark):
     docs = spark.createDataFrame([(i, "the same words again and again") for i in range(100)], "doc_id long, text string")
     path = token_ids.write_ids(docs, PATH, scratch_path(spark, "ids-test"), 1)

@@ -9,6 +9,7 @@ little-endian. Files are named in order and documents stand in ascending id orde
 """
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ _HEAD, _RANKS = struct.Struct("<4sIQQ"), struct.Struct("<4sI")
 BLOCK_IDS, FILE_BLOCKS = 1 << 16, 64
 #: Distinct chunks in each of the two generations that a worker remembers, and the longest of them in bytes.
 MEMO, MEMO_BYTES = 400_000, 64
+#: A chunk that ends in ASCII punctuation other than an apostrophe, after a letter or digit.
+_HALVES = re.compile(rb"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Bytes of each of the four ids of a control byte.
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 _PLACES = np.arange(4, dtype=np.uint8)
@@ -89,6 +92,18 @@ class _Encoder:
         texts = [c.decode("utf-8", "replace") for c in chunks]
         return (np.fromiter(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
 
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Remember the ids of new chunks. A chunk that ends in ASCII punctuation after an ASCII letter or digit is
+        its head and its tail, since the tokenizer splits there; heads in pure ASCII are looked up in lower case."""
+        halves = {}
+        for c in chunks:
+            found = None if b"<|" in c or len(c) > MEMO_BYTES else _HALVES.fullmatch(c)
+            head, tail = found.groups() if found else (c, b"")
+            halves[c] = (head.lower() if found and head.isascii() else head, tail)
+        lacking = list({part for pair in halves.values() for part in pair if part and part not in self.memo})
+        self.memo.update(zip(lacking, self._encode(lacking)))
+        self.memo.update((c, self.memo[head] + (self.memo[tail] if tail else b"")) for c, (head, tail) in halves.items())
+
     def __call__(self, data: bytes) -> np.ndarray:
         parts = []
         for chunks in space_words(data):
@@ -97,8 +112,8 @@ class _Encoder:
             memo, old = self.memo, self.old
             lacking = set(chunks).difference(memo)
             memo.update((c, old[c]) for c in lacking if c in old)
-            new = list(lacking.difference(memo))
-            memo.update(zip(new, self._encode(new)))
+            new = [c for c in lacking if c not in memo]
+            self._learn(new)
             parts.append(b"".join(map(memo.__getitem__, chunks)))
             for c in new:
                 if len(c) > MEMO_BYTES:
