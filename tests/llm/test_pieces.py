@@ -13,7 +13,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
 OWN = pieces.Pieces(MODEL)
 ODD = ["", " ", "  x", "\n\n a", "a" * 3000, "   " * 50, "x" + " " * 37 + "y", " " * 5001, "東京タワーは高い" * 40, "<s> </s> <unk> <0x0A> ▁x ▁▁",
-       "12 345 6,789 0x1F", "\U0001F642 ok", "ﬁ ½ Ⅷ", "\x00\x01é́"]
+       "12 345 6,789 0x1F", "Word, WORD!! don't (é)! ñ... a²., x_y-z f(x)=y; o'clock", "\U0001F642 ok", "ﬁ ½ Ⅷ", "\x00\x01é́"]
 
 
 @pytest.mark.parametrize("text", ODD)

@@ -27,10 +27,12 @@ SPACE = "▁"
 #: Segments in each of the two generations that a worker remembers, and the longest of them in characters.
 MEMO, MEMO_CHARS = 250_000, 48
 #: Remembered answers of the merge rules on pairs of pieces.
-PAIRS = 200_000
+PAIRS = 400_000
 #: Boundaries between two looks at whether the paths have met.
 LOOK = 64
 _NORMAL, _UNKNOWN, _BYTE = 1, 2, 6
+#: Where a Latin letter is followed by ASCII punctuation.
+_TAIL = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\[-`{-~])")
 
 
 class Pieces:
@@ -55,6 +57,8 @@ class Pieces:
             raise ValueError("only models with byte fallback and no pieces of users")
         #: No piece goes on after a space that follows another character, so segments may be cut before it.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
+        #: Nor does one go on from a letter to punctuation, so segments may be cut there too.
+        self.tails = not any(len(_TAIL.split(p)) > 1 for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merge(self, text: str) -> list[str]:
@@ -174,6 +178,16 @@ class Encoder:
         ids.extend(search.close())
         return np.array(ids, "<i4").tobytes()
 
+    def _learn(self, s: str) -> bytes:
+        """Ids of a new segment; one with punctuation after letters is the segments on both sides of the cut."""
+        cut = _TAIL.split(s) if self.pieces.tails and len(s) <= MEMO_CHARS else [s]
+        if len(cut) == 1:
+            return self.segment(s)
+        for part in cut:
+            if part not in self.memo:
+                self.memo[part] = self.old.get(part) or self.segment(part)
+        return b"".join(map(self.memo.__getitem__, cut))
+
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
@@ -187,7 +201,7 @@ class Encoder:
             if ids is None:
                 ids = self.old.get(s)
                 if ids is None:
-                    ids = self.segment(s)
+                    ids = self._learn(s)
                 if len(s) <= MEMO_CHARS:
                     memo[s] = ids
             out.append(ids)
