@@ -202,3 +202,14 @@ def test_features_do_not_see_later_bars(walk):
         return f.filter((F.col("session") < F.lit(last)) | (F.col("slot") <= cut)).select(
             "session", "slot", "atr", "vwap", "hi5", "ret_z", "cusum_up", "vr_score", "smooth", "jump_share", "noise")
     assert build(g).exceptAll(build(alt)).count() == 0
+
+
+@pytest.mark.parametrize("family, params", [
+    ("rolling_breakout", {"lookback": 0, "buffer_atr": 0.0, "vwap_filter": 0, "volume_z": None}),
+    ("impulse_reversal", {"lookback": 2.5, "impulse_atr": 0.1, "volume_z": None}),
+    ("vwap_trend_reclaim", {"slope_bars": 2, "tolerance_atr": 0.1, "slope_atr": 0.0}),
+    ("trend_pullback", {"fast": 3, "slow": True, "slope_bars": 1, "slope_atr": 0.0, "vwap_filter": 0})])
+def test_a_number_of_bars_without_a_column_is_refused(spark, family, params):
+    df = spark.createDataFrame([], "symbol string, session date, slot int, close double")
+    with pytest.raises(ValueError, match="positive number of bars"):
+        det.detect(df, family, 20, **params)
