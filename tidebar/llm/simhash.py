@@ -226,11 +226,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: in
     return groups(docs, radius, shingle, seed, id_col, text_col).select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each component of ``near_duplicates``, with its columns. Of repeated rows, and of
-    rows of a component that share its id, one stays; a component without ids keeps one row."""
-    kept = groups(docs, radius, shingle, seed, id_col, text_col).filter(F.col("id").eqNullSafe(F.col("component_id")))
+def keep_first(docs: DataFrame, grouped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row with the smallest id of each component of ``grouped (id, text_key, root, component_id)``, with its columns."""
+    kept = grouped.filter(F.col("id").eqNullSafe(F.col("component_id")))
     kept = kept.groupBy("root", "id").agg(F.min("text_key").alias("text_key"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"))
     both = rows.join(kept.select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key")), F.col("text_key").eqNullSafe(F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
     return both.dropDuplicates(["id", "text_key"]).select("row.*")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each component of ``near_duplicates``, with its columns. Of repeated rows, and of
+    rows of a component that share its id, one stays; a component without ids keeps one row."""
+    return keep_first(docs, groups(docs, radius, shingle, seed, id_col, text_col), id_col, text_col)
