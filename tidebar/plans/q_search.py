@@ -253,15 +253,31 @@ DISC = {**MARK, **flows.barrier_sql("eve", 27), **{k: v for k, v in flows.events
         **qs.split_sql(), "dsc": qs.SCORE["sco"].replace("trades_train >= 3 AND trades_validate >= 3", "trades_train >= 2 AND trades_validate >= 2").replace("/ 3.0", "/ 2.0")}
 
 
+def discovered(x):
+    """Select, unit-size statistics, score, capped ranking of labelled events by config_id, which begins with the signal."""
+    t = out.select_non_overlapping(x, ["config_id", *K], *flows.WINDOW, max_n=3)
+    t = out.net_pnl(t.withColumns({"instrument": F.lit("small"), "qty": F.lit(1)})).withColumns({"year": F.year("session"), "executed": F.lit(True)})
+    s = st.selection_score(st.wide_stats(t, TRAIN, VALIDATE, TEST), 2).filter("score IS NOT NULL").withColumn("signal", F.element_at(F.split("config_id", r"\|"), 1))
+    return st.ranked_with_group_cap(s, ["signal"], [F.desc("score"), F.desc("net"), "config_id", "symbol"], 8, 12).select("config_id", "symbol", "trades", "net", "score")
+
+
 @register("rule_discover", with_ctes(M, pick("config_id symbol trades:i net:d score:d", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split_part(config_id, '|', 1) ORDER BY score DESC, net DESC, config_id, symbol) AS k FROM dsc WHERE score IS NOT NULL) WHERE k <= 8 ORDER BY score DESC, net DESC, config_id, symbol LIMIT 12)"), DISC, recursive=True))
 def rule_discover(spark, sf):
     """Every single predicate on every signal: label, select, unit-size statistics, score, capped ranking."""
     o = flows.outcomes(spark, sf, M).filter("exec_id = 3").drop("config_id")
     x = o.join(marked(spark, sf), [*K, "slot", "side", "signal_id"]).withColumn("config_id", F.concat_ws("|", F.col("signal_id").cast("string"), "predicate"))
-    t = out.select_non_overlapping(x, ["config_id", *K], *flows.WINDOW, max_n=3)
-    t = out.net_pnl(t.withColumns({"instrument": F.lit("small"), "qty": F.lit(1)})).withColumns({"year": F.year("session"), "executed": F.lit(True)})
-    s = st.selection_score(st.wide_stats(t, TRAIN, VALIDATE, TEST), 2).filter("score IS NOT NULL").withColumn("signal", F.element_at(F.split("config_id", r"\|"), 1))
-    return st.ranked_with_group_cap(s, ["signal"], [F.desc("score"), F.desc("net"), "config_id", "symbol"], 8, 12).select("config_id", "symbol", "trades", "net", "score")
+    return discovered(x)
+
+
+DISC_ALL = {**DISC, "dso": "SELECT o.* EXCLUDE (config_id), o.signal_id || '|' || o.exec_id || '|' || m.predicate AS config_id, m.predicate FROM outc o JOIN mrk m USING (symbol, session, slot, side, signal_id)"}
+
+
+@register("rule_discover_all", with_ctes(M, pick("config_id symbol trades:i net:d score:d", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split_part(config_id, '|', 1) ORDER BY score DESC, net DESC, config_id, symbol) AS k FROM dsc WHERE score IS NOT NULL) WHERE k <= 8 ORDER BY score DESC, net DESC, config_id, symbol LIMIT 12)"), DISC_ALL, recursive=True))
+def rule_discover_all(spark, sf):
+    """As ``rule_discover``, under every execution setting: config_id is signal, setting and predicate."""
+    o = flows.outcomes(spark, sf, M).drop("config_id")
+    x = o.join(marked(spark, sf), [*K, "slot", "side", "signal_id"]).withColumn("config_id", F.concat_ws("|", F.col("signal_id").cast("string"), F.col("exec_id").cast("string"), "predicate"))
+    return discovered(x)
 
 
 # ---- grids and audits ----------------------------------------------------------
