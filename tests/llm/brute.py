@@ -78,3 +78,12 @@ def pii_base(text):
             if good:
                 out.append((m.start(), k, kind, m.end()))
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
+
+
+def exact_copies(rows):
+    """rows: [(doc_id, text)] with distinct ids -> [(id, keep id, group size, kept, sha256)]."""
+    import hashlib
+    groups = {}
+    for doc, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), []).append(doc)
+    return [(d, min(g), len(g), d == min(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for d in g]

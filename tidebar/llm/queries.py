@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidebar.llm import decontaminate, licenses, line_dedup, pieces, pii, quality_mil, quality_rules, simhash, token_ids, toxicity
+from tidebar.llm import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, quality_mil, quality_rules, simhash, token_ids, toxicity
 from tidebar.llm.labelled import fold
 from tidebar.llm.text import table
 from tidebar.sources.scratch import scratch_path
@@ -150,3 +150,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(F.col("id").alias("doc_id"), "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256")).select(
         "*", decontaminate.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+@register("op11_exact_dedup", """
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS k FROM documents),
+g AS (SELECT k, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY k)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM n JOIN g USING (k)""")
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with the row that stays for it."""
+    marked = exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+    return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
