@@ -87,3 +87,29 @@ def exact_copies(rows):
     for doc, text in rows:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), []).append(doc)
     return [(d, min(g), len(g), d == min(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for d in g]
+
+
+def rebuilt(rows, every=5, most=8):
+    """rows: [(conv_id, turn, role, text)] with distinct turns -> {conv_id: [(role, text)]}."""
+    import zlib
+    own = {}
+    for c, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0)):
+        own.setdefault(c, []).append((role or "", text or ""))
+    h = {c: zlib.crc32(str(c).encode()) % (most + 1) for c in own}
+    return {c: own.get(c - c % every, [])[: h[c]] + t[h[c]:] for c, t in own.items()}
+
+
+def trie(convs):
+    """{conv_id: [(role, text)]} -> [(conv_id, depth, parent, members, children, leaves, saved, sha256)]."""
+    import hashlib
+    members, out = {}, []
+    for c, turns in convs.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    for node, ids in members.items():
+        below = [k for k in members if k[: len(node)] == node]
+        parents = {k[:-1] for k in members if k}
+        ends = sorted(c for c in ids if len(convs[c]) == len(node))
+        out.append((min(ids), len(node), min(members[node[:-1]]) if node else None, len(ids), sum(1 for k in below if len(k) == len(node) + 1), sum(1 for k in below if k not in parents),
+                    sum((len(members[k]) - 1) * len(k[-1][1].encode()) for k in below if k), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
+    return out

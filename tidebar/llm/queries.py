@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidebar.llm import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, quality_mil, quality_rules, simhash, token_ids, toxicity
+from tidebar.llm import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, prefix_trie, quality_mil, quality_rules, simhash, token_ids, toxicity
 from tidebar.llm.labelled import fold
 from tidebar.llm.text import table
 from tidebar.sources.scratch import scratch_path
@@ -160,3 +160,31 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents`` with the row that stays for it."""
     marked = exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+#: CRC-32 of the decimal digits of conv_id: reflected polynomial, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+@register("op13_prefix_trie", f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, code) AS k
+           FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code, strlen(coalesce(text, '')) AS bytes
+                 FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC_SQL} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS d
+      FROM (SELECT c.conv_id, 0 AS part, t.k, t.code, t.bytes FROM c JOIN t ON t.conv_id = c.base AND t.k <= c.h
+            UNION ALL SELECT c.conv_id, 1, t.k, t.code, t.bytes FROM c JOIN t ON t.conv_id = c.conv_id AND t.k > c.h)),
+p AS (SELECT conv_id, d, bytes, sha256(string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY d)) AS key FROM r),
+m AS (SELECT conv_id, d, bytes, key, CASE WHEN d = 1 THEN 'root' ELSE lag(key) OVER (PARTITION BY conv_id ORDER BY d) END AS up FROM p UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM c),
+n AS (SELECT key, min(d) AS d, min(conv_id) AS conv_id, count(*) AS n, min(bytes) AS bytes, min(up) AS up FROM m GROUP BY key),
+ch AS (SELECT up AS key, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT m.key, sum(CASE WHEN ch.key IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n - 1) * n.bytes) AS saved
+          FROM n LEFT JOIN ch ON ch.key = n.key JOIN m ON m.conv_id = n.conv_id AND m.d <= n.d GROUP BY m.key),
+l AS (SELECT conv_id, max(d) AS d FROM m GROUP BY conv_id),
+e AS (SELECT m.key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM m JOIN l USING (conv_id, d) GROUP BY m.key)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN below ON below.key = n.key LEFT JOIN ch ON ch.key = n.key LEFT JOIN e ON e.key = n.key LEFT JOIN n u ON u.key = n.up""")
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), shared=True)
