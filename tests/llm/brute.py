@@ -113,3 +113,13 @@ def trie(convs):
         out.append((min(ids), len(node), min(members[node[:-1]]) if node else None, len(ids), sum(1 for k in below if len(k) == len(node) + 1), sum(1 for k in below if k not in parents),
                     sum((len(members[k]) - 1) * len(k[-1][1].encode()) for k in below if k), hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()))
     return out
+
+
+def whitened(vectors, top=16):
+    """vectors: list of integer lists -> (n, S, values, components as columns) of the covariance of the distinct ones."""
+    import numpy as np
+    fit = np.array(sorted(set(map(tuple, vectors))), dtype=np.int64)
+    sums = fit.sum(0)
+    off = (fit - fit[0]) - (sums - len(fit) * fit[0]) / len(fit)
+    values, axes = np.linalg.eigh(off.T @ off / len(fit))
+    return len(fit), sums, values[::-1][:top], axes[:, ::-1][:, :top], values.sum()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidebar.llm import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, prefix_trie, quality_mil, quality_rules, simhash, token_ids, toxicity
+from tidebar.llm import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, prefix_trie, quality_mil, quality_rules, simhash, token_ids, toxicity, whitening
 from tidebar.llm.labelled import fold
 from tidebar.llm.text import table
 from tidebar.sources.scratch import scratch_path
@@ -162,6 +162,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+@register("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector on the first 16 components."""
+    return whitening.whiten_embeddings(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 #: CRC-32 of the decimal digits of conv_id: reflected polynomial, bit by bit.
 _CRC_SQL = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda crc, b:
     list_reduce(list_prepend(xor(crc, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
