@@ -156,3 +156,49 @@ def rebuild_rule(marked: DataFrame, frozen: DataFrame, event_key: list[str], lib
     need = frozen.groupBy("rule_id").agg(F.count(F.lit(1)).alias("_need"))
     return (marked.join(frozen, "predicate").groupBy("rule_id", *event_key).agg(F.count(F.lit(1)).alias("_got"))
             .join(need, "rule_id").filter("_got = _need").select("rule_id", *event_key))
+
+
+# ---- pairs of predicates on bitmaps ------------------------------------------------
+
+def predicate_bitmaps(ctx: DataFrame, preds: list[tuple[str, str]], by: list[str]) -> DataFrame:
+    """Which events each predicate selects, as bits: ``(*by, session, side, word, masks array<bigint>)``.
+
+    A bit's address is its slot, so events need no numbering: a row has 64 slots of one session and side, an entry of ``masks`` is one predicate in the order
+    of ``preds``. One hash aggregate makes all of them; no (event, predicate) row is built. ``by`` must contain the symbol."""
+    bit = F.expr("shiftleft(1L, slot % 64)")
+    g = ctx.groupBy(*by, "session", "side", F.expr("int(slot div 64)").alias("word")).agg(
+        *[F.bit_or(F.when(F.expr(cond), bit).otherwise(F.lit(0).cast("long"))).alias(f"_m{i}") for i, (_, cond) in enumerate(preds)])
+    return g.select(*by, "session", "side", "word", F.array(*[f"_m{i}" for i in range(len(preds))]).alias("masks"))
+
+
+def _anded(words: DataFrame, rules: DataFrame, by: list[str]) -> DataFrame:
+    """Bits of each rule ``(*by, rules array<struct<a, b>>)``: those of predicates ``a`` and ``b``, words without a bit left out."""
+    both = lambda r: F.get("masks", r["a"]).bitwiseAND(F.get("masks", r["b"]))
+    hit = F.filter(F.transform("rules", lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b"), both(r).alias("bits"))), lambda x: x["bits"] != 0)
+    return words.join(rules, by).select(*by, "session", "side", "word", F.inline(hit))
+
+
+def pair_candidates(words: DataFrame, top: DataFrame, by: list[str], min_support: int = 1) -> DataFrame:
+    """Pairs worth a label, ``(*by, a, b, support)`` with predicate numbers a and b.
+
+    ``top (*by, predicate, rank)`` has the short list of each group. Pairs of it grow by AND of the bits and are counted by ``bit_count``, with map-side combine. Those of fewer
+    than ``min_support`` events are dropped, and those that select the same events as a predicate of the list or an earlier pair. Sets are
+    told apart by their size and two 64-bit hash sums over their words."""
+    lists = top.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "predicate"))), lambda x: x["predicate"]).alias("p"))
+    grown = F.flatten(F.transform("p", lambda a, i: F.transform(F.slice("p", i + 1, F.size("p")), lambda b, j: F.struct(a.alias("a"), b.alias("b")))))
+    rules = lists.select(*by, grown.alias("rules"))  # a list's own predicates are the pairs of each with itself
+    h = F.xxhash64("session", "side", "word", "bits")
+    g = _anded(words, rules, by).groupBy(*by, "a", "b").agg(
+        F.sum(F.bit_count("bits")).cast("long").alias("support"), F.bit_xor(h).alias("_x"), F.sum(F.xxhash64(F.lit(1), "session", "side", "word", "bits").cast("decimal(38,0)")).alias("_s"))
+    rank = lambda n: top.select(*by, F.col("predicate").alias(n), F.col("rank").alias(f"_r{n}"))
+    g = g.join(rank("a"), [*by, "a"]).join(rank("b"), [*by, "b"])
+    first = W.partitionBy(*by, "support", "_x", "_s").orderBy((F.col("a") != F.col("b")).cast("int"), "_ra", "_rb")
+    return g.withColumn("_k", F.row_number().over(first)).filter((F.col("_k") == 1) & (F.col("a") != F.col("b")) & (F.col("support") >= min_support)).select(*by, "a", "b", "support")
+
+
+def pair_events(words: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """``(*by, session, slot, side, a, b)``: the events of the pairs that are left."""
+    rules = pairs.groupBy(*by).agg(F.collect_list(F.struct("a", "b")).alias("rules"))
+    slots = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)
+    x = _anded(words, rules, by).select(*by, "session", "side", "word", "a", "b", F.explode(slots).alias("_i"))
+    return x.select(*by, "session", (F.col("word") * 64 + F.col("_i")).alias("slot"), "side", "a", "b")

@@ -1,6 +1,8 @@
 """Queries for joins, sets, rules, grids, search, audits and portfolios."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidebar.functions.quantiles import exact_quantiles
@@ -253,11 +255,16 @@ DISC = {**MARK, **flows.barrier_sql("eve", 27), **{k: v for k, v in flows.events
         **qs.split_sql(), "dsc": qs.SCORE["sco"].replace("trades_train >= 3 AND trades_validate >= 3", "trades_train >= 2 AND trades_validate >= 2").replace("/ 3.0", "/ 2.0")}
 
 
-def discovered(x):
-    """Select, unit-size statistics, score, capped ranking of labelled events by config_id, which begins with the signal."""
+def scored(x):
+    """Select, unit-size statistics and score of labelled events by config_id."""
     t = out.select_non_overlapping(x, ["config_id", *K], *flows.WINDOW, max_n=3)
     t = out.net_pnl(t.withColumns({"instrument": F.lit("small"), "qty": F.lit(1)})).withColumns({"year": F.year("session"), "executed": F.lit(True)})
-    s = st.selection_score(st.wide_stats(t, TRAIN, VALIDATE, TEST), 2).filter("score IS NOT NULL").withColumn("signal", F.element_at(F.split("config_id", r"\|"), 1))
+    return st.selection_score(st.wide_stats(t, TRAIN, VALIDATE, TEST), 2)
+
+
+def discovered(x):
+    """Capped ranking of labelled events by config_id, which begins with the signal."""
+    s = scored(x).filter("score IS NOT NULL").withColumn("signal", F.element_at(F.split("config_id", r"\|"), 1))
     return st.ranked_with_group_cap(s, ["signal"], [F.desc("score"), F.desc("net"), "config_id", "symbol"], 8, 12).select("config_id", "symbol", "trades", "net", "score")
 
 
@@ -280,6 +287,59 @@ def rule_discover_all(spark, sf):
     return discovered(x)
 
 
+#: Best singles of a (signal, setting, symbol) that may form pairs, and the sizes of the final ranking.
+TOP_SINGLES, PER_SIGNAL, RULES_KEPT = 6, 20, 40
+_BY = "symbol, signal_id, exec_id"
+
+
+def again(ctes: dict[str, str], source: dict[str, str]) -> dict[str, str]:
+    """The expressions once more, under names that end in 2, over other sources."""
+    names = {**{k: f"{k}2" for k in ctes}, **source}
+    word = re.compile(r"\b(" + "|".join(names) + r")\b(?!\()")
+    return {f"{k}2": word.sub(lambda m: names[m[1]], v) for k, v in ctes.items()}
+
+
+_CHAIN = {**flows.select_sql("dso", 3), "ex": DISC["ex"], **qs.split_sql(), "dsc": DISC["dsc"]}
+PAIRS = {**DISC_ALL,
+         "dsk": f"""SELECT *, row_number() OVER (PARTITION BY {_BY} ORDER BY rank DESC, ord) AS k FROM (SELECT symbol, CAST(split_part(config_id, '|', 1) AS BIGINT) AS signal_id, CAST(split_part(config_id, '|', 2) AS BIGINT) AS exec_id,
+ split_part(config_id, '|', 3) AS predicate, round(CASE WHEN trades_train >= 2 AND net_train > 0 THEN net_train / greatest(1, abs(mdd_train)) ELSE -1e9 END, 9) AS rank FROM dsc) JOIN (VALUES {', '.join(f"('{n}', {i})" for i, (n, _) in enumerate(PRED))}) o(predicate, ord) USING (predicate)""",
+         "dst": f"SELECT * FROM dsk WHERE k <= {TOP_SINGLES}",
+         "dsp": f"""SELECT {_BY}, a.predicate AS pa, b.predicate AS pb, a.k AS ka, b.k AS kb, list_sort(list((m.session, m.slot, m.side))) AS ids FROM dst a JOIN dst b USING ({_BY}) JOIN mrk m ON m.symbol = a.symbol AND m.signal_id = a.signal_id AND m.predicate = a.predicate
+ JOIN mrk n ON n.symbol = m.symbol AND n.session = m.session AND n.slot = m.slot AND n.side = m.side AND n.signal_id = m.signal_id AND n.predicate = b.predicate WHERE a.k <= b.k GROUP BY ALL""",
+         "dsv": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_BY}, ids ORDER BY CASE WHEN ka = kb THEN 0 ELSE 1 END, ka, kb) AS rn FROM dsp) WHERE rn = 1 AND ka < kb",
+         "dsu": f"SELECT {_BY}, pa, pb, unnest(ids) AS id FROM dsv",
+         "dsq": "SELECT o.* EXCLUDE (config_id), o.signal_id || '|' || o.exec_id || '|' || u.pa || ' & ' || u.pb AS config_id FROM outc o JOIN dsu u ON u.symbol = o.symbol AND u.signal_id = o.signal_id AND u.exec_id = o.exec_id AND u.id = (o.session, o.slot, o.side)",
+         **again(_CHAIN, {"dso": "dsq"}),
+         "dsr": "SELECT *, 1 AS level FROM dsc UNION ALL SELECT *, 2 FROM dsc2"}
+
+
+@register("rule_discover_pairs", with_ctes(M, pick("config_id symbol level:i trades:i net:d score:d", f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split_part(config_id, '|', 1) ORDER BY round(score, 9) DESC, round(net_validate, 9) DESC, trades DESC, config_id, symbol) AS k
+ FROM dsr WHERE score IS NOT NULL) WHERE k <= {PER_SIGNAL} ORDER BY round(score, 9) DESC, round(net_validate, 9) DESC, trades DESC, config_id, symbol LIMIT {RULES_KEPT})"""), PAIRS, recursive=True))
+def rule_discover_pairs(spark, sf):
+    """Discovery to its end: singles are labelled and scored, the best of each by its training years alone form pairs on bitmaps, and only pairs
+    that select some events, and others than the rules before them, are labelled. Singles and pairs are ranked together."""
+    by = ["symbol", "signal_id", "exec_id"]
+    ctx = materialize(context(spark, sf), "context")
+    o = materialize(flows.outcomes(spark, sf, M).drop("config_id"), "outcomes")
+    rule = lambda *name: F.concat_ws("|", F.col("signal_id").cast("string"), F.col("exec_id").cast("string"), *name)
+    one = materialize(scored(o.join(rl.predicate_library(ctx, PRED).select(*K, "slot", "side", "signal_id", "predicate"), [*K, "slot", "side", "signal_id"]).withColumn("config_id", rule("predicate"))), "singles")
+    number = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(PRED) for x in (n, i)])
+    part = F.split("config_id", r"\|")
+    fit = (F.col("trades_train") >= 2) & (F.col("net_train") > 0)
+    rank = F.when(fit, F.col("net_train") / F.greatest(F.lit(1.0), F.abs("mdd_train"))).otherwise(-1e9)
+    singles = one.select("symbol", F.get(part, 0).cast("int").alias("signal_id"), F.get(part, 1).cast("int").alias("exec_id"), F.element_at(number, F.get(part, 2)).alias("predicate"), F.round(rank, 9).alias("train_rank"))
+    top = materialize(st.top_n_per(singles, by, [F.desc("train_rank"), "predicate"], TOP_SINGLES).select(*by, "predicate", "rank"), "top")
+    words = materialize(rl.predicate_bitmaps(ctx, PRED, ["symbol", "signal_id"]), "bitmaps")
+    # bits know no execution setting; the short lists do
+    each = words.withColumn("exec_id", F.explode(F.sequence(F.lit(0), F.lit(len(flows.exec_settings(flows.EXEC)) - 1))))
+    left = rl.pair_events(each, rl.pair_candidates(each, top, by), by)
+    names = F.array(*[F.lit(n) for n, _ in PRED])
+    two = scored(o.join(left, [*by, "session", "slot", "side"]).withColumn("config_id", rule(F.concat_ws(" & ", F.get(names, F.col("a")), F.get(names, F.col("b"))))))
+    every = one.withColumn("level", F.lit(1)).unionByName(two.withColumn("level", F.lit(2))).filter("score IS NOT NULL").withColumn("signal", F.element_at(F.split("config_id", r"\|"), 1))
+    order = [F.desc(F.round("score", 9)), F.desc(F.round("net_validate", 9)), F.desc("trades"), "config_id", "symbol"]
+    return st.ranked_with_group_cap(every, ["signal"], order, PER_SIGNAL, RULES_KEPT).select("config_id", "symbol", "level", "trades", "net", "score")
+
+
 # ---- grids and audits ----------------------------------------------------------
 
 AXES = {"lookback": [3, 5, 8], "buffer_atr": [0.0, 0.03], "direction": [-1, 0, 1]}
