@@ -619,9 +619,11 @@ class Study:
     def paths(self):
         return pf.sleeve_path(self.sleeves, views.bars(self.spark, self.sf, M), ["sleeve"], 0.25)
 
+    def daily(self):
+        return self.sleeves.groupBy("sleeve", "session").agg(F.sum(F.col("pnl_pts") * 2 - 1).alias("pnl"))
+
     def options(self):
-        u = self.sleeves.groupBy("sleeve", "session").agg(F.sum(F.col("pnl_pts") * 2 - 1).alias("pnl"))
-        return pf.option_daily(u, OPTS)
+        return pf.option_daily(self.daily(), OPTS)
 
     def seeds(self):
         return pf.seed_portfolios(pf.option_scores(self.options(), TRAIN, VALIDATE), 2)
@@ -633,7 +635,7 @@ class Study:
         return materialize(self.seeds().unionByName(self.samples()), "members")
 
     def screened(self, members):
-        return pf.portfolio_daily_screen(members, self.options(), TRAIN, VALIDATE, 12.0, -20000.0)
+        return pf.portfolio_daily_screen(members, self.daily(), OPTS, TRAIN, VALIDATE, 12.0, -20000.0)
 
     def exact(self, members):
         return pf.portfolio_exact(members, self.paths(), OPTS)
@@ -746,3 +748,63 @@ def portfolio_sum_paths(spark, sf):
     "md2": "SELECT *, greatest(0, max(eq) OVER w) AS pk, greatest(0, max(eq) OVER v) AS pb FROM md1 WINDOW w AS (PARTITION BY sleeve ORDER BY session, slot), v AS (PARTITION BY sleeve ORDER BY session, slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"}))
 def portfolio_minute_drawdown(spark, sf):
     return pf.minute_drawdown(Study(spark, sf).paths(), ["sleeve"])
+
+
+# ---- portfolios of every setting under whole sizing plans -----------------------
+
+RISKS = [250.0, 400.0]
+PLAN = pf.sizing_plan([1, 2, 5], [1], RISKS)
+_SIZED = " UNION ALL ".join(["SELECT *, 'small' AS leg, 'small' AS instrument, 1 AS qty FROM wsl", "SELECT *, 'large', 'large', 1 FROM wsl",
+                             *["SELECT *, 'risk {:g}', {}, {} FROM wsl".format(b, *flows.size_sql(str(b))) for b in RISKS]])
+_OPT = "option_id, scale"
+WHOLE = {**flows.trades_sql(), "wsl": "SELECT *, config_id || '|' || symbol AS sleeve FROM sel", "wsz": f"SELECT * FROM ({_SIZED}) WHERE qty > 0", "wmo": flows.money_sql("wsz"),
+         "spt": """SELECT t.sleeve || '/' || t.leg AS leg, t.session, b.slot, sum(CASE WHEN b.slot = t.exit_slot THEN t.pnl ELSE 0 END) AS delta,
+ sum(t.qty * (least(0, CASE WHEN side > 0 THEN b.low - 0.25 - entry_px ELSE entry_px - b.high - 0.25 END) * CASE WHEN instrument = 'large' THEN 20 ELSE 2 END - CASE WHEN instrument = 'large' THEN 3.5 ELSE 1 END)) AS adverse, sum(t.exposure) AS exposure
+ FROM wmo t JOIN bars b ON b.symbol = t.symbol AND b.session = t.session AND b.slot BETWEEN entry_slot AND exit_slot GROUP BY 1, 2, 3""",
+         "op": "SELECT * FROM (VALUES " + ", ".join(f"({o.option_id}, '{o.label}', '{o.leg}', {o.scale})" for o in PLAN if o.scale) + ") o(option_id, label, leg, scale)",
+         "od": "SELECT sleeve, session, option_id, scale, sum(pnl) * scale AS pnl FROM wmo JOIN op USING (leg) GROUP BY sleeve, session, option_id, scale",
+         **{k: OSC[k] for k in ("os1", "os2")}, "osc": OSC["osc"].replace("AS nt,", f"AS nt, sum(pnl) FILTER (y IN {in_(VALIDATE)}) AS nv,"),
+         "bst": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sleeve ORDER BY score DESC, option_id) AS rn FROM osc WHERE net > 0 AND nt > 0 AND nv > 0) WHERE rn <= 1", "sed": OSC["sed"],
+         **{k: v.replace("FROM slv", "FROM wsl") for k, v in SMP.items()}, "mem": "SELECT * FROM sed UNION ALL SELECT * FROM smp",
+         "ea0": "SELECT m.portfolio_id, m.sleeve, p.session, p.slot, p.delta * o.scale AS delta, p.adverse * o.scale AS adverse, p.exposure * o.scale AS exposure FROM mem m JOIN op o USING (option_id) JOIN spt p ON p.leg = m.sleeve || '/' || o.leg",
+         **{k: v for k, v in EXA.items() if k in ("ea1", "ea2", "ea3", "ea4", "ea5", "ea6", "exa")}}
+
+
+class WholeStudy:
+    """Every setting of every symbol as a sleeve, under fixed small and large quantities and risk budgets."""
+
+    def __init__(self, spark, sf):
+        self.trades = materialize(flows.selected(spark, sf).withColumn("sleeve", F.concat_ws("|", "config_id", "symbol")), "sleeves")
+        self.sized = materialize(pf.sized_trades(self.trades, RISKS), "sized")
+        self.spark, self.sf = spark, sf
+
+    def paths(self):
+        return pf.sized_path(self.sized, views.bars(self.spark, self.sf, M), ["sleeve", "leg"])
+
+    def options(self):
+        return pf.plan_daily(self.sized.groupBy("sleeve", "leg", "session").agg(F.sum("pnl").alias("pnl")), PLAN)
+
+    def members(self):
+        seeds = pf.seed_portfolios(pf.option_scores(self.options(), TRAIN, VALIDATE), 1, positive=True)
+        return materialize(seeds.unionByName(pf.sample_portfolios(self.trades.select("sleeve"), 60, (2, 4), [(o.option_id, o.scale) for o in PLAN])), "members")
+
+
+def wq(cols, body):
+    return with_ctes(M, pick(cols, f"({body})"), WHOLE, recursive=True)
+
+
+@register("portfolio_sizing_plan", wq("sleeve option_id:i label trades:i net:d max_exposure:d", """SELECT t.sleeve, o.option_id, o.label, t.trades, t.net * o.scale AS net, x.e * o.scale AS max_exposure FROM op o JOIN (SELECT sleeve, leg, count(*) AS trades, sum(pnl) AS net FROM wmo GROUP BY 1, 2) t USING (leg)
+ JOIN (SELECT leg, max(exposure) AS e FROM spt GROUP BY 1) x ON x.leg = t.sleeve || '/' || o.leg"""))
+def portfolio_sizing_plan(spark, sf):
+    """Trades, net and largest exposure of every sizing option of every sleeve."""
+    s = WholeStudy(spark, sf)
+    by = ["sleeve", "leg"]
+    t = s.sized.groupBy(*by).agg(F.count(F.lit(1)).alias("trades"), F.sum("pnl").alias("net")).join(s.paths().groupBy(*by).agg(F.max("exposure").alias("e")), by)
+    return t.join(pf.plan_rows(spark, PLAN), "leg").select("sleeve", "option_id", "label", "trades", (F.col("net") * F.col("scale")).alias("net"), (F.col("e") * F.col("scale")).alias("max_exposure"))
+
+
+@register("portfolio_exact_all", wq(XC, "SELECT * FROM exa"))
+def portfolio_exact_all(spark, sf):
+    """Seeds and samples from every sleeve of every setting, evaluated bar by bar."""
+    s = WholeStudy(spark, sf)
+    return pf.exact_of_plan(s.members(), s.paths(), PLAN)
