@@ -7,22 +7,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.core import KEYS
+from tidebar.sources.scratch import materialize
 
 
 def asof_prev(left: DataFrame, left_date: str, series: DataFrame, obs_date: str, value: str, out: str,
               key: tuple = ()) -> DataFrame:
     """Strictly previous observation for every left row, optionally per key.
 
-    Only the distinct (key, date) pairs meet the series, in one ordered window whose partitions
-    hold at most two rows per calendar day; the rows themselves, however skewed, take the answer
-    by an equi-join. Without a key that window is one small partition."""
+    Only the distinct (key, date) pairs meet the series; the rows themselves, however skewed, take the answer by an equi-join. Pairs and
+    observations are dealt out in ranges of (key, date) and written with the number of their range. The last observation of
+    each range is carried to the ranges behind it, one row a range and key, and a window inside each range does the rest, so
+    neither a series without a key nor a key with most of the rows is one task."""
     d = left.select(*key, F.col(left_date).alias("_d")).distinct().select(
         *key, "_d", F.lit(0).alias("_o"), F.lit(None).cast("double").alias("_v"))
     obs = series.filter(F.col(value).isNotNull()).groupBy(*key, F.col(obs_date).alias("_d")).agg(
         F.max(F.col(value).cast("double")).alias("_v")).select(*key, "_d", F.lit(1).alias("_o"), "_v")
-    part = W.partitionBy(*key) if key else W.partitionBy(F.lit(0))
-    w = part.orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, -1)
-    got = d.unionByName(obs).withColumn(out, F.last("_v", ignorenulls=True).over(w)).filter("_o = 0")
+    laid = d.unionByName(obs).repartitionByRange(*key, "_d", "_o").withColumn("_p", F.spark_partition_id())
+    laid = materialize(laid, "ranges")
+    ends = laid.groupBy(*key, "_p").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_d", "_o"))).alias("_last"))
+    behind = W.partitionBy(*key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*key, "_p", F.last("_last", ignorenulls=True).over(behind).alias("_carried"))
+    w = W.partitionBy("_p", *key).orderBy("_d", "_o").rowsBetween(W.unboundedPreceding, -1)
+    near = laid.withColumn("_near", F.last("_v", ignorenulls=True).over(w)).filter("_o = 0")
+    same = reduce(lambda a, c: a & near[c].eqNullSafe(carried[c]), key, near["_p"] == carried["_p"])
+    got = near.join(carried, same).select(*[near[c] for c in key], near["_d"], F.coalesce("_near", "_carried").alias(out))
     return left.join(got.select(*key, F.col("_d").alias(left_date), out), [*key, left_date], "left")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.core import KEYS
 from tidebar.functions.quantiles import exact_quantiles
+from tidebar.sources.scratch import materialize
 
 Condition = tuple[str, str, float]
 
@@ -51,6 +52,7 @@ def edge_map(snap: DataFrame, features: list[str], label: str, bins: int, train:
     enough rows. Thresholds come from the training years alone."""
     cols = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in features])
     long = snap.filter(F.col(label).isNotNull()).select(F.col(label).alias("y"), "year", F.inline(cols)).filter("x IS NOT NULL")
+    long = materialize(long, "long")
     qs = [i / bins for i in range(bins + 1)]
     thr = exact_quantiles(long.filter(F.col("year").isin(*train)), ["feature"], "x", qs)
     cut = thr.groupBy("feature").agg(F.array_sort(F.collect_set("threshold")).alias("_e")).filter(F.size("_e") >= 3)
