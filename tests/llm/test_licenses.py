@@ -32,3 +32,17 @@ def test_plan_has_no_python(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = licenses.find_licenses(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_short_notices_need_every_word(spark):
+    """A plain CC BY 4.0 line has all words of the NC notice but one."""
+    rows = [(1, "Licensed under CC BY 4.0."), (2, "Licensed under CC BY-NC 4.0."), (3, "4 0 by under licensed " + "pad " * 20 + "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.base_labels, r.labels) for r in licenses.find_licenses(docs).collect()}
+    assert got == {1: (["cc-by"], ["cc-by"]), 2: (["cc-by"], ["cc-by", "cc-by-nc"]), 3: ([], [])}
+
+
+def test_no_label_without_its_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = licenses.find_licenses(docs).filter("array_contains(labels, 'cc-by-nc')").join(docs, "doc_id")
+    assert all("nc" in brute.plain_words(r.text) for r in found.collect())

@@ -11,7 +11,8 @@ from tidebar.llm.text import words
 
 # Phrases whose words stand consecutively, and their labels
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices found by the share of their words in a block, with that share.
+#: Notices found by the share of their words in a block, with that share; a notice of up to ``SHORT`` words needs them all.
+SHORT = 10
 NOTICES = (
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", 0.8),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.8),
@@ -42,7 +43,7 @@ def templates(phrases=None, notices=None) -> list[Template]:
         found.append(Template(label, w, len(set(w)), True))
     for label, text, share in NOTICES if notices is None else notices:
         w = tuple(dict.fromkeys(text.split()))
-        found.append(Template(label, w, math.ceil(share * len(w) - 1e-9)))
+        found.append(Template(label, w, len(w) if len(w) <= SHORT else math.ceil(share * len(w) - 1e-9)))
     return found
 
 
