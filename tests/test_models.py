@@ -32,6 +32,27 @@ def test_rolling_ridge(spark):
         assert got[i].unc == pytest.approx(math.sqrt(np.mean(res ** 2) * (now @ inv @ now)), abs=1e-9)
 
 
+def test_ridge_at_high_price_levels(spark):
+    """Prices near 20,000 that move by thousandths: raw moments would lose every digit of the covariance."""
+    rng = np.random.default_rng(8)
+    off = rng.normal(size=(50, 2)) * 1e-3
+    z = off @ [2.0, -1.0] + rng.normal(size=50) * 1e-4
+    d = lambda x, y: spark.createDataFrame([("X", dt.date(2024, 1, 1) + dt.timedelta(days=i), *map(float, x[i]), float(y[i])) for i in range(50)], "symbol string, session date, a double, b double, y double")
+    low = models.rolling_ridge(d(off, z), ["a", "b"], "y", 30, 0.01, 15).orderBy("session").collect()
+    high = models.rolling_ridge(d(off + 20_000, z + 20_000), ["a", "b"], "y", 30, 0.01, 15).orderBy("session").collect()
+    assert sum(r.pred is not None for r in high) == 35
+    for p, q in zip(low, high):
+        if p.pred is not None:
+            assert q.pred - 20_000 == pytest.approx(p.pred, abs=1e-9) and q.unc == pytest.approx(p.unc, rel=1e-5)
+
+
+def test_ridge_without_variance_or_values(spark):
+    rows = [("X", dt.date(2024, 1, 1) + dt.timedelta(days=i), 5.0, None if i == 20 else float(i), 1.0) for i in range(25)]
+    got = models.rolling_ridge(spark.createDataFrame(rows, "symbol string, session date, a double, b double, y double"), ["a", "b"], "y", 10, 0.1, 5).orderBy("session").collect()
+    assert got[3].pred is None and got[20].pred is None and got[24].pred == pytest.approx(1.0)
+    assert models.rolling_ridge(spark.createDataFrame([], "symbol string, session date, a double, y double"), ["a"], "y", 10, 0.1, 5).count() == 0
+
+
 def test_forecast_ignores_the_current_target(spark):
     rows = [("X", dt.date(2024, 1, 1) + dt.timedelta(days=i), math.sin(i), math.cos(i)) for i in range(60)]
     d = spark.createDataFrame(rows, "symbol string, session date, x double, y double")

@@ -5,6 +5,7 @@ Spark aggregates, shuffles and fits; Python sees only small systems in Arrow bat
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,56 +16,48 @@ from tidebar.functions.core import KEYS, by_day, by_session, prior
 
 
 def rolling_ridge(df: DataFrame, xs: list[str], y: str, n: int, lam: float, minimum: int) -> DataFrame:
-    """Ridge on the prior ``n`` rows of the symbol: ``pred``, ``unc`` and slopes ``beta``.
+    """Ridge on the prior ``n`` rows of the symbol: ``pred``, ``unc`` and slopes ``beta``; ``lam`` is positive.
 
-    The frame is reduced to moment sums by window aggregates; an Arrow batch of the small
-    standardised systems is solved at once. Rows with a missing value are not imputed."""
+    Window aggregates keep centred moments, merged without sums of raw products, so nothing cancels at high price levels. An Arrow
+    batch of the small standardised systems is solved at once by Cholesky factors. Rows with a missing value are not
+    imputed and have no forecast."""
     w, k = prior(by_day(), n), len(xs)
-    ok = F.col(y).isNotNull()
-    for x in xs:
-        ok = ok & F.col(x).isNotNull()
-    v = {x: F.when(ok, F.col(x)) for x in [*xs, y]}
     names = [*xs, y]
-    sums = [F.count(v[y]).over(w).cast("double")]
-    sums += [F.coalesce(F.sum(v[a]).over(w), F.lit(0.0)) for a in names]
-    sums += [F.coalesce(F.sum(v[a] * v[b]).over(w), F.lit(0.0)) for i, a in enumerate(names) for b in names[i:]]
-    now = F.array(*[F.col(x).cast("double") for x in xs])
+    ok = reduce(lambda a, c: a & F.col(c).isNotNull(), names, F.lit(True))
+    v = [F.when(ok, F.col(c).cast("double")) for c in names]
     pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    none = F.lit(float("nan"))
+    moments = [F.count(v[k]).over(w).cast("double"), *[F.coalesce(F.avg(c).over(w), none) for c in v], *[F.coalesce(F.covar_pop(v[i], v[j]).over(w), none) for i, j in pairs]]
+    now = F.array(*[F.coalesce(F.col(x).cast("double"), none) for x in xs])
 
     @F.pandas_udf("pred double, unc double, beta array<double>")
     def solve(m: pd.Series, x: pd.Series) -> pd.DataFrame:
         out = pd.DataFrame({"pred": np.nan, "unc": np.nan, "beta": [None] * len(m)}, index=m.index, dtype=object)
-        if not len(m):
-            return out
-        a = np.stack(m.to_numpy()).astype(float)
-        z = np.array([[np.nan if q is None else q for q in r] for r in x], dtype=float)
-        cnt = a[:, 0]
-        good = np.flatnonzero((cnt >= minimum) & np.isfinite(z).all(axis=1))
+        a = np.array(m.tolist(), float).reshape(len(m), -1)
+        z = np.array(x.tolist(), float).reshape(len(m), -1)
+        good = np.flatnonzero((a[:, 0] >= minimum) & np.isfinite(z).all(1)) if len(m) else []
         if not len(good):
             return out
-        a, z, cnt = a[good], z[good], cnt[good][:, None]
-        mean = a[:, 1:k + 2] / cnt
-        cov = np.zeros((len(good), k + 1, k + 1))
+        a, z = a[good], z[good]
+        cnt, mean, cov = a[:, 0], a[:, 1:k + 2], np.zeros((len(good), k + 1, k + 1))
         for c, (i, j) in enumerate(pairs):
-            cov[:, i, j] = cov[:, j, i] = a[:, k + 2 + c] / cnt[:, 0] - mean[:, i] * mean[:, j]
-        sd = np.sqrt(np.maximum(cov[:, range(k), range(k)], 0))
+            cov[:, i, j] = cov[:, j, i] = a[:, k + 2 + c]
+        sd = np.sqrt(cov[:, range(k), range(k)])
         sd = np.where(sd > 1e-10, sd, 1.0)
         corr = cov[:, :k, :k] / sd[:, :, None] / sd[:, None, :]
-        rhs = cov[:, :k, k] / sd
-        inv = np.linalg.pinv(corr + lam * np.eye(k))
-        beta = np.einsum("nij,nj->ni", inv, rhs)
-        now_z = (z - mean[:, :k]) / sd
-        pred = mean[:, k] + (beta * now_z).sum(axis=1)
-        mse = cov[:, k, k] - 2 * (beta * rhs).sum(axis=1) + np.einsum("ni,nij,nj->n", beta, corr, beta)
-        lever = (1 + np.einsum("ni,nij,nj->n", now_z, inv, now_z)) / cnt[:, 0]
-        unc = np.sqrt(np.maximum(0, mse * lever))
-        out.loc[good, "pred"], out.loc[good, "unc"] = pred, unc
+        rhs, now_z = cov[:, :k, k] / sd, (z - mean[:, :k]) / sd
+        low = np.linalg.cholesky(corr + lam * np.eye(k))
+        half = np.linalg.solve(low, np.stack([rhs, now_z], 2))  # both right-hand sides go along
+        beta = np.linalg.solve(low.transpose(0, 2, 1), half[:, :, :1])[:, :, 0]
+        mse = cov[:, k, k] - 2 * (beta * rhs).sum(1) + np.einsum("ni,nij,nj->n", beta, corr, beta)
+        lever = (1 + (half[:, :, 1] ** 2).sum(1)) / cnt
+        out.loc[good, "pred"], out.loc[good, "unc"] = mean[:, k] + (beta * now_z).sum(1), np.sqrt(np.maximum(0, mse * lever))
         out.loc[good, "beta"] = pd.Series(list(beta / sd), index=good)
         return out
 
-    x = df.withColumn("_m", F.array(*sums)).withColumn("_r", solve("_m", now))
+    x = df.withColumn("_r", solve(F.array(*moments), now))
     nan = lambda c: F.when(~F.isnan(c), c)
-    return x.withColumns({"pred": nan(F.col("_r.pred")), "unc": nan(F.col("_r.unc")), "beta": F.col("_r.beta")}).drop("_m", "_r")
+    return x.withColumns({"pred": nan(F.col("_r.pred")), "unc": nan(F.col("_r.unc")), "beta": F.col("_r.beta")}).drop("_r")
 
 
 def run_length_posterior(df: DataFrame, hazard: float, recent: int) -> DataFrame:

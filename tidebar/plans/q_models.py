@@ -9,6 +9,7 @@ from tidebar.operators import features as feats
 from tidebar.operators import folds, models
 from tidebar.operators import rules as rl
 from tidebar.plans import flows, views
+from tidebar.plans.oracle import pick, with_ctes
 from tidebar.plans.q_detect import hourly
 from tidebar.plans.q_ingest import K
 from tidebar.plans.q_windows import H, M, snapshots
@@ -54,19 +55,57 @@ def ridge_frame(spark, sf):
 RIDGE_X = ["prev_ret", "gap", "vol", "monday", "sign_x", "prod_x"]
 
 
-@register("win_rolling_ridge")
+def ridge_sql(source: str, xs: list[str], y: str, n: int, lam: float, minimum: int) -> dict[str, str]:
+    """Twin of ``rolling_ridge`` by Gauss-Jordan elimination: ``rg`` is ``source`` with pred, unc and b0, b1, ... (slopes)."""
+    k = len(xs)
+    ok = " AND ".join(f"{c} IS NOT NULL" for c in [*xs, y])
+    names = [f"CASE WHEN {ok} THEN {c} END" for c in [*xs, y]]
+    at = lambda i, j: f"c{max(i, j)}_{min(i, j)}"
+    total = lambda f: " + ".join(f(i) for i in range(k))
+    mom = [f"count({names[k]}) OVER w AS n", *[f"avg({v}) OVER w AS m{i}" for i, v in enumerate(names)], *[f"covar_pop({names[i]}, {names[j]}) OVER w AS c{i}_{j}" for i in range(k + 1) for j in range(i + 1)]]
+    out = {"rg0": f"SELECT *, {', '.join(mom)} FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)",
+           "rg1": f"SELECT *, {', '.join(f'CASE WHEN sqrt({at(i, i)}) > 1e-10 THEN sqrt({at(i, i)}) ELSE 1 END AS s{i}' for i in range(k))} FROM rg0 WHERE n >= {minimum}"}
+    # columns of the system: the matrix with lam on its diagonal, the moments with y, the standardised values
+    cells = [f"{at(i, j)} / s{i} / s{j} + {lam if i == j else 0} AS e0_{i}_{j}" for i in range(k) for j in range(k)]
+    cells += [f"c{k}_{i} / s{i} AS e0_{i}_{k}" for i in range(k)] + [f"({x} - m{i}) / s{i} AS e0_{i}_{k + 1}" for i, x in enumerate(xs)]
+    out["rge0"] = f"SELECT *, {', '.join(cells)} FROM rg1"
+    for p in range(k):
+        made = [f"e{p}_{p}_{m} / e{p}_{p}_{p} AS e{p + 1}_{p}_{m}" if i == p else f"e{p}_{i}_{m} - e{p}_{i}_{p} / e{p}_{p}_{p} * e{p}_{p}_{m} AS e{p + 1}_{i}_{m}" for i in range(k) for m in range(k + 2)]
+        out[f"rge{p + 1}"] = f"SELECT *, {', '.join(made)} FROM rge{p}"
+    b, z = lambda i: f"e{k}_{i}_{k}", lambda i: f"e{k}_{i}_{k + 1}"
+    fitted = " + ".join(f"{b(i)} * {b(j)} * {at(i, j)} / s{i} / s{j}" for i in range(k) for j in range(k))
+    out["rg"] = f"""SELECT *, m{k} + {total(lambda i: f'{b(i)} * e0_{i}_{k + 1}')} AS pred, sqrt(greatest(0, (c{k}_{k} - 2 * ({total(lambda i: f'{b(i)} * e0_{i}_{k}')}) + {fitted}) * (1 + {total(lambda i: f'e0_{i}_{k + 1} * {z(i)}')}) / n)) AS unc,
+ {', '.join(f'{b(i)} / s{i} AS b{i}' for i in range(k))} FROM rge{k}"""
+    return out
+
+
+SIGN = lambda c: f"(CASE WHEN {c} > 0 THEN 1 WHEN {c} < 0 THEN -1 WHEN {c} = 0 THEN 0 END)"
+RIDGE = {"rfr": f"""SELECT *, CASE WHEN dayofweek(session) = 1 THEN 1.0 ELSE 0.0 END AS monday, CAST({SIGN('prev_ret')} * {SIGN('gap')} AS DOUBLE) AS sign_x, prev_ret * gap AS prod_x, b / nullif(a, 0) - 1 AS y
+ FROM (SELECT symbol, session, min(prev_ret) AS prev_ret, min(gap) AS gap, min(vol) AS vol, min(day_open) AS day_open, max(open) FILTER (slot = 1) AS a, max(open) FILTER (slot = 20) AS b FROM feat GROUP BY 1, 2)""",
+         **ridge_sql("rfr", RIDGE_X, "y", 60, 0.1, 12)}
+
+
+@register("win_rolling_ridge", with_ctes(M, pick("symbol session pred:d unc:d", "rfr LEFT JOIN (SELECT symbol, session, pred, CASE WHEN pred IS NOT NULL THEN unc END AS unc FROM rg) USING (symbol, session)"), RIDGE))
 def win_rolling_ridge(spark, sf):
     return models.rolling_ridge(ridge_frame(spark, sf), RIDGE_X, "y", 60, 0.1, 12).select(*K, "pred", "unc")
 
 
-@register("detect_conditional_forecast")
+@register("detect_conditional_forecast", with_ctes(M, pick("symbol session side:i pred:d", f"(SELECT symbol, session, CASE WHEN abs(pred) > 0.01 / day_open + 0.25 * unc THEN {SIGN('pred')} ELSE 0 END AS side, pred FROM rg WHERE pred IS NOT NULL)"), RIDGE))
 def detect_conditional_forecast(spark, sf):
     x = models.rolling_ridge(ridge_frame(spark, sf), RIDGE_X, "y", 60, 0.1, 12).filter("pred IS NOT NULL")
     go = F.abs("pred") > 0.01 / F.col("day_open") + 0.25 * F.col("unc")
     return x.select(*K, F.when(go, sgn(F.col("pred"))).otherwise(0).alias("side"), "pred")
 
 
-@register("detect_return_volume_forecast")
+VOLUME = {"rvf": """SELECT *, x1 * (v - avg(v) OVER w) / nullif(stddev_samp(v) OVER w, 0) AS x2 FROM (SELECT *, (oc - oo) / nullif(atr, 0) AS x1, (e - oc) / nullif(atr, 0) AS y
+ FROM (SELECT symbol, session, min(atr) AS atr, min(or_volume) AS v, min(or_close) AS oc, min(or_open) AS oo, max(open) FILTER (slot = 15) AS e FROM feat GROUP BY 1, 2))
+ WINDOW w AS (PARTITION BY symbol ORDER BY session ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""", **ridge_sql("rvf", ["x1", "x2"], "y", 60, 0.001, 12),
+          "itc": "SELECT * FROM (SELECT *, sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, session ORDER BY slot) AS gn FROM feat WHERE slot < 14) WHERE gn = 0",
+          "rvg": "SELECT f.*, r.oc + r.pred * r.atr AS goal, r.b1 * r.x2 AS part FROM itc f JOIN (SELECT symbol, session, oc, pred, atr, b1, x2 FROM rg WHERE pred IS NOT NULL) r USING (symbol, session)"}
+
+
+@register("detect_return_volume_forecast", with_ctes(M, pick("symbol session side:i slot:i", """(SELECT symbol, session, CASE WHEN close > or_high THEN 1 ELSE -1 END AS side, min(slot) AS slot FROM rvg
+ WHERE slot >= 3 AND slot < 24 AND atr > 0 AND is_normal AND abs(part) >= 0.005 AND ((close > or_high AND goal - close > 1) OR (close < or_low AND close - goal > 1)) GROUP BY 1, 2, 3)"""), VOLUME))
 def detect_return_volume_forecast(spark, sf):
     """Opening move and its product with abnormal opening volume forecast the remaining move."""
     f = views.feat(spark, sf, M)
