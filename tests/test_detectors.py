@@ -131,6 +131,41 @@ def test_inverse_gap(walk):
     assert got == brute(walk, 3, rule, False) and got
 
 
+@pytest.mark.parametrize("formation, body", [("opening", None), ("post", None), ("post", (1.0, 0.4)), ("opening", (0.5, 0.3))])
+def test_inverse_gap_switches(walk, formation, body):
+    """Gaps of the opening range or of the rest, and closing bars with a displacement."""
+    def rule(bars):
+        out, zones = [], []
+        for b in bars:
+            if b.c is None:
+                zones = []
+                continue
+            zones = [z for z in zones if b.slot - z["g"] <= 15]
+            hit = [z for z in zones if b.c > z["hi"]]
+            strong = body is None or (b.mb and b.c - b.o >= body[0] * b.mb and b.c > b.o and b.c - b.o >= body[1] * (b.h - b.l) and b.h - b.c <= 0.2 * (b.h - b.l))
+            if hit and b.slot >= 6 and b.dn < b.c < b.up and strong:
+                out.append((b.slot, min(hit[-1]["low"], b.l)))
+            zones = [z for z in zones if not b.c > z["hi"]]
+            for z in zones:
+                z["low"] = min(z["low"], b.l)
+            if b.bl is not None and b.l2 - b.h >= 0.25 and (b.slot < 6) == (formation == "opening"):
+                zones.append({"g": b.slot, "lo": b.h, "hi": b.l2, "low": b.bl})
+        return out
+    seq = folds.inverse_gap(1, 15, 6, formation, body)
+    rows = folds.mirror(walk, 6, 3, 0, 4)
+    got = sorted((r.session, r.side, r.slot, round(r.stop_ref * r.side, 6)) for r in folds.run_sequence(rows, seq, False, 36).collect())
+    bars = {}
+    for r in rows.orderBy("session", "side", "slot").collect():
+        bars.setdefault((r.session, r.side), []).append(r)
+    want = sorted((s, side, t, round(p, 6)) for (s, side), bs in bars.items() for t, p in rule([b for b in bs if b.slot < 36]))
+    assert got == want and got
+
+
+def test_unknown_formation_is_refused():
+    with pytest.raises(ValueError):
+        folds.inverse_gap(1, 15, 6, "overnight")
+
+
 def test_ageing_levels(walk):
     window, bounces, max_age, hold, width = 3, 1, 20, 2, 0.05
     got = sorted((r.session, r.slot, r.side, round(r.target_ref, 6)) for r in folds.ageing_levels(walk, window, bounces, max_age, hold, width, 38).collect())

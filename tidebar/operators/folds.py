@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.core import KEYS, at_least, by_session, prior, trailing, upto
+from tidebar.functions.core import KEYS, at_least, by_session, prior, quantile, trailing, upto
 from tidebar.operators.detect import cancel_opposite
 
 MIRROR = [*KEYS, "side"]
-ROW = ("slot", "o", "h", "l", "c", "pc", "up", "dn", "wid", "mid", "vw", "atr", "hk", "bh", "bl", "h2", "l2")
+ROW = ("slot", "o", "h", "l", "c", "pc", "up", "dn", "wid", "mid", "vw", "atr", "hk", "bh", "bl", "h2", "l2", "mb")
 INSIDE = "(r.c > r.dn AND r.c < r.up)"
 
 
@@ -29,10 +29,10 @@ class Sequence:
     once: bool = True
 
 
-def mirror(df: DataFrame, length: int, k: int) -> DataFrame:
-    """Both sides of every bar in long coordinates, with the opening range of the session.
+def mirror(df: DataFrame, length: int, k: int, start: int | None = None, bodies: int | None = None) -> DataFrame:
+    """Both sides of every bar in long coordinates, with the opening range of the session; bars from ``start``, else from the range's end.
 
-    ``hk``: highest high of the prior ``k`` bars; ``bh``/``bl``: extremes of the last ``k`` bars."""
+    ``hk``: highest high of the prior ``k`` bars; ``bh``/``bl``: extremes of the last ``k`` bars; ``mb``: median body of the prior ``bodies`` bars, if wanted."""
     w = by_session()
     ranged = df.filter((F.col("atr") > 0) & F.col("is_normal") & F.col("or_high").isNotNull())
     gone = F.sum(F.when(F.col("close").isNull(), 1).otherwise(0)).over(upto(w))
@@ -43,16 +43,18 @@ def mirror(df: DataFrame, length: int, k: int) -> DataFrame:
         "_bh": at_least(F.max("high"), F.col("high"), trailing(w, k), k),
         "_bl": at_least(F.min("low"), F.col("low"), trailing(w, k), k),
         "_h2": F.lag("high", 2).over(w), "_l2": F.lag("low", 2).over(w)})
+    body = F.abs(F.col("close") - F.col("open"))
+    x = x.withColumn("mb", at_least(quantile(body, 0.5), body, prior(w, bodies), bodies) if bodies else F.lit(None).cast("double"))
     x = x.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
     long = F.col("side") == 1
     flip = lambda a, b: F.when(long, F.col(a)).otherwise(-F.col(b))
-    return x.filter(F.col("slot") >= length).select(
+    return x.filter(F.col("slot") >= (length if start is None else start)).select(
         *MIRROR, "slot", "gone", flip("open", "open").alias("o"), flip("high", "low").alias("h"),
         flip("low", "high").alias("l"), flip("close", "close").alias("c"), flip("p_close", "p_close").alias("pc"),
         flip("or_high", "or_low").alias("up"), flip("or_low", "or_high").alias("dn"),
         F.col("or_width").alias("wid"), flip("or_mid", "or_mid").alias("mid"), flip("vwap", "vwap").alias("vw"),
         "atr", flip("_hk", "_lk").alias("hk"), flip("_bh", "_bl").alias("bh"), flip("_bl", "_bh").alias("bl"),
-        flip("_h2", "_l2").alias("h2"), flip("_l2", "_h2").alias("l2"))
+        flip("_h2", "_l2").alias("h2"), flip("_l2", "_h2").alias("l2"), "mb")
 
 
 def run_sequence(rows: DataFrame, seq: Sequence, whole_bars: bool, cutoff: int) -> DataFrame:
@@ -299,28 +301,56 @@ def gap_retest(ticks: int, expiry: int) -> Sequence:
                     f"{touch} AND {INSIDE}", f"least({last}.low, r.l)", once=False)
 
 
-def inverse_gap(ticks: int, age: int) -> Sequence:
-    """An opposing three-bar gap that a later bar closes through, inside the range."""
+@dataclass(frozen=True)
+class Break:
+    """How an opposing gap forms and is closed through: gap size and age, whether it forms during the opening range (``opening``) or after it
+    (``post``), and the body a closing bar needs as a multiple of ``mb`` and as a share of its range (none: any bar)."""
+    ticks: int
+    age: int
+    length: int
+    formation: str = "post"
+    body: tuple[float, float] | None = None
+
+    def __post_init__(self):
+        if self.formation not in ("opening", "post"):
+            raise ValueError(f"no formation is called {self.formation!r}")
+
+    @property
+    def start(self) -> int:
+        """First bar the detector has to see."""
+        return 0 if self.formation == "opening" else self.length
+
+    def formed(self) -> str:
+        return f"(r.bl IS NOT NULL AND r.l2 - r.h >= {self.ticks * 0.25} AND r.slot {'<' if self.formation == 'opening' else '>='} {self.length})"
+
+    def ok(self) -> str:
+        """An entry's bar: behind the opening range, closed inside it, with a displacement if one is asked for."""
+        strong = "" if self.body is None else (f" AND r.mb > 0 AND r.c > r.o AND r.c - r.o >= {self.body[0]} * r.mb AND r.c - r.o >= {self.body[1]} * (r.h - r.l) AND r.h - r.c <= 0.2 * (r.h - r.l)")
+        return f"(r.slot >= {self.length} AND {INSIDE}{strong})"
+
+
+def inverse_gap(ticks: int, age: int, length: int = 0, formation: str = "post", body: tuple[float, float] | None = None) -> Sequence:
+    """An opposing three-bar gap that a later bar closes through, inside the range; see ``Break``."""
+    how = Break(ticks, age, length, formation, body)
     broken = f"filter(s.z, z -> r.slot - z.g <= {age} AND r.c > z.hi)"
     live = f"filter(s.z, z -> r.slot - z.g <= {age} AND NOT r.c > z.hi)"
-    formed = f"(r.bl IS NOT NULL AND r.l2 - r.h >= {ticks * 0.25})"
-    return Sequence({"z": (ZONES, "array()", _zone_state(live, "r.h", "r.l2", formed))},
-                    f"size({broken}) > 0 AND {INSIDE}", f"least(try_element_at({broken}, -1).low, r.l)", once=False)
+    return Sequence({"z": (ZONES, "array()", _zone_state(live, "r.h", "r.l2", how.formed()))},
+                    f"size({broken}) > 0 AND {how.ok()}", f"least(try_element_at({broken}, -1).low, r.l)", once=False)
 
 
-def inverse_gap_retest(ticks: int, age: int, expiry: int) -> Sequence:
+def inverse_gap_retest(ticks: int, age: int, expiry: int, length: int = 0, formation: str = "post", body: tuple[float, float] | None = None) -> Sequence:
     """As ``inverse_gap``, entered on a later return into the gap that closes above it."""
+    how = Break(ticks, age, length, formation, body)
     broken = f"filter(s.z, z -> r.slot - z.g <= {age} AND r.c > z.hi)"
     live = f"filter(s.z, z -> r.slot - z.g <= {age} AND NOT r.c > z.hi)"
-    formed = f"(r.bl IS NOT NULL AND r.l2 - r.h >= {ticks * 0.25})"
     ended = f"(r.slot - s.inv > {expiry} OR r.c < s.sel.lo OR r.h >= r.up)"
     back = f"(s.sel IS NOT NULL AND NOT {ended} AND r.slot > s.inv AND r.l <= s.sel.hi AND r.h >= s.sel.lo AND r.c > s.sel.hi)"
     keep = f"(s.sel IS NOT NULL AND NOT {ended} AND NOT {back})"
-    pick = f"(NOT {keep} AND NOT ({back} AND {INSIDE}) AND size({broken}) > 0 AND {INSIDE})"
+    pick = f"(NOT {keep} AND NOT ({back} AND {INSIDE}) AND size({broken}) > 0 AND {how.ok()})"
     zone = "struct<g: int, lo: double, hi: double, low: double>"
     low = lambda z: f"named_struct('g', {z}.g, 'lo', {z}.lo, 'hi', {z}.hi, 'low', least({z}.low, r.l))"
     return Sequence({
-        "z": (ZONES, "array()", _zone_state(live, "r.h", "r.l2", formed)),
+        "z": (ZONES, "array()", _zone_state(live, "r.h", "r.l2", how.formed())),
         "sel": (zone, "NULL", f"CASE WHEN r.c IS NULL THEN NULL WHEN coalesce({pick}, false) THEN {low(f'try_element_at({broken}, -1)')} "
                               f"WHEN coalesce({keep}, false) THEN {low('s.sel')} END"),
         "inv": ("int", "-1", f"CASE WHEN coalesce({pick}, false) THEN r.slot ELSE s.inv END"),

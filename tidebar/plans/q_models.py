@@ -10,7 +10,7 @@ from tidebar.operators import folds, models
 from tidebar.operators import rules as rl
 from tidebar.plans import flows, views
 from tidebar.plans.oracle import pick, with_ctes
-from tidebar.plans.q_detect import hourly
+from tidebar.plans.q_detect import EV, hourly, mirror_sql
 from tidebar.plans.q_ingest import K
 from tidebar.plans.q_windows import H, M, snapshots
 from tidebar.plans.registry import register
@@ -20,24 +20,95 @@ from tidebar.streaming import streams
 TREE_F = ["gap_atr", "session_ret", "rv4", "vwap_dist_atr", "or_pos", "from_low_atr", "to_high_atr", "eff4", "time_frac"]
 
 
-def zones(name, seq):
+# ---- zones and levels; the twins are joins of zones with bars, and recursion only where one entry excludes another
+
+def zone_sql(formed: str, lo: str, hi: str, extra: dict[str, str], fired: str, start: int = 3, bodies: int = 0) -> str:
+    """Twin of a zone detector: ``zrw`` bars of both sides, ``zon`` zones; ``fired`` selects symbol, session, side, slot and the zone's bar g."""
+    mb = f", CASE WHEN count(c - o) OVER b >= {bodies} THEN quantile_cont(abs(c - o), 0.5) OVER b END AS mb" if bodies else ""
+    win = f" WINDOW b AS (PARTITION BY symbol, session, side ORDER BY slot ROWS BETWEEN {bodies} PRECEDING AND 1 PRECEDING)" if bodies else ""
+    x = {**mirror_sql(3), "zr0": f"SELECT *, lag(h, 2) OVER (PARTITION BY symbol, session, side ORDER BY slot) AS h2, lag(l, 2) OVER (PARTITION BY symbol, session, side ORDER BY slot) AS l2{mb} FROM mir{win}",
+         "zrw": f"SELECT *, coalesce(c > dn AND c < up, false) AS inside FROM zr0 WHERE slot >= {start} AND slot < 21",
+         "zon": f"SELECT symbol, session, side, slot AS g, {lo} AS lo, {hi} AS hi FROM zrw WHERE c IS NOT NULL AND bl IS NOT NULL AND {formed}", **extra, "zfr": fired,
+         "zst": "SELECT f.symbol, f.session, f.side, f.slot, min(r.l) * f.side AS stop_ref FROM zfr f JOIN mir r ON r.symbol = f.symbol AND r.session = f.session AND r.side = f.side AND r.slot BETWEEN f.g - 2 AND f.slot GROUP BY f.symbol, f.session, f.side, f.slot",
+         "zlo": "SELECT z.* FROM zst z JOIN (SELECT symbol, session, slot FROM zst GROUP BY 1, 2, 3 HAVING count(*) = 1) USING (symbol, session, slot)"}
+    return with_ctes(H, pick(EV + " stop_ref:d", "zlo"), x, recursive=True)
+
+
+_SAME = "r.symbol = z.symbol AND r.session = z.session AND r.side = z.side"
+#: The bar that closes through each opposing gap while the session has no missing bar, and the newest such gap of a bar.
+BROKEN = {"zbk": f"SELECT * FROM (SELECT z.symbol, z.session, z.side, z.g, z.lo, z.hi, min(r.slot) FILTER (r.c > z.hi) AS t, min(r.slot) FILTER (r.c IS NULL) AS gap FROM zon z JOIN zrw r ON {_SAME} AND r.slot > z.g GROUP BY ALL) WHERE t - g <= 10 AND coalesce(gap > t, true)",
+          "znw": "SELECT symbol, session, side, t AS slot, max(g) AS g, arg_max(lo, g) AS lo, arg_max(hi, g) AS hi FROM zbk GROUP BY 1, 2, 3, 4"}
+#: One entry at a time: the gap closed through last waits for a return of at most 8 bars.
+RETEST = {**BROKEN,
+          "zrr": "SELECT r.*, n.g AS ng, n.lo AS nlo, n.hi AS nhi, row_number() OVER (PARTITION BY r.symbol, r.session, r.side ORDER BY r.slot) AS rn FROM zrw r LEFT JOIN znw n USING (symbol, session, side, slot)",
+          "zre": """SELECT DISTINCT symbol, session, side, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INTEGER) AS slot, CAST(NULL AS INTEGER) AS g, CAST(NULL AS DOUBLE) AS lo, CAST(NULL AS DOUBLE) AS hi, CAST(NULL AS INTEGER) AS inv, CAST(NULL AS INTEGER) AS hit FROM zrr
+ UNION ALL SELECT symbol, session, side, rn, slot, CASE WHEN c IS NULL THEN NULL WHEN taken THEN ng WHEN kept THEN g END, CASE WHEN taken THEN nlo ELSE lo END, CASE WHEN taken THEN nhi ELSE hi END, CASE WHEN taken THEN slot ELSE inv END, CASE WHEN back AND inside THEN g END
+ FROM (SELECT *, NOT kept AND NOT (back AND inside) AND ng IS NOT NULL AND inside AS taken FROM (SELECT *, g IS NOT NULL AND NOT ended AND NOT back AS kept FROM (SELECT *, g IS NOT NULL AND NOT ended AND l <= hi AND h >= lo AND c > hi AS back FROM
+ (SELECT r.*, s.g, s.lo, s.hi, s.inv, coalesce(r.c IS NULL OR r.slot - s.inv > 8 OR r.c < s.lo OR r.h >= r.up, true) AS ended FROM zre s JOIN zrr r ON r.symbol = s.symbol AND r.session = s.session AND r.side = s.side AND r.rn = s.rn + 1))))"""}
+#: Gaps that a pull back may test, newest first; a test uses the newest one up.
+PULL = {"zdt": f"SELECT z.symbol, z.session, z.side, z.g, z.lo, z.hi, coalesce(min(r.slot) FILTER (r.c IS NULL OR r.slot - z.g > 10 OR r.c < z.lo OR r.h >= r.up), 99) AS dead FROM zon z LEFT JOIN zrw r ON {_SAME} AND r.slot > z.g GROUP BY ALL",
+        "zcd": "SELECT r.*, row_number() OVER (PARTITION BY r.symbol, r.session, r.side ORDER BY r.slot) AS rn, z.gs FROM zrw r LEFT JOIN (SELECT r.symbol, r.session, r.side, r.slot, list({'g': z.g, 'lo': z.lo, 'hi': z.hi} ORDER BY z.g DESC) AS gs FROM zrw r JOIN zdt z ON " + _SAME + " AND r.slot > z.g AND r.slot < z.dead GROUP BY 1, 2, 3, 4) z USING (symbol, session, side, slot)",
+        "zus": """SELECT DISTINCT symbol, session, side, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INTEGER) AS slot, CAST([] AS INTEGER[]) AS used, CAST(NULL AS INTEGER) AS hit FROM zcd
+ UNION ALL SELECT symbol, session, side, rn, slot, CASE WHEN test THEN list_append(used, z.g) ELSE used END, CASE WHEN test AND inside THEN z.g END FROM (SELECT *, coalesce(l <= z.hi AND h >= z.lo AND c > z.hi, false) AS test FROM
+ (SELECT r.*, s.used, list_filter(r.gs, lambda x: NOT list_contains(s.used, x.g))[1] AS z FROM zus s JOIN zcd r ON r.symbol = s.symbol AND r.session = s.session AND r.side = s.side AND r.rn = s.rn + 1))"""}
+_NEWEST = "SELECT n.symbol, n.session, n.side, n.slot, n.g FROM znw n JOIN zrw r USING (symbol, session, side, slot) WHERE r.inside"
+
+
+def zones(name, seq, sql, start=3, bodies=None):
     def plan(spark, sf):
-        ev = folds.run_sequence(folds.mirror(views.feat(spark, sf, H), 3, 3), seq, False, 21)
+        ev = folds.run_sequence(folds.mirror(views.feat(spark, sf, H), 3, 3, start, bodies), seq, False, 21)
         return folds.lone_side(ev)
-    register(name)(plan)
-
-
-zones("detect_gap_retest", folds.gap_retest(1, 10))
-zones("detect_inverse_gap", folds.inverse_gap(1, 10))
-zones("detect_inverse_gap_retest", folds.inverse_gap_retest(1, 10, 8))
-
-
-@register("detect_ageing_levels")
+    register(name, sql)(plan)
+
+
+zones("detect_gap_retest", folds.gap_retest(1, 10), zone_sql("l - h2 >= 0.25 AND h2 > dn AND l < up", "h2", "l", PULL, "SELECT symbol, session, side, slot, hit AS g FROM zus WHERE hit IS NOT NULL"))
+zones("detect_inverse_gap", folds.inverse_gap(1, 10), zone_sql("l2 - h >= 0.25", "h", "l2", BROKEN, _NEWEST))
+zones("detect_inverse_gap_retest", folds.inverse_gap_retest(1, 10, 8), zone_sql("l2 - h >= 0.25", "h", "l2", RETEST, "SELECT symbol, session, side, slot, hit AS g FROM zre WHERE hit IS NOT NULL"))
+# gaps formed while the opening range is still open, here of six bars, and a closing bar with a displacement
+zones("detect_inverse_gap_opening", folds.inverse_gap(1, 10, 6, "opening"), zone_sql("l2 - h >= 0.25 AND slot < 6", "h", "l2", BROKEN, _NEWEST + " AND n.slot >= 6", 0), 0)
+zones("detect_inverse_gap_displaced", folds.inverse_gap(1, 10, 3, "post", (1.0, 0.4)),
+      zone_sql("l2 - h >= 0.25", "h", "l2", BROKEN, _NEWEST + " AND r.mb > 0 AND r.c > r.o AND r.c - r.o >= r.mb AND r.c - r.o >= 0.4 * (r.h - r.l) AND r.h - r.c <= 0.2 * (r.h - r.l)", 3, 4), 3, 4)
+
+
+#: Levels open at pivots far from open ones of their kind; each then counts its bounces on its own; entries wait out a hold.
+LEVELS = {
+    "ag0": """SELECT symbol, session, slot, high, low, close, greatest(0.25, atr * 0.05) AS b, sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, session ORDER BY slot) AS gone,
+ CASE WHEN count(close) OVER f = 5 AND lag(low, 2) OVER o = min(low) OVER f THEN lag(low, 2) OVER o END AS plo, CASE WHEN count(close) OVER f = 5 AND lag(high, 2) OVER o = max(high) OVER f THEN lag(high, 2) OVER o END AS phi
+ FROM feat WHERE atr > 0 WINDOW o AS (PARTITION BY symbol, session ORDER BY slot), f AS (PARTITION BY symbol, session ORDER BY slot ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "agb": "SELECT * FROM ag0 WHERE gone = 0 AND slot >= 2 AND slot < 22",
+    "agp": "SELECT *, row_number() OVER (PARTITION BY symbol, session, kind ORDER BY slot) AS rn FROM (SELECT symbol, session, slot, b, -1 AS kind, phi AS px FROM agb WHERE phi IS NOT NULL UNION ALL SELECT symbol, session, slot, b, 1, plo FROM agb WHERE plo IS NOT NULL)",
+    "ago": """SELECT DISTINCT symbol, session, kind, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(px DOUBLE, born INTEGER)[]) AS lv FROM agp
+ UNION ALL SELECT p.symbol, p.session, p.kind, p.rn, CASE WHEN len(list_filter(s.lv, lambda z: p.slot - z.born <= 15 AND abs(z.px - p.px) < 2 * p.b)) = 0 THEN list_append(s.lv, {'px': p.px, 'born': p.slot}) ELSE s.lv END
+ FROM ago s JOIN agp p ON p.symbol = s.symbol AND p.session = s.session AND p.kind = s.kind AND p.rn = s.rn + 1""",
+    "agl": "SELECT symbol, session, kind, z.px AS px, z.born AS born FROM (SELECT symbol, session, kind, unnest(arg_max(lv, rn)) AS z FROM ago GROUP BY 1, 2, 3)",
+    "agr": """SELECT symbol, session, kind, px, born, born AS slot, 0 AS n, false AS wait, false AS ready FROM agl
+ UNION ALL SELECT s.symbol, s.session, s.kind, s.px, s.born, r.slot, s.n + CASE WHEN s.wait AND s.kind * (r.close - s.px) > r.b THEN 1 ELSE 0 END, CASE WHEN s.wait THEN abs(r.close - s.px) <= r.b ELSE r.low <= s.px + r.b AND r.high >= s.px - r.b END,
+ s.wait AND s.kind * (r.close - s.px) > r.b AND s.n >= 1 FROM agr s JOIN agb r ON r.symbol = s.symbol AND r.session = s.session AND r.slot = s.slot + 1 WHERE r.slot - s.born <= 15""",
+    "age": "SELECT *, row_number() OVER (PARTITION BY symbol, session ORDER BY slot) AS rn FROM (SELECT symbol, session, slot, arg_min(kind, born * 2 + CASE WHEN kind > 0 THEN 1 ELSE 0 END) AS side FROM agr WHERE ready GROUP BY 1, 2, 3)",
+    "agf": """SELECT DISTINCT symbol, session, CAST(0 AS BIGINT) AS rn, CAST(NULL AS INTEGER) AS slot, 0 AS side, -1 AS last, false AS fired FROM age
+ UNION ALL SELECT e.symbol, e.session, e.rn, e.slot, e.side, CASE WHEN e.slot > s.last THEN e.slot + 2 ELSE s.last END, e.slot > s.last FROM agf s JOIN age e ON e.symbol = s.symbol AND e.session = s.session AND e.rn = s.rn + 1"""}
+
+
+@register("detect_ageing_levels", with_ctes(H, pick("symbol session slot:i side:i target_ref:d", "(SELECT f.symbol, f.session, f.slot, f.side, b.close + f.side * 2 * b.b AS target_ref FROM agf f JOIN agb b USING (symbol, session, slot) WHERE f.fired)"), LEVELS, recursive=True))
 def detect_ageing_levels(spark, sf):
     return folds.ageing_levels(views.feat(spark, sf, H), 2, 1, 15, 2, 0.05, 22)
 
 
-@register("detect_triangle")
+#: Pivots in runs of one kind; a shape is read off the extreme so far of the present run and those of the four before it.
+TRIANGLE = {
+    "tr0": """SELECT *, sum(CASE WHEN close IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, session ORDER BY slot) AS gone, lag(sm) OVER o AS v, lag(sm, 2) OVER o AS bf FROM
+ (SELECT *, close + 0 * lag(close) OVER (PARTITION BY symbol, session ORDER BY slot) AS sm FROM feat WHERE atr > 0 AND is_normal AND or_high IS NOT NULL) WINDOW o AS (PARTITION BY symbol, session ORDER BY slot)""",
+    "tr1": """SELECT symbol, session, slot, v, CASE WHEN slot < 5 OR v <= or_low OR v >= or_high THEN 0 WHEN v > bf AND v > sm THEN 1 WHEN v < bf AND v < sm THEN -1 ELSE 0 END AS k, CASE WHEN close > or_high THEN 1 WHEN close < or_low THEN -1 ELSE 0 END AS side
+ FROM tr0 WHERE gone = 0 AND slot >= 3 AND slot < 21""",
+    "tr2": "SELECT *, sum(turn) OVER (PARTITION BY symbol, session ORDER BY slot) AS run FROM (SELECT *, CASE WHEN k = lag(k) OVER (PARTITION BY symbol, session ORDER BY slot) THEN 0 ELSE 1 END AS turn FROM tr1 WHERE k <> 0)",
+    "tr3": "SELECT symbol, session, run, any_value(k) * max(k * v) AS v FROM tr2 GROUP BY 1, 2, 3",
+    "tr4": "SELECT a.symbol, a.session, a.slot, a.k, a.k * max(a.k * a.v) OVER (PARTITION BY a.symbol, a.session, a.run ORDER BY a.slot) AS v5, d.v AS v4, c.v AS v3, b.v AS v2, e.v AS v1 FROM tr2 a " + " ".join(
+        f"JOIN tr3 {n} ON {n}.symbol = a.symbol AND {n}.session = a.session AND {n}.run = a.run - {i}" for n, i in (("d", 1), ("c", 2), ("b", 3), ("e", 4))),
+    "tr5": "SELECT symbol, session, min(slot) AS shape FROM tr4 WHERE k * (v5 - v3) < 0 AND -k * (v4 - v2) < 0 AND k * (v3 - v1) < 0 AND v2 <> v1 AND abs(v5 - v4) <= 0.9 * abs(v2 - v1) GROUP BY 1, 2",
+    "tr6": "SELECT t.symbol, t.session, t.shape, min(r.slot) AS slot FROM tr5 t JOIN tr1 r USING (symbol, session) WHERE r.side <> 0 GROUP BY 1, 2, 3"}
+
+
+@register("detect_triangle", with_ctes(H, pick("symbol session slot:i side:i shape_slot:i", "(SELECT t.symbol, t.session, t.slot, r.side, t.shape AS shape_slot FROM tr6 t JOIN tr1 r USING (symbol, session, slot) WHERE t.slot > t.shape AND t.slot <= t.shape + 10)"), TRIANGLE))
 def detect_triangle(spark, sf):
     f = feats.local_linear(views.feat(spark, sf, H), 2)
     return folds.triangle(f, 3, 1, 0.1, 10, 21)
