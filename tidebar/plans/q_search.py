@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from tidebar.operators import outcomes as out
 from tidebar.operators import portfolio as pf
 from tidebar.operators import rules as rl
 from tidebar.operators import search as se
+from tidebar.operators import settings as sg
 from tidebar.operators import stats as st
-from tidebar.plans import flows, q_outcomes, views
+from tidebar.plans import flows, q_outcomes, q_triggers, views
 from tidebar.plans import q_stats as qs
 from tidebar.plans.oracle import pick, with_ctes
 from tidebar.plans.q_ingest import K
@@ -467,7 +470,6 @@ def audit_expected(spark, sf):
  FROM wide w JOIN exe x ON x.exec_id = CAST(substr(w.config_id, 5, 2) AS INT)""", qs.WIDE))
 def search_evaluate_grid(spark, sf):
     """Signals and executions stay separate until selection; settings rejoin the results by id."""
-    from itertools import product
     r = qs.results(spark, sf)
     ex = spark.createDataFrame([(i, float(a), float(t), h) for i, (a, t, h) in enumerate(product(*flows.EXEC.values()))],
                                "exec_id int, stop_atr double, target_r double, hold int")
@@ -808,3 +810,68 @@ def portfolio_exact_all(spark, sf):
     """Seeds and samples from every sleeve of every setting, evaluated bar by bar."""
     s = WholeStudy(spark, sf)
     return pf.exact_of_plan(s.members(), s.paths(), PLAN)
+
+
+# ---- a search driven by a table of settings -------------------------------------
+
+_EXE1 = {"stop_atr": [0.2], "target_r": [2.0], "hold": [8]}
+#: Blocks of the table; a volume gate counts only behind the VWAP filter of one breakout block.
+BLOCKS = [("rolling_breakout", {"lookback": [3, 5], "buffer_atr": [0.0, 0.03], "vwap_filter": [0, 1], "volume_z": [None], "stop_atr": [0.1, 0.2], "target_r": [0.0, 2.0], "hold": [4, 8]}),
+          ("rolling_breakout", {"lookback": [3, 5], "buffer_atr": [0.0], "vwap_filter": [1], "volume_z": [-0.5, 0.0], **_EXE1}),
+          ("impulse_continuation", {"lookback": [2, 4], "impulse_atr": [0.08, 0.15], "volume_z": [-0.5, 0.0], "stop_atr": [0.2], "target_r": [0.0, 2.0], "hold": [8]}),
+          ("vwap_stretch_reversal", {"stretch_atr": [0.1, 0.3], "max_slope_atr": [0.05, 0.3], "slope_bars": [1, 4], "stop_atr": [0.2], "target_r": [2.0], "hold": [4, 8]})]
+
+
+def setting_rows() -> dict[str, list[dict]]:
+    """The table's rows per family, counted out by hand for the twin."""
+    rows, n = {}, 0
+    for family, values in BLOCKS:
+        for combo in product(*reversed(values.values())):
+            rows.setdefault(family, []).append({"setting_id": n, **dict(zip(values, reversed(combo)))})
+            n += 1
+    return rows
+
+
+def _family_sql(family: str, source: str, on: str, up: str, dn: str) -> str:
+    rows = setting_rows()[family]
+    cell = lambda v: "NULL::DOUBLE" if v is None else repr(v)
+    vals = f"(VALUES {', '.join('(' + ', '.join(map(cell, r.values())) + ')' for r in rows)}) v({', '.join('p_' + k if k in ('volume_z',) else k for k in rows[0])})"
+    return f"""SELECT symbol, session, slot, side, atr, setting_id, stop_atr, target_r, hold FROM (SELECT *, CASE WHEN coalesce({up}, false) AND NOT coalesce({dn}, false) THEN 1 WHEN coalesce({dn}, false) AND NOT coalesce({up}, false) THEN -1 END AS side
+ FROM {source} JOIN {vals} ON {on}) WHERE side IS NOT NULL AND atr > 0 AND is_normal AND slot < {flows.LAST[M]}"""
+
+
+_BUSY = "(p_volume_z IS NULL OR volume_z >= p_volume_z)"
+SETTINGS = {
+    "sxa": " UNION ALL ".join(f"({q_triggers.extremes(n)})" for n in (3, 5)), "sxm": " UNION ALL ".join(f"({q_triggers.moves(n)})" for n in (2, 4)), "sxs": " UNION ALL ".join(f"({q_triggers.slopes(n)})" for n in (1, 4)),
+    "sea": _family_sql("rolling_breakout", "sxa", "n = lookback", f"close > hi + buffer_atr * atr AND p_close <= phi + buffer_atr * atr AND (vwap_filter = 0 OR close > vwap) AND {_BUSY}",
+                       f"close < lo - buffer_atr * atr AND p_close >= plo - buffer_atr * atr AND (vwap_filter = 0 OR close < vwap) AND {_BUSY}"),
+    "sem": _family_sql("impulse_continuation", "sxm", "n = lookback", f"mv_ > impulse_atr AND pmv <= impulse_atr AND close > p_high AND {_BUSY}", f"mv_ < -impulse_atr AND pmv >= -impulse_atr AND close < p_low AND {_BUSY}"),
+    "ses": _family_sql("vwap_stretch_reversal", "feat JOIN sxs USING (symbol, session, slot)", "k = slope_bars", "p_close - p_vwap < -stretch_atr * atr AND close > p_high AND abs(slope) <= max_slope_atr * atr", "p_close - p_vwap > stretch_atr * atr AND close < p_low AND abs(slope) <= max_slope_atr * atr"),
+    **{**flows.trades_sql(), "eve": "SELECT *, row_number() OVER () AS eid, setting_id AS config_id FROM (SELECT * FROM sea UNION ALL SELECT * FROM sem UNION ALL SELECT * FROM ses)"},
+    "ex": qs.EXE["ex"], **qs.WIDE,
+    "fam": " UNION ALL ".join(f"SELECT {r['setting_id']} AS config_id, '{f}' AS family" for f, rows in setting_rows().items() for r in rows)}
+
+
+@register("grid_settings", with_ctes(M, """SELECT family, CAST(count(DISTINCT (symbol, session, slot, side)) AS BIGINT) AS events, CAST(count(*) AS BIGINT) AS wanted, CAST(count(DISTINCT (symbol, session, slot, side, stop_atr, target_r, hold)) AS BIGINT) AS labels
+ FROM (SELECT f.family, symbol, session, slot, side, stop_atr, target_r, hold FROM eve JOIN fam f USING (config_id)) GROUP BY 1""", SETTINGS))
+def grid_settings(spark, sf):
+    """Per family of the table: bars that raise an event, outcomes that its settings want, and labels that have to be computed for them."""
+    s = materialize(sg.settings_table(spark, BLOCKS), "settings")
+    made = []
+    for family in sorted({f for f, _ in BLOCKS}):
+        own = s.filter(F.col("family") == family)
+        d = sg.dispatched(sg.events_of(views.feat(spark, sf, M), own, flows.LAST[M]), own)
+        made.append(d.agg(F.lit(family).alias("family"), F.count_distinct("symbol", "session", "slot", "side").alias("events"), F.sum(F.size("setting_ids")).alias("wanted"), F.count(F.lit(1)).alias("labels")))
+    return reduce(lambda x, y: x.unionByName(y), made)
+
+
+@register("search_evaluate_settings", with_ctes(M, pick("setting_id:i family symbol trades:i net:d max_drawdown:d", "(SELECT config_id AS setting_id, family, symbol, trades, net, max_drawdown FROM wide JOIN fam USING (config_id))"), SETTINGS, recursive=True))
+def search_evaluate_settings(spark, sf):
+    """Three families with axes of their own in one plan, driven by a table: signals by dispatch, each distinct (event, stop, target, hold) labelled once."""
+    s = materialize(sg.settings_table(spark, BLOCKS), "settings")
+    wanted = sg.dispatched(sg.events_of(views.feat(spark, sf, M), s, flows.LAST[M]), s)
+    o = out.barrier_outcome(wanted, out.pack_bars(views.grid(spark, sf, M)), views.MODELS[M].flat)
+    t = out.select_non_overlapping(o.withColumn("config_id", F.explode("setting_ids")).drop("setting_ids"), ["config_id", *K], *flows.WINDOW, max_n=3)
+    t = out.net_pnl(out.size_max_exposure(t, F.lit(400.0))).withColumns({"year": F.year("session"), "executed": F.col("qty") > 0})
+    r = st.wide_stats(t, TRAIN, VALIDATE, TEST).withColumnRenamed("config_id", "setting_id")
+    return r.join(s.select("setting_id", "family"), "setting_id").select("setting_id", "family", "symbol", "trades", "net", "max_drawdown")
