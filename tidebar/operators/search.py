@@ -157,6 +157,30 @@ def causality_violations(base: DataFrame, perturbed: DataFrame, known: str) -> D
     return a.exceptAll(b).unionByName(b.exceptAll(a))
 
 
+def perturbed_copies(bars: DataFrame, cuts: list[tuple], level: float = 100.0) -> DataFrame:
+    """One copy of the bars for each cut ``(session, slot)``, its symbol marked with the cut's number; from the bar behind the cut on prices are
+    mirrored at half of ``level``, so that highs become lows, and volumes differ."""
+    rows = F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(d).cast("date").alias("_d"), F.lit(s).alias("_s")) for i, (d, s) in enumerate(cuts)])
+    x = bars.select("*", F.inline(rows))
+    after = (F.col("session") > F.col("_d")) | ((F.col("session") == F.col("_d")) & (F.col("slot") > F.col("_s")))
+    x = x.withColumns({c: F.when(after, level - F.col(other)).otherwise(F.col(c)) for c, other in (("open", "open"), ("high", "low"), ("low", "high"), ("close", "close"))})
+    return x.withColumns({"volume": F.when(after, F.col("volume") * 2 + 1).otherwise(F.col("volume")), "symbol": F.concat_ws("#", "symbol", F.col("cut").cast("string"))}).drop("cut", "_d", "_s")
+
+
+def event_violations(base: DataFrame, changed: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``(detector, violations)``: events known at a cut that a detector raises on the bars as they are, or on those that differ behind the cut, but not on both.
+
+    ``base (detector, symbol, session, slot, side)`` are events of the bars, ``changed`` those of ``perturbed_copies``. All cuts and detectors go
+    through one grouping: an event counts +1 where it is raised and -1 where it is raised again."""
+    key = ["detector", "symbol", "session", "slot", "side"]
+    rows = F.array(*[F.struct(F.lit(i).alias("cut"), F.lit(d).cast("date").alias("_d"), F.lit(s).alias("_s")) for i, (d, s) in enumerate(cuts)])
+    known = (F.col("session") < F.col("_d")) | ((F.col("session") == F.col("_d")) & (F.col("slot") <= F.col("_s")))
+    part = F.split("symbol", "#")
+    again = changed.select("detector", F.get(part, 0).alias("symbol"), "session", "slot", "side", F.get(part, 1).cast("int").alias("cut")).select("*", F.inline(F.filter(rows, lambda r: r["cut"] == F.col("cut"))).alias("_c", "_d", "_s"))
+    both = base.select(*key, F.inline(rows)).filter(known).select(*key, "cut", F.lit(1).alias("n")).unionByName(again.filter(known).select(*key, "cut", F.lit(-1).alias("n")))
+    return both.groupBy(*key, "cut").agg(F.sum("n").alias("n")).groupBy("detector").agg(F.sum(F.abs("n")).alias("violations"))
+
+
 def lag_audit(daily: DataFrame, minimum: int) -> DataFrame:
     """Stored previous-session fields against a fresh lag, and their coverage."""
     w = W.partitionBy("symbol").orderBy("session")
