@@ -272,3 +272,11 @@ def stream_sessions(spark, sf):
 def stream_quality(spark, sf):
     q = streams.drain(streams.stream_quality(stream(spark, sf), "6 hours"), "stream-quality")
     return q.select(F.unix_timestamp("window_start").alias("window_epoch"), "row_count", "bad_value", "negative", "off_tick")
+
+
+@register("stream_quality_updates", """SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS window_epoch, CAST(count(*) AS BIGINT) AS row_count, CAST(count(*) FILTER (value IS NULL OR isnan(value)) AS BIGINT) AS bad_value,
+ CAST(count(*) FILTER (value < 0) AS BIGINT) AS negative, CAST(count(*) FILTER (abs(value / 0.25 - round(value / 0.25)) > 1e-8) AS BIGINT) AS off_tick FROM events GROUP BY 1, time_bucket(INTERVAL 6 HOUR, ts)""")
+def stream_quality_updates(spark, sf):
+    """All windows, those the watermark has not closed included, as the last batch left them."""
+    q, _ = streams.upsert(streams.stream_quality(stream(spark, sf), "6 hours"), ["window_start"], "stream-quality")
+    return q.select(F.unix_timestamp("window_start").alias("window_epoch"), "row_count", "bad_value", "negative", "off_tick")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tidebar.sources.scratch import scratch_path
 
 
-def event_stream(spark: SparkSession, path: str, schema, delay: str) -> DataFrame:
-    """Files of events as a stream with a watermark; ``ts`` becomes a zoned timestamp."""
-    s = spark.readStream.schema(schema).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema, delay: str, files: int | None = None) -> DataFrame:
+    """Files of events as a stream with a watermark, ``files`` of them in a batch if given; ``ts`` becomes a zoned timestamp."""
+    read = spark.readStream.schema(schema)
+    s = (read.option("maxFilesPerTrigger", files) if files else read).parquet(path)
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
@@ -47,3 +48,27 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
+
+
+def put_batch(batch: DataFrame, batch_id: int, path: str) -> None:
+    """The changed rows of a batch under its number; a batch that runs again replaces what it wrote before."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def latest(spark: SparkSession, path: str, schema, key: list[str]) -> DataFrame:
+    """The last state of each key over the batches under ``path``."""
+    from pyspark.sql.types import IntegerType, StructType
+    rest = [f.name for f in schema.fields if f.name not in key]
+    rows = spark.read.schema(StructType([*schema.fields]).add("batch", IntegerType())).option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*key, "_r.*")
+
+
+def upsert(stream: DataFrame, key: list[str], label: str) -> tuple[DataFrame, str]:
+    """Process everything available in update mode: open windows come out too, and again whenever they change. Returns the last state of
+    each key and the folder of the batches."""
+    spark = stream.sparkSession
+    out, ckpt = scratch_path(spark, label), scratch_path(spark, f"{label}-ckpt")
+    q = (stream.writeStream.outputMode("update").foreachBatch(lambda b, i: put_batch(b, i, out))
+         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return latest(spark, out, stream.schema, key), out
