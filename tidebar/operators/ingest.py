@@ -98,6 +98,24 @@ def calendar_spine(symbols: DataFrame, first: datetime.date, last: datetime.date
     return days.withColumn("close_slot", close_slot.cast("int")).withColumn("is_normal", is_normal)
 
 
+def listed_calendar(bars: DataFrame, table: DataFrame) -> DataFrame:
+    """The sessions that a calendar table ``(session, close_slot, is_normal)`` expects of each symbol from its first bar on, up to its last.
+
+    A symbol that is listed later has no missing sessions before, and a bar on a day that is no session of the table adds none. What goes to every
+    symbol is the table itself, one row a session; a session that stands in it twice is refused."""
+    rows = table.groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.first("close_slot").alias("close_slot"), F.first("is_normal").alias("is_normal"))
+    if rows.filter("n > 1").first() is not None:
+        raise ValueError("a session stands in the calendar twice")
+    days = rows.agg(F.array_sort(F.collect_list(F.struct("session", "close_slot", "is_normal"))).alias("d"))
+    ends = bars.groupBy("symbol").agg(F.min("session").alias("_from"), F.max("session").alias("_to")).withColumn("_d", days.scalar())
+    return ends.select("symbol", F.inline(F.filter("_d", lambda d: (d["session"] >= F.col("_from")) & (d["session"] <= F.col("_to")))))
+
+
+def unlisted_sessions(bars: DataFrame, table: DataFrame) -> DataFrame:
+    """``(symbol, session, bars)`` of bars on days that the calendar table does not have."""
+    return bars.join(table.select("session"), "session", "left_anti").groupBy("symbol", "session").agg(F.count(F.lit(1)).alias("bars"))
+
+
 def session_calendar_join(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Attach close slot and normal flag, dropping bars outside the session hours.
 

@@ -319,3 +319,16 @@ def correlation_matrix(daily: DataFrame, key: str, names: list[str]) -> DataFram
                       (F.lit(1.0) if a == b else F.coalesce(F.corr(q(a), q(b)), F.lit(0.0))).alias("corr"))
              for a in names for b in names]
     return wide.agg(F.array(*pairs).alias("_p")).select(F.inline("_p"))
+
+
+def correlation_pairs(daily: DataFrame, key: str) -> DataFrame:
+    """``(a, b, corr)`` of all sleeves of the data, missing days zero, undefined 0, each with itself 1.
+
+    Days are filled per sleeve from the calendar; sleeves meet by session, and a combined aggregate keeps centred moments for
+    each pair, of which there are as many as the matrix has entries."""
+    p = daily.groupBy(key, "session").agg(F.sum("pnl").alias("pnl"))
+    days = p.agg(F.array_sort(F.collect_set("session")).alias("d"))
+    whole = p.select(key).distinct().withColumn("session", F.explode(days.scalar())).join(p, [key, "session"], "left").select(F.col(key).alias("a"), "session", F.coalesce("pnl", F.lit(0.0)).alias("pa"))
+    other = whole.select(F.col("a").alias("b"), "session", F.col("pa").alias("pb"))
+    c = whole.join(other, "session").groupBy("a", "b").agg(F.try_divide(F.covar_pop("pa", "pb"), F.stddev_pop("pa") * F.stddev_pop("pb")).alias("c"))
+    return c.select("a", "b", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce("c", F.lit(0.0))).alias("corr"))

@@ -85,6 +85,22 @@ def source_parts(spark, sf):
     return readers.read_parts(spark, path, "symbol string, year int, n long, volume double")
 
 
+@register("source_manifest_changes", with_ctes(H, "SELECT 'symbol=' || min(symbol) AS file, 'altered' AS problem FROM bars UNION ALL SELECT 'symbol=' || max(symbol), 'absent' FROM bars UNION ALL SELECT 'symbol=extra', 'new'"))
+def source_manifest_changes(spark, sf):
+    """Parts written twice: the second time the first symbol has other volumes, the last symbol is gone and a new one is there."""
+    b = views.bars(spark, sf, H)
+    lo, hi = b.agg(F.min("symbol"), F.max("symbol")).first()
+    paths = [scratch_path(spark, "parts") for _ in range(2)]
+    later = b.filter(F.col("symbol") != hi).withColumn("volume", F.when(F.col("symbol") == lo, F.col("volume") + 1).otherwise(F.col("volume")))
+    later = later.unionByName(b.filter(F.col("symbol") == lo).withColumn("symbol", F.lit("extra")))
+    for path, df in zip(paths, (b, later)):
+        df.repartition("symbol").sortWithinPartitions("symbol", "session", "slot").write.partitionBy("symbol").json(path)
+    then, now = (readers.files_checksum(spark, path, -2) for path in paths)
+    mpath = scratch_path(spark, "manifest")
+    then.write.parquet(mpath)
+    return readers.compare_manifest(now, spark.read.parquet(mpath))
+
+
 @register("source_checksums")
 def source_checksums(spark, sf):
     """Checksums of written parts against a manifest taken from the same folder: none may differ."""
@@ -228,6 +244,24 @@ def ingest_session_calendar(spark, sf):
     return ingest.session_calendar_join(b, views.calendar(b, H)).select(*K, "slot", "close_slot", "is_normal", "close")
 
 
+@register("ingest_calendar_table", with_ctes(M, """SELECT e.symbol, t.session, CAST(t.close_slot AS BIGINT) AS close_slot, t.is_normal, CAST((SELECT count(*) FROM bars b WHERE b.symbol = e.symbol AND b.session = t.session) AS BIGINT) AS bars
+ FROM (SELECT symbol, min(session) AS a, max(session) AS z FROM bars WHERE symbol <> '2-HIGH' OR session >= DATE '1997-05-01' GROUP BY 1) e JOIN (SELECT session, max(close_slot) AS close_slot, bool_and(is_normal) AS is_normal FROM cal WHERE month(session) <> 8 GROUP BY 1) t ON t.session BETWEEN e.a AND e.z"""))
+def ingest_calendar_table(spark, sf):
+    """A calendar as data: no sessions in August, one symbol listed in 1997. Each symbol is expected from its first bar on."""
+    b = views.bars(spark, sf, M)
+    table = views.calendar(b, M).filter(F.month("session") != 8).groupBy("session").agg(F.max("close_slot").alias("close_slot"), F.bool_and("is_normal").alias("is_normal"))
+    listed = b.filter("symbol <> '2-HIGH' OR session >= DATE '1997-05-01'")
+    n = listed.groupBy(*K).agg(F.count(F.lit(1)).alias("bars"))
+    return ingest.listed_calendar(listed, table).join(n, K, "left").withColumn("bars", F.coalesce("bars", F.lit(0)))
+
+
+@register("ingest_unlisted_sessions", with_ctes(M, "SELECT symbol, session, CAST(count(*) AS BIGINT) AS bars FROM bars WHERE month(session) = 8 GROUP BY 1, 2"))
+def ingest_unlisted_sessions(spark, sf):
+    """Bars on days that the calendar does not have."""
+    b = views.bars(spark, sf, M)
+    return ingest.unlisted_sessions(b, views.calendar(b, M).filter(F.month("session") != 8).select("session").distinct())
+
+
 @register("ingest_complete_grid", with_ctes(H, pick(OHLCV + " close_slot:i", "g")))
 def ingest_complete_grid(spark, sf):
     return views.grid(spark, sf, H).select(*K, "slot", "open", "high", "low", "close", "volume", "close_slot")

@@ -321,6 +321,13 @@ def stat_correlation(spark, sf):
     return st.correlation_matrix(d, "config_id", NAMES)
 
 
+@register("stat_correlation_all", sq("a b corr:d", "SELECT a.config_id AS a, b.config_id AS b, CASE WHEN a.config_id = b.config_id THEN 1.0 ELSE coalesce(corr(a.p, b.p), 0) END AS corr FROM cza a JOIN cza b USING (session) GROUP BY 1, 2", {
+    "cza": "SELECT k.config_id, s.session, coalesce(sum(d.pnl), 0) AS p FROM (SELECT DISTINCT config_id FROM ex) k JOIN (SELECT DISTINCT session FROM ex) s ON true LEFT JOIN ex d ON d.config_id = k.config_id AND d.session = s.session GROUP BY 1, 2"}))
+def stat_correlation_all(spark, sf):
+    """Every setting of the data with every other."""
+    return st.correlation_pairs(materialize(daily(spark, sf), "daily"), "config_id")
+
+
 OPTS = "(SELECT i AS option_id, 'large' AS mode, i + 1.0 AS spec FROM range(4) a(i) UNION ALL SELECT 4 + i, 'small', [1.0, 5.0, 20.0][i + 1] FROM range(3) b(i) UNION ALL SELECT 7 + i, 'risk', [200.0, 500.0][i + 1] FROM range(2) c(i))"
 BEST = {"so0": f"SELECT e.config_id, e.symbol, e.session, e.slot, e.side, e.pnl_pts, e.worst_pts, e.stop_pts, o.* FROM sel e, {OPTS} o",
         "so1": "SELECT *, CASE WHEN mode = 'risk' THEN {} ELSE mode END AS instrument, CASE WHEN mode = 'risk' THEN {} ELSE spec END AS qty FROM so0".format(*flows.size_sql("spec")),

@@ -57,10 +57,10 @@ def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.json(path, schema=schema, recursiveFileLookup=True)
 
 
-def files_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every input file. Input files are split small, one file is one row."""
+def files_checksum(spark: SparkSession, path: str, name: int = -1) -> DataFrame:
+    """SHA-256 of every input file. Input files are split small, one file is one row, named by part ``name`` of its path."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-            .select(F.element_at(F.split("path", "/"), -1).alias("file"),
+            .select(F.element_at(F.split("path", "/"), name).alias("file"),
                     F.sha2("content", 256).alias("sha256"), "length"))
 
 
@@ -70,3 +70,10 @@ def changed_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return (found.join(manifest, k, "left_anti").select(*k).withColumn("problem", F.lit("unlisted"))
             .unionByName(manifest.join(found, k, "left_anti").select(*k)
                          .withColumn("problem", F.lit("absent"))))
+
+
+def compare_manifest(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``(file, problem)``: files that are ``altered`` since the manifest, ``new`` to it, or ``absent`` now."""
+    both = found.select("file", F.col("sha256").alias("now")).join(manifest.select("file", F.col("sha256").alias("then")), "file", "full")
+    problem = F.when(F.col("then").isNull(), "new").when(F.col("now").isNull(), "absent").when(F.col("now") != F.col("then"), "altered")
+    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select("file", "problem")
