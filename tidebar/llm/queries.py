@@ -43,6 +43,7 @@ def _words_sql(text: str) -> str:
 
 @register("op2_token_ids")
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, number and checksum of every text's ids, read back from the files."""
     path = token_ids.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-files"), end_id=1)
     return token_ids.read_ids(spark, path, with_ids=False)
 
@@ -70,6 +71,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_bas
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN pd USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)""")
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and labels of every text."""
     found = licenses.find_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word"),
                         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
@@ -84,6 +86,7 @@ SELECT k.doc_id, count(*) AS n_lines, count(s.owner) FILTER (k.doc_id <> s.owner
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.pos) FILTER (s.owner IS NULL OR k.doc_id = s.owner), '')) AS kept_sha256
 FROM k LEFT JOIN s USING (key) GROUP BY k.doc_id""")
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before and after, and the digest of what stays, of every text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -102,6 +105,7 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every text; the classifier learns from all labels."""
     docs = table(spark, sf_dir, "documents")
     model = quality_rules.fit_quality(docs, table(spark, sf_dir, "labels"))
     return quality_rules.apply_rules(docs, model, carry=["doc_id"]).select(
@@ -119,6 +123,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op8_pii")
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text, base spans also as counts and digest."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
@@ -128,6 +133,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_simhash")
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every text."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3, seed=42)
 
 
@@ -146,6 +152,7 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)""")
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words hit by benchmark windows, and their items, for every text."""
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(F.col("id").alias("doc_id"), "n_words", decontaminate.hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256")).select(
