@@ -5,7 +5,7 @@ import brute
 import corpus_pipeline
 from tidebar.llm import quality_rules
 from tidebar.llm.text import table
-from test_simhash import brute_components, brute_fingerprint
+from test_similar import brute_kept
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -14,8 +14,8 @@ def expected(rows, items, kept):
     """rows: [(doc_id, text)] in, {doc_id: text} out of the stages before the last."""
     rows = [(d, t) for d, t in rows if kept(d)]
     deduped = {d: x[2] for d, x in brute.line_dedup(rows).items()}
-    root = brute_components({d: brute_fingerprint(t) for d, t in deduped.items()})
-    single = [(d, t) for d, t in deduped.items() if root[d] == d]
+    first = brute_kept(list(deduped.items()))
+    single = [(d, t) for d, t in deduped.items() if d in first]
     bad = brute.contaminated(single, items)
     return {d: t for d, t in single if not (bad[d][1] > 0 and 20 * bad[d][1] >= bad[d][0])}
 

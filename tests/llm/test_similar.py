@@ -77,3 +77,33 @@ def test_long_text_in_pieces():
     want = {" ".join(words[i:i + 5]) for i in range(len(words) - 4)}
     got = similar.shingle_set(" ".join(words).encode(), 5, 42)
     assert len(got) == len(want) and np.all(np.diff(got) > 0)
+
+
+@pytest.mark.parametrize("block, radius", [(3, 0), (7, 3)])
+def test_split_buckets_lose_no_link(spark, monkeypatch, block, radius):
+    """Buckets in pairs of small blocks, and groups that fingerprints hardly join."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "RADIUS", radius)
+    rows = corpus(11)
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == brute_kept(rows)
+
+
+def test_large_group_of_near_copies(spark):
+    """5,000 texts with two words of their own each, all similar to the first: one stays, beside the clean ones."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(100_000)}" for _ in range(150)]
+    rows = [(k, " ".join(base[:40] + [f"a{k}"] + base[41:110] + [f"b{k}"] + base[111:])) for k in range(5000)]
+    rows += [(5000 + k, " ".join(f"w{rng.randrange(100_000)}" for _ in range(150))) for k in range(50)]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, *range(5000, 5050)}
+
+
+def test_summary_keeps_the_frequent():
+    """Counts fall by what has to go, so that a shingle of more than a counter's share stays."""
+    rng = np.random.default_rng(1)
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for _ in range(20):
+        new = np.concatenate((rng.integers(100, 1 << 40, 500), np.repeat(np.arange(3), 40)))
+        keys, counts = similar._summed(np.concatenate((keys, new)), np.concatenate((counts, np.ones(len(new), np.int64))), 50)
+    assert len(keys) <= 50 and {0, 1, 2} <= set(keys.tolist()) and counts.max() <= 800

@@ -1,4 +1,4 @@
-"""Near-duplicates by exact similarity of word shingles: a set join with prefix filter, no sketch."""
+"""Near-duplicates by exact similarity of word shingles: SimHash joins most of a group, a set join with prefix filter finds the rest."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -10,33 +10,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.components import components
-from tidebar.llm.simhash import keep_first
-from tidebar.llm.text import byte_column, int_lists, list_column, space_words
+from tidebar.llm.simhash import covering_links, keep_first
+from tidebar.llm.text import byte_column, list_column, space_words
 from tidebar.sources.scratch import drop, materialize
 
 #: Texts are linked where the Jaccard similarity of their shingles is at least OVER[0] / OVER[1].
 OVER = (4, 5)
-#: Shingles that more sets hold in their prefix go to the end of the order, so that they fill no prefix.
+#: Shingles that summaries count in more texts than this go to the end of the order, so that they fill no prefix.
 COMMON = 1000
+#: Counters of the summary of one task, and the longest list of common shingles. Any list gives the same links.
+COUNTERS, LISTED = 1 << 14, 1 << 15
+#: Fingerprints that differ in at most this many bits are compared first.
+RADIUS = 3
+#: Members of a bucket that are paired in one group; larger buckets are split into pairs of blocks.
+BLOCK = 2048
+#: Sets of one SimHash group that a task keeps to compare others with.
+HELD = 8
 _STEP = 1 << 15
+_FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def shingle_set(data: bytes, shingle: int, seed: int) -> np.ndarray:
-    """Sorted distinct hashes of 62 bits of the word shingles; a shorter text is one shingle, a blank one none."""
-    parts, held, full = [], [], False
+def _grams(hashes: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of 62 bits of the runs of ``shingle`` words, from the words' hashes."""
+    n = len(hashes) - shingle + 1
+    mixed = np.zeros(n, np.uint64)
+    for k in range(shingle):
+        mixed = (mixed ^ hashes[k:k + n]) * _FACTORS[k % len(_FACTORS)]
+        mixed ^= mixed >> np.uint64(29 + k % 5)
+    return (mixed >> np.uint64(2)).view(np.int64)
 
-    def add(grams: list[bytes]) -> None:
-        h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, len(grams))
-        parts.append(np.unique((h >> np.uint64(2)).view(np.int64)))
 
+def shingle_set(data: bytes, shingle: int, seed: int) -> np.ndarray:
+    """Sorted distinct hashes of 62 bits of the word shingles; a shorter text is one shingle, a blank one none."""
+    parts, held, words = [], np.zeros(0, np.uint64), []
     for found in space_words(data.lower()):
-        run = held + found
+        words = (words + found[:shingle])[:shingle]
+        run = np.concatenate((held, np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in found), np.uint64, len(found))))
         for at in range(0, len(run) - shingle + 1, _STEP):
-            full = True
-            add([b" ".join(run[i:i + shingle]) for i in range(at, min(at + _STEP, len(run) - shingle + 1))])
+            parts.append(np.unique(_grams(run[at:at + _STEP + shingle - 1], shingle)))
         held = run[max(0, len(run) - shingle + 1):]
-    if held and not full:
-        add([b" ".join(held)])
+    if words and not parts:
+        parts.append(np.array([xxhash.xxh64_intdigest(b" ".join(words), seed) >> 2], np.int64))
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
 
 
@@ -44,173 +58,207 @@ def _name(s: np.ndarray, seed: int) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), seed)
 
 
+def _fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set: the majority of the bits of its shingles."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(s), _STEP):
+        count += np.unpackbits(s[at:at + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(s), bitorder="little").view(np.int64)[0])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts added by key; beyond ``counters`` keys all counts fall by the largest that has to go."""
+    keys, at = np.unique(keys, return_inverse=True)
+    counts = np.bincount(at, counts, len(keys)).astype(np.int64)
+    if len(keys) > counters:
+        counts -= np.partition(counts, -counters - 1)[-counters - 1]
+        keys, counts = keys[counts > 0], counts[counts > 0]
+    return keys, counts
+
+
+def common_shingles(docs: DataFrame, shingle: int, seed: int, text_col: str) -> list[int]:
+    """The most frequent shingles, ``LISTED`` at most, from a summary of ``COUNTERS`` counters for each task.
+
+    They only order the shingles, and any order gives the same links; so neither the bound of the list nor
+    counts that are too small lose a link, and what reaches driver and tasks does not grow with the corpus."""
+    counters = COUNTERS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def settled():
+            new = np.concatenate(waiting)
+            return _summed(np.concatenate((keys, new)), np.concatenate((counts, np.ones(len(new), np.int64))), counters)
+        for batch in batches:
+            for t in byte_column(batch, "text"):
+                waiting.append(shingle_set(t, shingle, seed))
+                size += len(waiting[-1])
+                if size > 1 << 20:
+                    keys, counts = settled()
+                    waiting, size = [], 0
+        if waiting:
+            keys, counts = settled()
+        yield pa.record_batch([pa.array(keys), pa.array(counts)], ["h", "k"])
+
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
+    return [r.h for r in counted.filter(F.col("k") > COMMON).orderBy(F.desc("k"), "h").limit(LISTED).collect()]
+
+
 def prefixes(docs: DataFrame, common: list[int], shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text_key, sig, n, pre)`` of every row: ``sig`` names its set of ``n`` shingles, ``pre`` has the first
-    n - ceil(0.8 n) + 1 of them, common ones last and others by hash.
+    """``(id, text_key, sig, n, fp, pre)`` of every row: ``sig`` names its set of ``n`` shingles, ``fp`` is the SimHash of
+    the set, ``pre`` has the first n - ceil(0.8 n) + 1 shingles, common ones last and others by hash.
 
     Similar sets share 0.8 of either, and so the first shared shingle lies in both prefixes."""
     late = np.array(sorted(common), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, sizes, first = [], [], []
+            sig, sizes, fp, first = [], [], [], []
             for t in byte_column(batch, "text"):
                 s = shingle_set(t, shingle, seed)
                 sig.append(_name(s, seed))
                 sizes.append(len(s))
+                fp.append(_fingerprint(s))
                 if len(late):
-                    s = np.sort(s | np.isin(s, late).astype(np.int64) << 62)
+                    s = np.sort(s | np.isin(s, late, assume_unique=True).astype(np.int64) << 62)
                 first.append(s[: len(s) + OVER[0] * len(s) // -OVER[1] + 1])
             yield pa.record_batch([batch.column("id"), batch.column("text_key"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                                   list_column(first, pa.int64())], ["id", "text_key", "sig", "n", "pre"])
+                                   pa.array(fp, pa.int64()), list_column(first, pa.int64())], ["id", "text_key", "sig", "n", "fp", "pre"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, text_key bigint, sig bigint, n bigint, pre array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, text_key bigint, sig bigint, n bigint, fp bigint, pre array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``(sig, sh)`` of ``texts (text)``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t, shingle, seed) for t in byte_column(batch, "text")]
-            yield pa.record_batch([pa.array(np.array([_name(s, seed) for s in sets], np.uint64).view(np.int64)), list_column(sets, pa.int64())], ["sig", "sh"])
-    return texts.select("text").mapInArrow(run, "sig bigint, sh array<bigint>").dropDuplicates(["sig"])
-
-
-def _shared(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """For each set in turn, how many elements it shares with each of the sets."""
-    sizes = np.array([len(s) for s in sets])
-    _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    by_token = np.repeat(np.arange(len(sets)), sizes)[np.argsort(token, kind="stable")]
-    ends = np.cumsum(held)
-    starts, own = ends - held, np.cumsum(sizes) - sizes
-    for i in range(len(sets)):
-        mine = token[own[i]:own[i] + sizes[i]]
-        mine = mine[held[mine] > 1]
-        found = [by_token[a:b] for a, b in zip(starts[mine].tolist(), ends[mine].tolist())]
-        yield np.bincount(np.concatenate(found), minlength=len(sets)) if found else np.zeros(len(sets), np.int64)
-
-
-def _near_members(sig: np.ndarray, n: np.ndarray, pre: list[np.ndarray]) -> np.ndarray:
-    """The sets of a bucket that can be similar to another one of it, as far as the prefixes tell.
-
-    Up to the smaller last element of two prefixes all shared elements are known; behind it they
-    share no more than the smaller rest."""
-    last = np.array([p[-1] for p in pre])
-    keys, owner = np.concatenate(pre), np.repeat(np.arange(len(pre)), [len(p) for p in pre])
-    rest = n - np.array([len(p) for p in pre])
-    near = np.zeros(len(pre), bool)
-    for i, shared in enumerate(_shared(pre)):
-        at = np.searchsorted(pre[i], last, side="right")  # elements of i up to each other's last
-        beyond = keys > last[i]
-        more = rest + np.bincount(owner[beyond], minlength=len(pre))  # elements of each other set behind the last of i
-        most = shared + np.minimum(n[i] - at, more)
-        fits = sum(OVER) * most >= OVER[0] * (n[i] + n)
-        fits &= np.minimum(n, n[i]) * OVER[1] >= np.maximum(n, n[i]) * OVER[0]
-        fits[i] = False
-        near[i] = fits.any()
-    return near
-
-
-def _bucket_links(root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all similar sets of one bucket beyond the roots that they have already."""
-    up = {r: r for r in root.tolist()}
-
-    def find(r):
-        while up[r] != r:
-            up[r] = up[up[r]]
-            r = up[r]
-        return r
-    sizes, found = np.array([len(s) for s in sets]), []
-    for i, shared in enumerate(_shared(sets)):
-        for j in (np.flatnonzero(sum(OVER) * shared[i + 1:] >= OVER[0] * (sizes[i] + sizes[i + 1:])) + i + 1).tolist():
-            a, b = find(int(root[i])), find(int(root[j]))
-            if a != b:
-                up[max(a, b)] = min(a, b)
-                found.append((int(sig[i]), int(sig[j])))
-    return found
-
-
-def _by_bucket(settle, value: str, lists: str):
-    """``settle(h, values, sigs, lists)`` for each bucket of a partition that is sorted by ``h``, one bucket at a time."""
+    """``(sig, sh)`` of ``texts (sig, text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-
-        def settled():
-            return settle(key, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), [r[2] for r in rows])
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("h", value, "sig")]
-            for h, v, s, x in zip(*columns, int_lists(batch, lists)):
-                if h != key and rows:
-                    yield settled()
-                    rows = []
-                key = h
-                rows.append((v, s, x.copy()))
-        if rows:
-            yield settled()
-    return run
+            yield pa.record_batch([batch.column("sig"), list_column([shingle_set(t, shingle, seed) for t in byte_column(batch, "text")], pa.int64())], ["sig", "sh"])
+    return texts.select("sig", "text").mapInArrow(run, "sig bigint, sh array<bigint>")
 
 
-def _near(h, n, sig, pre) -> pa.RecordBatch:
-    kept = sig[_near_members(sig, n, pre)]
-    return pa.record_batch([pa.array(np.full(len(kept), h, np.int64)), pa.array(kept)], ["h", "sig"])
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    return sum(OVER) * len(np.intersect1d(x, y, assume_unique=True)) >= OVER[0] * (len(x) + len(y))
 
 
-def _links(h, root, sig, sets) -> pa.RecordBatch:
-    links = _bucket_links(root, sig, sets)
-    return pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+def sketch_links(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Links ``(a, b)`` between similar sets whose fingerprints lie in one SimHash component: each set is compared with
+    some of those before it in the order of fingerprints. What they miss is left to ``prefix_links``."""
+    found = covering_links(nodes.select("fp").distinct(), RADIUS)
+    joined = components(found).withColumnRenamed("node", "fp")
+    grouped = materialize(nodes.join(joined, "fp", "left").select("sig", "text_key", "fp", F.coalesce("root", "fp").alias("group")), "grouped")
+    drop(found)
+    several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("group")
+    members = grouped.join(several, "group").join(texts, "text_key").dropDuplicates(["sig"]).select("group", "fp", "sig", "text")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            a, b = [], []
+            for g, sig, text in zip(batch.column("group").to_pylist(), batch.column("sig").to_pylist(), byte_column(batch, "text")):
+                if g != group:
+                    group, held = g, []
+                s = shingle_set(text, shingle, seed)
+                near = next((k for k, (_, other) in enumerate(held) if _similar(s, other)), None)
+                if near is None:
+                    held = [(sig, s)] + held[:HELD - 1]
+                else:
+                    a.append(held[near][0])
+                    b.append(sig)
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    ordered = members.repartitionByRange("group", "fp", "sig").sortWithinPartitions("group", "fp", "sig")
+    links = materialize(ordered.mapInArrow(run, "a bigint, b bigint"), "sketched")
+    drop(grouped)
+    return links
 
-def _one_of_same(rows: DataFrame, *also) -> DataFrame:
-    """``h`` of buckets, one of those with the same members."""
-    each = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("sig")).alias("x"), *also)
-    return (each.filter("lo <> hi") if also else each).groupBy("k", "x").agg(F.min("h").alias("h")).select("h")
 
+def _pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of different roots and fitting sizes in each bucket ``(h, cell)`` of a sorted partition, or only those next to each other."""
+    names = ["h", "cell", "part", "root", "sig", "n"]
+    held = [np.zeros(0, np.int64)] * len(names)
+
+    def settle(h, cell, part, root, sig, n):
+        i, shift = np.arange(len(h)), 1
+        across = cell >> 31 != cell & (1 << 31) - 1
+        while True:
+            i = i[i + shift < len(h)]
+            i = i[(h[i] == h[i + shift]) & (cell[i] == cell[i + shift])]
+            if not len(i):
+                return
+            j = i + shift
+            fits = (root[i] != root[j]) & (np.minimum(n[i], n[j]) * OVER[1] >= np.maximum(n[i], n[j]) * OVER[0]) & ((part[i] != part[j]) | ~across[i])
+            x, y = i[fits], j[fits]
+            x, y = np.where(sig[x] < sig[y], x, y), np.where(sig[x] < sig[y], y, x)
+            yield pa.record_batch([pa.array(v) for v in (sig[x], sig[y], root[x], root[y], n[x], n[y])], ["a", "b", "root_a", "root_b", "n_a", "n_b"])
+            if nearest:
+                return
+            shift += 1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [np.concatenate((old, batch.column(k).to_numpy(zero_copy_only=False))) for old, k in zip(held, names)]
+        new = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
+        cut = new[-1] + 1 if len(new) else 0
+        held = [r[cut:] for r in rows]
+        yield from settle(*(r[:cut] for r in rows))
+    yield from settle(*held)
+
+
+def _candidates(met: DataFrame, nodes: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs ``(a, b, root_a, root_b, n_a, n_b)`` of sets of ``met (h, sig)`` in one bucket, without those that ``links`` join already."""
+    joined = components(links).withColumnRenamed("node", "sig")
+    rows = met.join(nodes.select("sig", "n").join(joined, "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("root")), "sig")
+    live = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rows = rows.join(live.select("h", F.ceil(F.col("k") / BLOCK).alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("sig"), "parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) if not nearest else F.col("part")
+    rows = rows.withColumn("other", other).withColumn("cell", F.shiftleft(F.least("part", "other"), 31) + F.greatest("part", "other"))
+    ordered = rows.select("h", "cell", "part", "root", "sig", "n").repartition("h", "cell").sortWithinPartitions("h", "cell", "sig")
+    return ordered.mapInArrow(lambda batches: _pairs(batches, nearest), "a bigint, b bigint, root_a bigint, root_b bigint, n_a bigint, n_b bigint")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, label: str) -> DataFrame:
+    """Those of ``pairs (a, b)`` whose whole sets are similar; only their texts are read again."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    chosen = nodes.join(wanted, "sig", "left_semi").select("sig", "text_key")
+    sets = materialize(shingle_sets(texts.join(chosen, "text_key").dropDuplicates(["sig"]), shingle, seed), "sets")
+    left, right = (sets.select(F.col("sig").alias(k), F.col("sh").alias(f"sh_{k}")) for k in ("a", "b"))
+    shared = F.size(F.array_intersect("sh_a", "sh_b")) * sum(OVER)
+    links = materialize(pairs.join(left, "a").join(right, "b").filter(shared >= OVER[0] * (F.size("sh_a") + F.size("sh_b"))).select("a", "b"), label)
+    drop(pairs, sets)
+    return links
 
-def _met(nodes: DataFrame) -> DataFrame:
-    """``(h, sig)`` of the prefixes, without shingles that a single set has."""
-    rows = nodes.select(F.explode("pre").alias("h"), "sig").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    return materialize(rows.filter("k > 1"), "met")
 
+def prefix_links(met: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``links`` and links ``(a, b)`` that connect all other similar sets of ``met (h, sig)``.
 
-def similar_links(met: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """Links ``(a, b)`` that connect all ``sig`` of ``nodes (sig, text_key, n, pre)`` with similar sets; ``texts`` has ``(text_key, text)``.
+    First neighbours in a bucket are compared, one pair for two components, which joins most of what the
+    fingerprints left apart. Then all pairs of different components remain. Up to the last element of the prefix that
+    ends first all shared shingles are known from the buckets, and behind it there are no more than that set's
+    rest; pairs that cannot reach the similarity so are not read."""
+    near = _candidates(met, nodes, links, True).groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = links.unionAll(_verified(near, nodes, texts, shingle, seed, "neighbours"))
 
-    Prefixes tell which sets of a bucket can be similar; only their texts are read again. Each is compared with its
-    neighbour in the bucket, which joins most of a group at once; buckets that then still hold several components are
-    compared as a whole, and of buckets with the same members one."""
-    rows = met.join(_one_of_same(met), "h", "left_semi").join(nodes.select("sig", "n", "pre"), "sig").select("h", "sig", "n", "pre")
-    near = materialize(rows.repartition("h").sortWithinPartitions("h", "sig").mapInArrow(_by_bucket(_near, "n", "pre"), "h bigint, sig bigint"), "near")
-    wanted = nodes.join(near.select("sig").distinct(), "sig", "left_semi").select("text_key")
-    sets = materialize(shingle_sets(texts.join(wanted, "text_key", "left_semi").dropDuplicates(["text_key"]), shingle, seed), "sets")
-    pairs = near.select(F.lag("sig").over(Window.partitionBy("h").orderBy("sig")).alias("a"), F.col("sig").alias("b")).filter("a is not null").distinct()
-    left, right = (sets.select(F.col("sig").alias(k), F.col("sh").alias(f"sh_{k}")) for k in ("a", "b"))
-    shared = F.size(F.array_intersect("sh_a", "sh_b")) * sum(OVER)
-    chain = materialize(pairs.join(left, "a").join(right, "b").filter(shared >= OVER[0] * (F.size("sh_a") + F.size("sh_b"))).select("a", "b"), "chain")
-    joined = components(chain).select(F.col("node").alias("sig"), "root")
-    rooted = materialize(near.join(joined, "sig", "left").select("h", "sig", F.coalesce("root", "sig").alias("root")), "rooted")
-    rest = rooted.join(_one_of_same(rooted, F.min("root").alias("lo"), F.max("root").alias("hi")), "h", "left_semi").join(sets, "sig").select("h", "root", "sig", "sh")
-    more = rest.repartition("h").sortWithinPartitions("h", "sig").mapInArrow(_by_bucket(_links, "root", "sh"), "a bigint, b bigint")
-    links = materialize(chain.unionAll(more), "similar")
-    drop(near, sets, chain, rooted)
-    return links
+    def rest(n: str):
+        return F.ceil(F.col(n) * OVER[0] / OVER[1]) - 1
+    pairs = _candidates(met, nodes, links, False).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    most = F.col("shared") + F.greatest(rest("n_a"), rest("n_b"))
+    far = pairs.filter(most * sum(OVER) >= (F.col("n_a") + F.col("n_b")) * OVER[0]).select("a", "b")
+    return links.unionAll(_verified(far, nodes, texts, shingle, seed, "similar"))
 
 
 def groups(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
     """``(id, text_key, root, component_id)``: ``root`` names the row's component, ``component_id`` is its smallest id."""
-    def marks(common: list[int]):
-        marked = materialize(prefixes(docs, common, shingle, seed, id_col, text_col), "prefixes")
-        nodes = materialize(marked.dropDuplicates(["sig"]).select("sig", "text_key", "n", "pre"), "nodes")
-        return marked, nodes, _met(nodes)
-
-    marked, nodes, met = marks([])
-    common = [r.h for r in met.filter(F.col("k") > COMMON).select("h").distinct().collect()]
-    if common:
-        drop(marked, nodes, met)
-        marked, nodes, met = marks(common)
+    common = common_shingles(docs, shingle, seed, text_col)
+    marked = materialize(prefixes(docs, common, shingle, seed, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    nodes = materialize(marked.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("row", "text_key", "n", "fp"))), "nodes")
     texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    links = similar_links(met, nodes, texts, shingle, seed)
+    links = sketch_links(nodes, texts, shingle, seed)
+    single = marked.join(nodes.select("row"), "row", "left_semi").select(F.explode("pre").alias("h"), "sig")
+    met = materialize(single.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("k > 1").select("h", "sig"), "met")
+    links = prefix_links(met, nodes, texts, links, shingle, seed)
     joined = components(links).withColumnRenamed("node", "sig")
     named = marked.select("id", "text_key", "sig").join(joined, "sig", "left")
     named = materialize(named.select("id", "text_key", F.coalesce("root", "sig").alias("root")), "named")
