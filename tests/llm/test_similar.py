@@ -107,3 +107,26 @@ def test_summary_keeps_the_frequent():
         new = np.concatenate((rng.integers(100, 1 << 40, 500), np.repeat(np.arange(3), 40)))
         keys, counts = similar._summed(np.concatenate((keys, new)), np.concatenate((counts, np.ones(len(new), np.int64))), 50)
     assert len(keys) <= 50 and {0, 1, 2} <= set(keys.tolist()) and counts.max() <= 800
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles so far."""
+    sc = spark.sparkContext
+    listed = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (listed.apply(i) for i in range(listed.size()))}
+
+
+def test_rows_stay_where_they_stand(spark, tmp_path):
+    """Texts without candidates, and the columns beside them, are in no shuffle: their prefixes are all that moves."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{rng.randrange(10**9)}" for _ in range(1000)), 0) for k in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    before = shuffled(spark)
+    try:
+        assert corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/docs"), "").count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    after = shuffled(spark)
+    assert sum(v for k, v in after.items() if k not in before) < 0.7 * sum(len(t) for _, t, _ in rows)

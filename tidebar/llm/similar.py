@@ -1,6 +1,7 @@
 """Near-duplicates by exact similarity of word shingles: SimHash joins most of a group, a set join with prefix filter finds the rest."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebar.llm.components import components
-from tidebar.llm.simhash import covering_links, keep_first
+from tidebar.llm.simhash import covering_links
 from tidebar.llm.text import byte_column, list_column, space_words
-from tidebar.sources.scratch import drop, materialize
+from tidebar.sources.scratch import drop, materialize, scratch_path
 
 #: Texts are linked where the Jaccard similarity of their shingles is at least OVER[0] / OVER[1].
 OVER = (4, 5)
@@ -26,6 +27,10 @@ RADIUS = 3
 BLOCK = 2048
 #: Sets of one SimHash group that a task keeps to compare others with.
 HELD = 8
+#: Neighbours in a bucket are compared at once if they are so in 1 / NEAR of the shorter prefix; the others wait for all pairs.
+NEAR = 4
+#: A row number is its task's number and its place in the task, which takes the lower bits.
+_ROW_BITS = 33
 _STEP = 1 << 15
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -104,8 +109,32 @@ def common_shingles(docs: DataFrame, shingle: int, seed: int, text_col: str) ->
     return [r.h for r in counted.filter(F.col("k") > COMMON).orderBy(F.desc("k"), "h").limit(LISTED).collect()]
 
 
-def prefixes(docs: DataFrame, common: list[int], shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text_key, sig, n, fp, pre)`` of every row: ``sig`` names its set of ``n`` shingles, ``fp`` is the SimHash of
+def _bucketed(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` with a column ``row`` of row numbers, written once in buckets of their tasks: ``_chosen`` moves none of them."""
+    spark, name = rows.sparkSession, f"tidebar_{label}_{uuid.uuid4().hex}"
+    buckets = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.withColumn("task", F.shiftright("row", _ROW_BITS))
+    rows.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, label)).bucketBy(buckets, "task").saveAsTable(name)
+    return spark.table(name)
+
+
+def _bits(rows: pa.Table) -> pa.Table:
+    """One bit for each place in a task."""
+    place = rows.column("row").to_numpy() & (1 << _ROW_BITS) - 1
+    flags = np.zeros(-(-(int(place.max()) + 1) // 64) * 64, np.uint8)
+    flags[place] = 1
+    return pa.table({"task": rows.column("task")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").view("<i8")], pa.list_(pa.int64()))})
+
+
+def _chosen(bucketed: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``bucketed`` whose number is in ``rows (row)``: only bits go to where they stand."""
+    bits = rows.select(F.shiftright("row", _ROW_BITS).alias("task"), "row").groupBy("task").applyInArrow(_bits, "task bigint, bits array<bigint>")
+    word = F.get("bits", F.shiftright(F.col("row").bitwiseAND((1 << _ROW_BITS) - 1), 6).cast("int"))
+    return bucketed.join(bits.hint("shuffle_hash"), "task").filter(F.getbit(word, F.col("row").bitwiseAND(63).cast("int")) == 1).drop("task", "bits")
+
+
+def prefixes(held: DataFrame, common: list[int], shingle: int, seed: int) -> DataFrame:
+    """``(id, row, text_key, sig, n, fp, pre)`` of every row of ``held (id, row, text)``: ``sig`` names its set of ``n`` shingles, ``fp`` is the SimHash of
     the set, ``pre`` has the first n - ceil(0.8 n) + 1 shingles, common ones last and others by hash.
 
     Similar sets share 0.8 of either, and so the first shared shingle lies in both prefixes."""
@@ -122,35 +151,38 @@ def prefixes(docs: DataFrame, common: list[int], shingle: int, seed: int, id_col
                 if len(late):
                     s = np.sort(s | np.isin(s, late, assume_unique=True).astype(np.int64) << 62)
                 first.append(s[: len(s) + OVER[0] * len(s) // -OVER[1] + 1])
-            yield pa.record_batch([batch.column("id"), batch.column("text_key"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
-                                   pa.array(fp, pa.int64()), list_column(first, pa.int64())], ["id", "text_key", "sig", "n", "fp", "pre"])
+            yield pa.record_batch([batch.column("id"), batch.column("row"), batch.column("text_key"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                                   pa.array(fp, pa.int64()), list_column(first, pa.int64())], ["id", "row", "text_key", "sig", "n", "fp", "pre"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, text_key bigint, sig bigint, n bigint, fp bigint, pre array<bigint>")
+    kind = held.schema["id"].dataType.simpleString()
+    source = held.select("id", "row", F.xxhash64("text").alias("text_key"), "text")
+    return source.mapInArrow(run, f"id {kind}, row bigint, text_key bigint, sig bigint, n bigint, fp bigint, pre array<bigint>")
 
 
 def shingle_sets(texts: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``(sig, sh)`` of ``texts (sig, text)``."""
+    """``(sig, sh)`` of ``texts (text)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("sig"), list_column([shingle_set(t, shingle, seed) for t in byte_column(batch, "text")], pa.int64())], ["sig", "sh"])
-    return texts.select("sig", "text").mapInArrow(run, "sig bigint, sh array<bigint>")
+            sets = [shingle_set(t, shingle, seed) for t in byte_column(batch, "text")]
+            sig = np.array([_name(s, seed) for s in sets], np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array(sig), list_column(sets, pa.int64())], ["sig", "sh"])
+    return texts.select("text").mapInArrow(run, "sig bigint, sh array<bigint>")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return sum(OVER) * len(np.intersect1d(x, y, assume_unique=True)) >= OVER[0] * (len(x) + len(y))
 
 
-def sketch_links(nodes: DataFrame, texts: DataFrame, shingle: int, seed: int) -> DataFrame:
+def sketch_links(nodes: DataFrame, held: DataFrame, shingle: int, seed: int) -> DataFrame:
     """Links ``(a, b)`` between similar sets whose fingerprints lie in one SimHash component: each set is compared with
     some of those before it in the order of fingerprints. What they miss is left to ``prefix_links``."""
     found = covering_links(nodes.select("fp").distinct(), RADIUS)
     joined = components(found).withColumnRenamed("node", "fp")
-    grouped = materialize(nodes.join(joined, "fp", "left").select("sig", "text_key", "fp", F.coalesce("root", "fp").alias("group")), "grouped")
+    grouped = materialize(nodes.join(joined, "fp", "left").select("sig", "row", "fp", F.coalesce("root", "fp").alias("group")), "grouped")
     drop(found)
     several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("group")
-    members = grouped.join(several, "group").join(texts, "text_key").dropDuplicates(["sig"]).select("group", "fp", "sig", "text")
+    members = grouped.join(several, "group")
+    members = members.join(_chosen(held, members).select("row", "text"), "row").select("group", "fp", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
@@ -218,12 +250,11 @@ def _candidates(met: DataFrame, nodes: DataFrame, links: DataFrame, nearest: boo
     return ordered.mapInArrow(lambda batches: _pairs(batches, nearest), "a bigint, b bigint, root_a bigint, root_b bigint, n_a bigint, n_b bigint")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, seed: int, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, held: DataFrame, shingle: int, seed: int, label: str) -> DataFrame:
     """Those of ``pairs (a, b)`` whose whole sets are similar; only their texts are read again."""
     pairs = materialize(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    chosen = nodes.join(wanted, "sig", "left_semi").select("sig", "text_key")
-    sets = materialize(shingle_sets(texts.join(chosen, "text_key").dropDuplicates(["sig"]), shingle, seed), "sets")
+    sets = materialize(shingle_sets(_chosen(held, nodes.join(wanted, "sig", "left_semi")), shingle, seed), "sets")
     left, right = (sets.select(F.col("sig").alias(k), F.col("sh").alias(f"sh_{k}")) for k in ("a", "b"))
     shared = F.size(F.array_intersect("sh_a", "sh_b")) * sum(OVER)
     links = materialize(pairs.join(left, "a").join(right, "b").filter(shared >= OVER[0] * (F.size("sh_a") + F.size("sh_b"))).select("a", "b"), label)
@@ -231,43 +262,47 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int
     return links
 
 
-def prefix_links(met: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, shingle: int, seed: int) -> DataFrame:
+def prefix_links(met: DataFrame, nodes: DataFrame, held: DataFrame, links: DataFrame, shingle: int, seed: int) -> DataFrame:
     """``links`` and links ``(a, b)`` that connect all other similar sets of ``met (h, sig)``.
 
-    First neighbours in a bucket are compared, one pair for two components, which joins most of what the
-    fingerprints left apart. Then all pairs of different components remain. Up to the last element of the prefix that
+    First those that are neighbours in many buckets are compared, one pair for two components, which joins most of what
+    the fingerprints left apart. Then all pairs of different components remain. Up to the last element of the prefix that
     ends first all shared shingles are known from the buckets, and behind it there are no more than that set's
     rest; pairs that cannot reach the similarity so are not read."""
-    near = _candidates(met, nodes, links, True).groupBy("root_a", "root_b").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = links.unionAll(_verified(near, nodes, texts, shingle, seed, "neighbours"))
+    near = _candidates(met, nodes, links, True).groupBy("root_a", "root_b").agg(
+        F.min(F.struct("a", "b")).alias("p"), F.count(F.lit(1)).alias("k"), F.min(F.least("n_a", "n_b")).alias("n"))
+    near = near.filter(F.col("k") * NEAR * OVER[1] >= F.col("n") * (OVER[1] - OVER[0])).select("p.a", "p.b").distinct()
+    links = links.unionAll(_verified(near, nodes, held, shingle, seed, "neighbours"))
 
     def rest(n: str):
         return F.ceil(F.col(n) * OVER[0] / OVER[1]) - 1
     pairs = _candidates(met, nodes, links, False).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
     most = F.col("shared") + F.greatest(rest("n_a"), rest("n_b"))
     far = pairs.filter(most * sum(OVER) >= (F.col("n_a") + F.col("n_b")) * OVER[0]).select("a", "b")
-    return links.unionAll(_verified(far, nodes, texts, shingle, seed, "similar"))
+    return links.unionAll(_verified(far, nodes, held, shingle, seed, "similar"))
 
 
-def groups(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text_key, root, component_id)``: ``root`` names the row's component, ``component_id`` is its smallest id."""
-    common = common_shingles(docs, shingle, seed, text_col)
-    marked = materialize(prefixes(docs, common, shingle, seed, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    nodes = materialize(marked.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("row", "text_key", "n", "fp"))), "nodes")
-    texts = docs.select(F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    links = sketch_links(nodes, texts, shingle, seed)
-    single = marked.join(nodes.select("row"), "row", "left_semi").select(F.explode("pre").alias("h"), "sig")
+def drop_similar(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the smallest id of each component of rows linked by similar shingle sets, with its columns. Of repeated
+    rows, and of rows of a component that share its id, one stays; a component without ids keeps one row. Null and
+    blank texts are linked with each other.
+
+    The rows are written once and stay where they stand: what is asked of them later goes to them as bits."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    whole = F.struct(*[F.col(c).alias(k) for c, k in zip(docs.columns, names)]).alias("whole")
+    rows = _bucketed(docs.select(whole, F.monotonically_increasing_id().alias("row")), "held")
+    at = dict(zip(docs.columns, names))
+    held = rows.select("task", "row", F.col("whole").getField(at[id_col]).alias("id"), F.col("whole").getField(at[text_col]).alias("text"))
+    common = common_shingles(held, shingle, seed, "text")
+    marked = _bucketed(prefixes(held, common, shingle, seed), "prefixes")
+    nodes = materialize(marked.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("row", "n", "fp"))), "nodes")
+    links = sketch_links(nodes, held, shingle, seed)
+    single = _chosen(marked, nodes).select(F.explode("pre").alias("h"), "sig")
     met = materialize(single.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("k > 1").select("h", "sig"), "met")
-    links = prefix_links(met, nodes, texts, links, shingle, seed)
+    links = prefix_links(met, nodes, held, links, shingle, seed)
     joined = components(links).withColumnRenamed("node", "sig")
-    named = marked.select("id", "text_key", "sig").join(joined, "sig", "left")
-    named = materialize(named.select("id", "text_key", F.coalesce("root", "sig").alias("root")), "named")
+    named = marked.select("id", "text_key", "row", "sig").join(joined, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key", "row")).alias("first")
+    kept = materialize(named.groupBy("root").agg(first).select(F.col("first.row").alias("row")), "kept")
     drop(marked, nodes, met, links)
-    best = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    return named.join(best, "root").select("id", "text_key", "root", "component_id")
-
-
-def drop_similar(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each component of rows linked by similar shingle sets, with its columns; repeated
-    rows, shared ids and null ids as in ``simhash.drop_near_duplicates``. Null and blank texts are linked with each other."""
-    return keep_first(docs, groups(docs, shingle, seed, id_col, text_col), id_col, text_col)
+    return _chosen(rows, kept).select(*[F.col("whole").getField(k).alias(c) for c, k in zip(docs.columns, names)])
