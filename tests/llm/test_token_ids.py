@@ -53,6 +53,21 @@ def test_chunks_are_encoded_as_the_library_does(text):
     assert encode(text.encode()).tolist() == encode.library.encode(text, add_special_tokens=False).ids
 
 
+def test_new_chunks_go_to_the_library_together():
+    """One text for all chunks but those with the parting digit or a special token."""
+    encode, given_texts = token_ids._Encoder(PATH), []
+    library = encode.library
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            given_texts.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+    encode.library = Counting()
+    text = " ".join(f"wörd{chr(97 + k % 26) * (k // 26 + 1)}" for k in range(200)) + " 10, a0b <|endoftext|> 0 x\u0660y ０ é1"
+    assert encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(given_texts) < 10
+
+
 def test_frequent_ids_take_one_byte(spark):
     docs = spark.createDataFrame([(i, "the same words again and again") for i in range(100)], "doc_id long, text string")
     path = token_ids.write_ids(docs, PATH, scratch_path(spark, "ids-test"), 1)

@@ -31,6 +31,8 @@ BLOCK_IDS, FILE_BLOCKS = 1 << 16, 64
 MEMO, MEMO_BYTES = 400_000, 64
 #: A chunk that ends in ASCII punctuation other than an apostrophe, after a letter or digit.
 _HALVES = re.compile(rb"(.*[A-Za-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+#: Chunks that are encoded on their own: they hold the digit that parts the others, or may hold a special token.
+_ALONE = re.compile(r"0|<\|")
 #: Bytes of each of the four ids of a control byte.
 _LENGTHS = np.stack([(np.arange(256) >> s & 3) + 1 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
 _PLACES = np.arange(4, dtype=np.uint8)
@@ -85,12 +87,24 @@ class _Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        self.parting = self.library.encode("0", add_special_tokens=False).ids
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}  # the generation before, from which chunks in use come back
 
     def _encode(self, chunks: list[bytes]) -> Iterator[bytes]:
+        """Ids of each chunk. Chunks go to the library as one text, parted by a digit: a digit is always a token of its
+        own, and no chunk without that digit has its id."""
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        return (np.fromiter(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False))
+        alone = [len(self.parting) != 1 or _ALONE.search(t) is not None for t in texts]
+        joined = " 0 ".join(t for t, x in zip(texts, alone) if not x)
+        first, *rest = self.library.encode_batch_fast([joined, *(t for t, x in zip(texts, alone) if x)], add_special_tokens=False)
+        ids = np.array(first.ids, "<u4")
+        cuts = [-1, *np.flatnonzero(ids == self.parting[0]).tolist(), len(ids)]
+        if len(cuts) - 1 != max(1, alone.count(False)):
+            raise ValueError("the tokenizer does not keep the parted chunks apart")
+        data = ids.tobytes()
+        parts, single = (data[4 * a + 4:4 * b] for a, b in zip(cuts, cuts[1:])), (np.fromiter(e.ids, "<u4").tobytes() for e in rest)
+        return (next(single if x else parts) for x in alone)
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Remember the ids of new chunks. A chunk that ends in ASCII punctuation after an ASCII letter or digit is
