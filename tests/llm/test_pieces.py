@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -32,6 +33,21 @@ def test_one_stream_without_segments(text):
     assert encode(text).tolist() == LIBRARY.encode(text)
 
 
+@given(st.text(st.sampled_from("etho ▁n☃é1.,日g"), max_size=pieces.SHORT))
+@settings(max_examples=300, deadline=None)
+def test_short_segments_need_no_moving_window(text):
+    encode, search = pieces.Encoder(OWN), pieces.StreamingViterbi(OWN)
+    assert np.frombuffer(encode._short(text), "<i4").tolist() == [*search.feed(text), *search.close()]
+
+
+def test_texts_of_several_parts(monkeypatch):
+    """Words never take the moving window, and parts are cut before runs of spaces."""
+    monkeypatch.setattr(pieces, "PART", 7)
+    monkeypatch.setattr(pieces, "StreamingViterbi", None)
+    text = "  some   words, and ▁ more    " * 5 + "end"
+    assert pieces.Encoder(OWN)(text).tolist() == LIBRARY.encode(text)
+
+
 def test_window_stays_bounded():
     search, out = pieces.StreamingViterbi(OWN), []
     for _ in range(300):

@@ -26,6 +26,11 @@ from tidebar.llm.text import byte_column, int_lists, list_column
 SPACE = "▁"
 #: Segments in each of the two generations that a worker remembers, and the longest of them in characters.
 MEMO, MEMO_CHARS = 250_000, 48
+#: Characters of a text that are cut into segments at once; the cut is before a run of spaces.
+PART = 1 << 20
+_BREAK = re.compile(f"(?<!{SPACE}){SPACE}")
+#: Segments of at most so many characters are searched without a moving window.
+SHORT = 64
 #: Remembered answers of the merge rules on pairs of pieces.
 PAIRS = 400_000
 #: Boundaries between two looks at whether the paths have met.
@@ -53,6 +58,14 @@ class Pieces:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == _BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids))
+        #: Pieces by their characters: each node has the piece that ends there, if any, and the nodes after it.
+        self.tree: dict[str, list] = {}
+        for p in self.ids:
+            below = self.tree
+            for c in p:
+                node = below.setdefault(c, [None, {}])
+                below = node[1]
+            node[0] = p
         if len(self.bytes) != 256 or any(p.type not in (_NORMAL, _UNKNOWN, 3, _BYTE) for p in model.pieces):
             raise ValueError("only models with byte fallback and no pieces of users")
         #: No piece goes on after a space that follows another character, so segments may be cut before it.
@@ -170,7 +183,41 @@ class Encoder:
         self.old: dict[str, bytes] = {}  # the generation before, from which segments in use come back
         self.segments = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+" if pieces.cuts else r"(?s).+")
 
+    def _short(self, text: str) -> bytes:
+        """As ``segment``, for a text that fits the window: the same steps, taken forward from each boundary. The first
+        step to a boundary is the one from the leftmost start."""
+        m, n = self.pieces, len(text)
+        ids, pairs, apart = m.ids, m.pairs, m.apart
+        back: list[tuple[int, str] | None] = [None] * (n + 1)
+        back[0] = (0, "")
+        for start in range(n):
+            step = back[start]
+            if step is None:
+                if text[start - 1] in ids:
+                    continue
+                step = back[start] = (start - 1, "")
+            last, below, end = step[1], m.tree, start
+            for c in text[start:]:
+                node = below.get(c)
+                if node is None:
+                    break
+                piece, below = node
+                end += 1
+                if piece is not None and back[end] is None:
+                    known = pairs.get((last, piece))
+                    if known or known is None and apart(last, piece):
+                        back[end] = (start, piece)
+        out, i = [], n
+        while i > 0:
+            start, piece = back[i] or (i - 1, "")
+            out += (ids[piece],) if piece else [m.bytes[b] for b in reversed(text[start:i].encode("utf-8"))]
+            i = start
+        out.reverse()
+        return np.array(out, "<i4").tobytes()
+
     def segment(self, text: str) -> bytes:
+        if len(text) <= SHORT:
+            return self._short(text)
         search = StreamingViterbi(self.pieces)
         ids: list[int] = []
         for at in range(0, len(text), 1 << 12):
@@ -194,17 +241,20 @@ class Encoder:
         text = (SPACE if self.pieces.prefixed else "") + text.replace(" ", SPACE)
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
-        out, memo = [], self.memo
-        for found in self.segments.finditer(text):
-            s = found.group()
-            ids = memo.get(s)
-            if ids is None:
-                ids = self.old.get(s)
-                if ids is None:
-                    ids = self._learn(s)
-                if len(s) <= MEMO_CHARS:
-                    memo[s] = ids
-            out.append(ids)
+        out, at = [], 0
+        while at < len(text):
+            cut = _BREAK.search(text, at + PART) if self.pieces.cuts else None
+            end = cut.start() if cut else len(text)
+            found = self.segments.findall(text, at, end)
+            memo, old = self.memo, self.old
+            new = set(found).difference(memo)
+            for s in new:
+                memo[s] = old.get(s) or self._learn(s)
+            out.append(b"".join(map(memo.__getitem__, found)))
+            for s in new:
+                if len(s) > MEMO_CHARS:
+                    del memo[s]
+            at = end
         return np.frombuffer(b"".join(out), "<i4")
 
 
