@@ -99,6 +99,28 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, *range(5000, 5050)}
 
 
+@pytest.mark.parametrize("common", [None, 10**9])
+def test_shared_passage_makes_few_pairs(spark, monkeypatch, common):
+    """600 texts of 60 words of their own and a passage of 40 words: no bucket pairs them all, whether summaries list the passage or its buckets do."""
+    if common:
+        monkeypatch.setattr(similar, "COMMON", common)
+    made, candidates = [], similar._candidates
+
+    def counted(*args):
+        pairs = candidates(*args)
+        made.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(similar, "_candidates", counted)
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(40)]
+    rows = [(k, " ".join([word() for _ in range(30)] + passage + [word() for _ in range(30)])) for k in range(600)]
+    rows += [(600 + k, t.replace(" ", " x ", 1)) for k, (_, t) in enumerate(rows[:50])]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in rows], SCHEMA)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == set(range(600))
+    assert len(made) == 2 and sum(made) < 20 * len(rows)
+
+
 def test_summary_keeps_the_frequent():
     """Counts fall by what has to go, so that a shingle of more than a counter's share stays."""
     rng = np.random.default_rng(1)

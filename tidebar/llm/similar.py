@@ -18,9 +18,11 @@ from tidebar.sources.scratch import drop, materialize, scratch_path
 #: Texts are linked where the Jaccard similarity of their shingles is at least OVER[0] / OVER[1].
 OVER = (4, 5)
 #: Shingles that summaries count in more texts than this go to the end of the order, so that they fill no prefix.
-COMMON = 1000
+COMMON = 16
 #: Counters of the summary of one task, and the longest list of common shingles. Any list gives the same links.
-COUNTERS, LISTED = 1 << 14, 1 << 15
+COUNTERS, LISTED = 1 << 14, 1 << 20
+#: Buckets of more sets than this are crowded. Where crowded buckets hold more than ``PAIRS`` pairs a set, their shingles are listed too.
+CROWD, PAIRS = 32, 8
 #: Fingerprints that differ in at most this many bits are compared first.
 RADIUS = 3
 #: Members of a bucket that are paired in one group; larger buckets are split into pairs of blocks.
@@ -81,32 +83,52 @@ def _summed(keys: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.nda
     return keys, counts
 
 
-def common_shingles(docs: DataFrame, shingle: int, seed: int, text_col: str) -> list[int]:
-    """The most frequent shingles, ``LISTED`` at most, from a summary of ``COUNTERS`` counters for each task.
+def common_shingles(docs: DataFrame, shingle: int, seed: int, text_col: str) -> pa.Table:
+    """``(h, k)`` of the most frequent shingles, ``LISTED`` at most, from a summary of ``COUNTERS`` counters for each task.
 
-    They only order the shingles, and any order gives the same links; so neither the bound of the list nor
-    counts that are too small lose a link, and what reaches driver and tasks does not grow with the corpus."""
+    A shingle gets a counter when it is met twice in about two million. The list only orders the shingles, and any order
+    gives the same links; so neither its bound nor counts that are too small lose a link."""
     counters = COUNTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, waiting, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def settled():
-            new = np.concatenate(waiting)
-            return _summed(np.concatenate((keys, new)), np.concatenate((counts, np.ones(len(new), np.int64))), counters)
+            new = np.concatenate((keys, *waiting))  # a key that is held is there once more
+            new.sort()
+            at = np.flatnonzero(np.concatenate(([True], new[1:] != new[:-1])))
+            times = np.diff(at, append=len(new))
+            again = times > 1
+            return _summed(np.concatenate((keys, new[at[again]])), np.concatenate((counts, times[again] - np.isin(new[at[again]], keys))), counters)
         for batch in batches:
             for t in byte_column(batch, "text"):
                 waiting.append(shingle_set(t, shingle, seed))
                 size += len(waiting[-1])
-                if size > 1 << 20:
+                if size > 1 << 21:
                     keys, counts = settled()
                     waiting, size = [], 0
-        if waiting:
+        if size:
             keys, counts = settled()
         yield pa.record_batch([pa.array(keys), pa.array(counts)], ["h", "k"])
 
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h bigint, k bigint").groupBy("h").agg(F.sum("k").alias("k"))
-    return [r.h for r in counted.filter(F.col("k") > COMMON).orderBy(F.desc("k"), "h").limit(LISTED).collect()]
+    return counted.filter(F.col("k") > COMMON).orderBy(F.desc("k"), "h").limit(LISTED).toArrow()
+
+
+def crowded_shingles(met: DataFrame, sets: int, late: pa.Table) -> pa.Table:
+    """``(h, k)`` of the crowded buckets of ``met (h, sig, k)`` that are not in ``late``, as far as the list has room; none
+    where their pairs are no more than ``PAIRS`` times ``sets``. Summaries miss shingles that are spread thinly over many tasks."""
+    listed = late.column("h").to_numpy()
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~np.isin(batch.column("h").to_numpy(), listed)))
+    found = met.filter(F.col("k") > CROWD).groupBy("h").agg(F.first("k").alias("k")).mapInArrow(fresh, "h bigint, k bigint")
+    found = materialize(found, "crowded")
+    room = found.orderBy(F.desc("k"), "h").limit(max(0, LISTED - late.num_rows)).toArrow()
+    pairs = found.agg(F.sum(F.col("k").cast("double") * (F.col("k") - 1) / 2)).first()[0] or 0
+    drop(found)
+    return room if pairs > PAIRS * sets else room.slice(0, 0)
 
 
 def _bucketed(rows: DataFrame, label: str) -> DataFrame:
@@ -133,12 +155,13 @@ def _chosen(bucketed: DataFrame, rows: DataFrame) -> DataFrame:
     return bucketed.join(bits.hint("shuffle_hash"), "task").filter(F.getbit(word, F.col("row").bitwiseAND(63).cast("int")) == 1).drop("task", "bits")
 
 
-def prefixes(held: DataFrame, common: list[int], shingle: int, seed: int) -> DataFrame:
+def prefixes(held: DataFrame, late: pa.Table, shingle: int, seed: int) -> DataFrame:
     """``(id, row, text_key, sig, n, fp, pre)`` of every row of ``held (id, row, text)``: ``sig`` names its set of ``n`` shingles, ``fp`` is the SimHash of
-    the set, ``pre`` has the first n - ceil(0.8 n) + 1 shingles, common ones last and others by hash.
+    the set, ``pre`` has the first n - ceil(0.8 n) + 1 shingles: those of ``late (h, k)`` last, by the binary length of k, and each by hash.
 
     Similar sets share 0.8 of either, and so the first shared shingle lies in both prefixes."""
-    late = np.array(sorted(common), np.int64)
+    listed = late.sort_by("h")
+    keys, levels = listed.column("h").to_numpy(), np.frexp(listed.column("k").to_numpy())[1].astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,8 +171,9 @@ def prefixes(held: DataFrame, common: list[int], shingle: int, seed: int) -> Dat
                 sig.append(_name(s, seed))
                 sizes.append(len(s))
                 fp.append(_fingerprint(s))
-                if len(late):
-                    s = np.sort(s | np.isin(s, late, assume_unique=True).astype(np.int64) << 62)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    s = s[np.argsort(np.where(keys[at] == s, levels[at], 0), kind="stable")]
                 first.append(s[: len(s) + OVER[0] * len(s) // -OVER[1] + 1])
             yield pa.record_batch([batch.column("id"), batch.column("row"), batch.column("text_key"), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
                                    pa.array(fp, pa.int64()), list_column(first, pa.int64())], ["id", "row", "text_key", "sig", "n", "fp", "pre"])
@@ -293,13 +317,19 @@ def drop_similar(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str
     rows = _bucketed(docs.select(whole, F.monotonically_increasing_id().alias("row")), "held")
     at = dict(zip(docs.columns, names))
     held = rows.select("task", "row", F.col("whole").getField(at[id_col]).alias("id"), F.col("whole").getField(at[text_col]).alias("text"))
-    common = common_shingles(held, shingle, seed, "text")
-    marked = _bucketed(prefixes(held, common, shingle, seed), "prefixes")
-    nodes = materialize(marked.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("row", "n", "fp"))), "nodes")
+    late = common_shingles(held, shingle, seed, "text")
+    while True:
+        marked = _bucketed(prefixes(held, late, shingle, seed), "prefixes")
+        nodes = materialize(marked.groupBy("sig").agg(*(F.min(c).alias(c) for c in ("row", "n", "fp"))), "nodes")
+        single = _chosen(marked, nodes).select(F.explode("pre").alias("h"), "sig")
+        met = materialize(single.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("k > 1").select("h", "sig", "k"), "met")
+        more = crowded_shingles(met, nodes.count(), late)
+        if not more.num_rows:
+            break
+        late = pa.concat_tables([late, more])
+        drop(marked, nodes, met)
     links = sketch_links(nodes, held, shingle, seed)
-    single = _chosen(marked, nodes).select(F.explode("pre").alias("h"), "sig")
-    met = materialize(single.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("k > 1").select("h", "sig"), "met")
-    links = prefix_links(met, nodes, held, links, shingle, seed)
+    links = prefix_links(met.select("h", "sig"), nodes, held, links, shingle, seed)
     joined = components(links).withColumnRenamed("node", "sig")
     named = marked.select("id", "text_key", "row", "sig").join(joined, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key", "row")).alias("first")
