@@ -68,6 +68,30 @@ def test_new_chunks_go_to_the_library_together():
     assert len(given_texts) < 10
 
 
+def test_cases_and_ends_of_words_are_learnt_once():
+    """A word goes to the model once, whatever its capitals and the punctuation behind it; the library sees none of them."""
+    encode, asked = token_ids._Encoder(PATH), []
+    model, library = encode.model, encode.library
+
+    class Counting:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+    encode.model = Counting()
+    text = "Échenré, échenré ÉCHENRÉ... Thonore thonore. THONORE, thonore... Thonore?! thonore-- (thonore) " * 3 + "é Thonore; H\u00c9 H\u0331"
+    for t in (text, text[:-2], "÷. É×, Thonore \u0130. " + text[:60]):
+        assert encode(t.encode()).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert asked.count("thonore") == 1 and len(asked) == len(set(asked))
+
+
+@given(st.lists(st.text(st.sampled_from("aBhHzZ0 9'.,;!-<|>_\t\n\x0b\x1c\x85\u0331\u030a\u00c9\u00e9\u00df\u00d7\u00f7\u0130\u212a\u037e\u03a3—"), max_size=40), max_size=4))
+@settings(max_examples=600, deadline=None)
+def test_texts_are_encoded_as_the_library_does(texts):
+    encode = token_ids._encoder(PATH)
+    for text in texts:
+        assert encode(text.encode()).tolist() == encode.library.encode(text, add_special_tokens=False).ids
+
+
 def test_frequent_ids_take_one_byte(spark):
     docs = spark.createDataFrame([(i, "the same words again and again") for i in range(100)], "doc_id long, text string")
     path = token_ids.write_ids(docs, PATH, scratch_path(spark, "ids-test"), 1)
