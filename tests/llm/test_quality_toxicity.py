@@ -1,3 +1,4 @@
+import os
 import zlib
 
 import numpy as np
@@ -34,6 +35,29 @@ def test_repeated_words_of_large_vocabularies():
     assert quality_rules.repeated_words(words[:702]) == 0 and quality_rules.repeated_words(words[:703]) == 6
 
 
+def test_rules_are_fitted_outside_the_driver(spark, sf, monkeypatch, tmp_path):
+    """Only weights come to the driver, whatever the number of partitions; they are those of the same rows fitted in one process."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    one, place = quality_rules.fit_rows, tmp_path / "pids"
+
+    def noted(*given):
+        with open(place, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return one(*given)
+    monkeypatch.setattr(quality_rules, "fit_rows", noted)
+    models = [quality_rules.fit_quality(d, labels) for d in (docs, docs.repartition(7))]
+    assert len(pids := place.read_text().split()) == 2 and str(os.getpid()) not in pids
+
+    given = labels.filter("quality IN (0, 1)").join(docs, "doc_id").select("quality", "text").collect()
+    assert 50 < len(given) <= 2 * quality_rules.ROWS
+    rows = [(r.quality, (x := quality_rules.text_features((r.text or "").encode())).nonzero()[0], x[x.nonzero()]) for r in given]
+    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    all_labels = [r.quality for r in labels.filter("quality IN (0, 1)").collect()]
+    want = one([r[1:] for r in rows], np.array([r[0] for r in rows]), min(0.99, max(0.01, sum(all_labels) / len(all_labels))))
+    for m in models:
+        assert np.array_equal(m.weights, want.weights) and (m.slope, m.shift) == (want.slope, want.shift)
+
+
 def test_gradients_of_the_attention_model():
     rng = np.random.default_rng(1)
     bags = [rng.random((n, quality_mil.WIDTH)).astype(np.float32) for n in (1, 4, 2)]

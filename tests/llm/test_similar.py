@@ -5,7 +5,7 @@ import numpy as np
 
 import corpus_pipeline
 import pytest
-from tidebar.llm import similar
+from tidebar.llm import components, similar
 
 SCHEMA = "doc_id long, text string, n_chars long"
 
@@ -152,3 +152,22 @@ def test_rows_stay_where_they_stand(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     after = shuffled(spark)
     assert sum(v for k, v in after.items() if k not in before) < 0.7 * sum(len(t) for _, t, _ in rows)
+
+
+@pytest.mark.parametrize("small", [0, 40, 1 << 16])
+def test_components_of_graphs_of_any_size(spark, small, monkeypatch):
+    """Rounds alone, rounds and one task for what they leave, one task alone: the same roots, and few jobs in the last."""
+    rng = np.random.default_rng(3)
+    pairs = [(i, i + 1) for i in range(0, 90) if i % 30] + [(int(a), int(b)) for a, b in rng.integers(-200, -100, (70, 2))] + [(500, k) for k in range(501, 560)] + [(7, 7), (None, 3), (1, 2), (2, 1)]
+    written = []
+    one = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label, *by: written.append(label) or one(df, label, *by))
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a bigint, b bigint"), small).collect()}
+    root = {x: x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    for _ in root:
+        for a, b in pairs:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    assert ("roots" in written) == (small < len(pairs)) and (small < len(pairs) or len(written) == 2)
+    assert not components.components(spark.createDataFrame([], "a bigint, b bigint"), small).collect()

@@ -22,6 +22,7 @@ ROWS = 1500
 #: repeated windows, or with a smaller probability of being good are rejected.
 MIN_WORDS, MAX_REPEATED, MIN_GOOD = 50, 50, 0.25
 _AGAIN = np.uint32(0x5BD1E995)
+_SLOT = np.min_scalar_type((GROUPS << BITS) - 1)
 _WORD_SPACE = bytes((9, 10, 11, 12, 13, 32))
 
 
@@ -80,8 +81,8 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, share
 
 def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``ROWS`` rows of each label, the first in the order of a hash of their ids. Features are
-    made in tasks; the share of label 1 is counted over all of ``labels``. Without rows of both labels the
-    probability is that share for every text."""
+    made in tasks, and one task fits the model, so that only its weights come to the driver. The share of label 1 is
+    counted over all of ``labels``. Without rows of both labels the probability is that share for every text."""
     counts = label_counts(labels, target)
     share = min(0.99, max(0.01, counts[1] / (counts[0] + counts[1]) if sum(counts.values()) else 0.5))
 
@@ -90,17 +91,23 @@ def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", id_
             for label, data in zip(batch.column("label").to_pylist(), byte_column(batch, "text")):
                 x = text_features(data)
                 used = np.flatnonzero(x)
-                yield pa.record_batch([pa.array([label], pa.int32()), pa.array([used], pa.list_(pa.int32())), pa.array([x[used]], pa.list_(pa.float32()))], ["label", "slots", "shares"])
+                yield pa.record_batch([pa.array([label], pa.int32()), pa.array([used.astype(_SLOT).tobytes()]), pa.array([x[used].tobytes()])], ["label", "slots", "shares"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        label, rows = [], []
+        for batch in batches:
+            label.extend(batch.column("label").to_pylist())
+            rows.extend((np.frombuffer(x.as_buffer(), _SLOT), np.frombuffer(y.as_buffer(), np.float32)) for x, y in zip(batch.column("slots"), batch.column("shares")))
+        model = fit_rows(rows, np.array(label), share)
+        yield pa.record_batch([pa.array([model.weights.tobytes()]), pa.array([model.slope]), pa.array([model.shift])], ["weights", "slope", "shift"])
 
     sample = sample_labels(labels, target, {0: ROWS, 1: ROWS}, id_col)
-    found = with_texts(sample, docs, 2 * ROWS, id_col, text_col).mapInArrow(run, "label int, slots array<int>, shares array<float>").toArrow()
-    rows, label = [], []
-    for batch in found.to_batches():
-        for k, slots, shares in zip(batch.column("label").to_pylist(), batch.column("slots"), batch.column("shares")):
-            label.append(k)
-            rows.append((np.asarray(slots.values, np.int64), np.asarray(shares.values, np.float32)))
-    order = sorted(range(len(rows)), key=lambda i: (label[i], rows[i][0].tobytes(), rows[i][1].tobytes()))  # whatever order tasks end in
-    return fit_rows([rows[i] for i in order], np.array([label[i] for i in order]), share)
+    found = with_texts(sample, docs, 2 * ROWS, id_col, text_col).mapInArrow(run, "label int, slots binary, shares binary")
+    ordered = found.repartition(1).sortWithinPartitions("label", "slots", "shares")  # whatever order tasks end in
+    got = ordered.mapInArrow(fit, "weights binary, slope double, shift double").collect()
+    if not got:  # no task ran, as there are no rows
+        return fit_rows([], np.zeros(0), share)
+    return Model(np.frombuffer(got[0].weights, np.float32), got[0].slope, got[0].shift)
 
 
 def repeated_words(words: list[bytes], window: int = 3) -> int:

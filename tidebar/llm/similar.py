@@ -31,6 +31,8 @@ BLOCK = 2048
 HELD = 8
 #: Neighbours in a bucket are compared at once if they are so in 1 / NEAR of the shorter prefix; the others wait for all pairs.
 NEAR = 4
+#: Links that one task joins to components; graphs of more are contracted by joins first.
+JOINED = 1 << 16
 #: A row number is its task's number and its place in the task, which takes the lower bits.
 _ROW_BITS = 33
 _STEP = 1 << 15
@@ -201,7 +203,7 @@ def sketch_links(nodes: DataFrame, held: DataFrame, shingle: int, seed: int) ->
     """Links ``(a, b)`` between similar sets whose fingerprints lie in one SimHash component: each set is compared with
     some of those before it in the order of fingerprints. What they miss is left to ``prefix_links``."""
     found = covering_links(nodes.select("fp").distinct(), RADIUS)
-    joined = components(found).withColumnRenamed("node", "fp")
+    joined = components(found, JOINED).withColumnRenamed("node", "fp")
     grouped = materialize(nodes.join(joined, "fp", "left").select("sig", "row", "fp", F.coalesce("root", "fp").alias("group")), "grouped")
     drop(found)
     several = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("group")
@@ -264,7 +266,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.Reco
 
 def _candidates(met: DataFrame, nodes: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
     """Pairs ``(a, b, root_a, root_b, n_a, n_b)`` of sets of ``met (h, sig)`` in one bucket, without those that ``links`` join already."""
-    joined = components(links).withColumnRenamed("node", "sig")
+    joined = components(links, JOINED).withColumnRenamed("node", "sig")
     rows = met.join(nodes.select("sig", "n").join(joined, "sig", "left").select("sig", "n", F.coalesce("root", "sig").alias("root")), "sig")
     live = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rows = rows.join(live.select("h", F.ceil(F.col("k") / BLOCK).alias("parts")), "h").withColumn("part", F.pmod(F.xxhash64("sig"), "parts"))
@@ -330,7 +332,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, seed: int = 42, id_col: str
         drop(marked, nodes, met)
     links = sketch_links(nodes, held, shingle, seed)
     links = prefix_links(met.select("h", "sig"), nodes, held, links, shingle, seed)
-    joined = components(links).withColumnRenamed("node", "sig")
+    joined = components(links, JOINED).withColumnRenamed("node", "sig")
     named = marked.select("id", "text_key", "row", "sig").join(joined, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_key", "row")).alias("first")
     kept = materialize(named.groupBy("root").agg(first).select(F.col("first.row").alias("row")), "kept")
